@@ -10,7 +10,7 @@ from chatprep.rules import PYTHON_SPACE
 
 def clean_text(col: Column) -> Column:
     """Text without white space at both ends, by Python's notion of white space."""
-    return F.trim(col.cast("string"), F.lit(PYTHON_SPACE))
+    return F.btrim(col.cast("string"), F.lit(PYTHON_SPACE))
 
 
 def strip_reasoning(col: Column) -> Column:
@@ -35,14 +35,14 @@ def token_count(col: Column) -> Column:
     return F.regexp_count(col, F.lit(r"\S+")).cast("long")
 
 
-def lines_of(col: Column) -> Column:
-    """Lines of a text, each with its line break (as ``\\n``) where it has one.
+def tokens_of(col: Column) -> Column:
+    """The runs without white space that ``token_count`` counts."""
+    return F.regexp_extract_all(col, F.lit(r"\S+"), F.lit(0))
 
-    The last element is empty where the text is empty or ends in a line break;
-    it is not a line.
-    """
-    text = F.when(F.contains(col, F.lit("\r")), F.regexp_replace(col, "\r\n?", "\n")).otherwise(col)
-    return F.split(text, "(?<=\n)")
+
+def one_line_break(col: Column) -> Column:
+    """Text whose line breaks are all ``\\n``."""
+    return F.when(F.contains(col, F.lit("\r")), F.regexp_replace(col, "\r\n?", "\n")).otherwise(col)
 
 
 def base_name(path: Column) -> Column:

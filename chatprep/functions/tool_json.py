@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 # Fixed value. A fenced object, else the shortest text in braces.
 CALL_TEXT = r"(?sU)```(?:json)?\s*\{.*?\}\s*```|\{.*?\}"
 TRAILING_COMMA = r"(?U),\s*([}\]])"
-# Follows the object in the list that is_object parses, so that text after the
-# object is noticed.
+CALL_SCHEMA = "call STRUCT<name: STRING, arguments: STRING>, end STRING"
 END_MARK = "end of call"
 
 
@@ -71,11 +70,19 @@ def balanced_candidates(text: Column) -> Column:
 
 
 def parsed(candidate: Column) -> Column:
-    """The candidate as a one-object list, or null where it is not one JSON object."""
-    value = F.try_parse_json(F.concat(F.lit("["), candidate, F.lit(f',"{END_MARK}"]')))
-    one = F.try_variant_get(value, "$[1]", "string") == END_MARK
-    one &= F.try_variant_get(value, "$[2]", "variant").isNull()
-    return F.when(one, value)
+    """The candidate read as a call: ``call.name``, ``call.arguments`` as JSON text, ``end``.
+
+    One reading per candidate, as part of an object whose ``end`` comes out only if
+    the candidate is one whole JSON object; see ``is_call``. As in Python, the last
+    of repeated keys counts and ``NaN`` is a value.
+    """
+    whole = F.concat(F.lit('{"call":'), candidate, F.lit(f',"end":"{END_MARK}"}}'))
+    return F.from_json(whole, CALL_SCHEMA, {"allowSingleQuotes": "false"})
+
+
+def is_call(value: Column) -> Column:
+    """Whether a parsed candidate was one JSON object."""
+    return F.coalesce(value["end"] == END_MARK, F.lit(False))
 
 
 def canonical_json(text: Column) -> Column:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.functions.tool_json import argument_map, balanced_candidates, candidates, parsed
+from chatprep.functions.tool_json import argument_map, balanced_candidates, candidates, is_call, parsed
 from chatprep.rules import HIDDEN_IN_SAFE_MODE, TIMEOUT_BOUNDS, TOOLS
 
 CATALOGUE_SCHEMA = (
@@ -53,13 +53,12 @@ def _found(responses: DataFrame, mode: str) -> DataFrame:
 
 def call_fields(found: DataFrame) -> DataFrame:
     """Name and arguments of a parsed call, by default empty and ``{}``."""
-    arguments = F.try_variant_get("value", "$[0].arguments", "variant").cast("string")
     return found.select(
         "conv_id",
         "turn",
         "position",
-        F.coalesce(F.try_variant_get("value", "$[0].name", "string"), F.lit("")).alias("tool"),
-        F.coalesce(arguments, F.lit("{}")).alias("arguments"),
+        F.coalesce("value.call.name", F.lit("")).alias("tool"),
+        F.coalesce("value.call.arguments", F.lit("{}")).alias("arguments"),
     )
 
 
@@ -68,18 +67,18 @@ def extract_tool_calls(responses: DataFrame, mode: str = "compat") -> DataFrame:
 
     ``compat`` takes the shortest text in braces, ``balanced`` the whole object.
     """
-    return call_fields(_found(responses, mode).where(F.col("value").isNotNull()))
+    return call_fields(_found(responses, mode).where(is_call(F.col("value"))))
 
 
 def failed_tool_calls(responses: DataFrame, mode: str = "compat") -> DataFrame:
     """Candidates that are not one JSON object."""
-    return _found(responses, mode).where(F.col("value").isNull()).drop("value")
+    return _found(responses, mode).where(~is_call(F.col("value"))).drop("value")
 
 
 def count_calls(text: Column, mode: str = "compat") -> Column:
     """Number of calls in one answer."""
     find = {"compat": candidates, "balanced": balanced_candidates}[mode]
-    return F.size(F.filter(find(text), lambda c: parsed(c).isNotNull()))
+    return F.size(F.filter(F.transform(find(text), parsed), is_call))
 
 
 def resolve_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def collect_messages(turns: DataFrame, part_turns: int = 1000) -> DataFrame:
     """
     message = F.struct("turn", "role", F.col("text").alias("content"))
     ordered = F.array_sort(F.collect_list(message))
-    return turns.groupBy("conv_id", F.floor(F.col("turn") / part_turns).alias("part")).agg(
+    return turns.groupBy("conv_id", F.expr(f"turn div {part_turns}").alias("part")).agg(
         F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias(
             "messages"
         )

@@ -54,25 +54,24 @@ def pack_sequences(
     bottleneck. Samples without tokens have no piece.
     """
     hashed = shuffle_hash(F.col(key), seed)
-    rows = samples.where(F.col("n_tokens") > 0).select(
+    rows = samples.select(
         F.pmod(F.col(key), F.lit(shards)).alias("shard"), key, hashed.alias("hash"), "n_tokens"
     )
     chunk = F.substring("hash", 1, CHUNK_DIGITS)
     placed = running_totals(rows, ["shard"], ["hash", key], chunk, {"end": F.col("n_tokens")})
-    length = F.lit(max_len)
+    placed = placed.where(F.col("n_tokens") > 0)
     begin = F.col("end") - F.col("n_tokens")
-    first, last = F.floor(begin / length), F.floor((F.col("end") - 1) / length)
-    pieces = placed.select(
-        "shard", key, begin.alias("begin"), "end", F.explode(F.sequence(first, last)).alias("block")
-    )
-    start = F.greatest(F.col("begin"), F.col("block") * length)
-    stop = F.least(F.col("end"), (F.col("block") + 1) * length)
+    blocks = F.expr(f"explode(sequence(begin div {max_len}, (end - 1) div {max_len}))")
+    pieces = placed.withColumn("begin", begin).select("shard", key, "begin", "end", blocks.alias("block"))
+    block_start = F.col("block") * max_len
+    start = F.greatest("begin", block_start)
+    stop = F.least("end", block_start + max_len)
     return pieces.select(
         "shard",
         "block",
         key,
         (start - F.col("begin")).alias("sample_from"),
-        (start - F.col("block") * length).alias("block_from"),
+        (start - block_start).alias("block_from"),
         (stop - start).alias("n_tokens"),
     )
 
@@ -86,6 +85,22 @@ def pack_fill(pieces: DataFrame, max_len: int = MAX_SEQUENCE) -> DataFrame:
     )
 
 
+def fill_blocks(pieces: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """The tokens of each block.
+
+    ``samples`` holds the key and an array ``tokens``, of the length that
+    ``n_tokens`` had. A block collects at most ``max_len`` tokens.
+    """
+    part = F.slice("tokens", F.col("sample_from") + 1, F.col("n_tokens"))
+    joined = pieces.join(samples.select(key, "tokens"), key).select(
+        "shard", "block", F.struct("block_from", part.alias("tokens")).alias("piece")
+    )
+    ordered = F.array_sort(F.collect_list("piece"))
+    return joined.groupBy("shard", "block").agg(
+        F.flatten(F.transform(ordered, lambda piece: piece["tokens"])).alias("tokens")
+    )
+
+
 def length_report(samples: DataFrame, max_len: int = MAX_SEQUENCE) -> DataFrame:
     """Lengths of samples, how many pass the limit, and what packing saves.
 

@@ -20,11 +20,15 @@ def running_totals(
     over one row per chunk, and the sum before a chunk is joined back. A key with a
     third of all rows is so spread over as many tasks as it has chunks. Only later
     chunks take part in the join, and adaptive execution broadcasts them when their
-    measured size is below Spark's threshold. Keys must not be null.
+    measured size is below Spark's threshold. Rows with a null key belong to no key
+    and are left out; stating that here keeps both readers of the shuffled rows
+    alike, so that the shuffle is done once.
     """
     parts = [*keys, "_chunk"]
     inside = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("_chunk", chunk)
+    for part in parts:
+        rows = rows.where(F.col(part).isNotNull())
     rows = rows.select("*", *[F.sum(value).over(inside).alias(name) for name, value in totals.items()])
 
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.functions.text import base_name, lines_of, name_glob, parent_path, path_glob
+from chatprep.functions.text import base_name, name_glob, one_line_break, parent_path, path_glob
 from chatprep.rules import (
     FORBIDDEN_FRAGMENTS,
     FOUND_FILES,
@@ -19,11 +19,18 @@ from chatprep.rules import (
 )
 
 
-def _walked(path: Column) -> Column:
-    """Whether a walk reaches the file: no folder name holds a forbidden fragment."""
-    folders = F.split(parent_path(path), "/")
+def _chosen(files: DataFrame, pattern: str) -> DataFrame:
+    """Files that a walk reaches and whose name fits.
+
+    A walk does not enter folders whose name holds a forbidden fragment.
+    """
     fragments = "|".join(re.escape(f) for f in FORBIDDEN_FRAGMENTS if "/" not in f)
-    return ~F.exists(folders, lambda name: F.rlike(name, F.lit(fragments)))
+    walked = files.where(~F.rlike("path", F.lit(f"(?:{fragments})[^/]*/")))
+    return walked if pattern == "*" else walked.where(_name_fits(pattern))
+
+
+def _name_fits(pattern: str) -> Column:
+    return F.rlike(base_name(F.col("path")), F.lit(name_glob(pattern)))
 
 
 def list_folders(files: DataFrame) -> DataFrame:
@@ -45,13 +52,10 @@ def list_files(files: DataFrame, recursive: bool = False, pattern: str = "*") ->
     Recursive: all files whose name fits, but not below folders that the policy
     forbids. Else files and folders directly inside whose name fits.
     """
-    fits = F.rlike(base_name(F.col("path")), F.lit(name_glob(pattern)))
     if recursive:
-        chosen = files.where(fits & _walked(F.col("path")))
-        return _file_entries(chosen)
-    direct = files.where(~F.contains("path", F.lit("/")) & fits)
-    folders = list_folders(files).where(~F.contains("path", F.lit("/")) & fits)
-    return _file_entries(direct).unionByName(_folder_entries(folders))
+        return _file_entries(_chosen(files, pattern))
+    direct = ~F.contains("path", F.lit("/")) & _name_fits(pattern)
+    return _file_entries(files.where(direct)).unionByName(_folder_entries(list_folders(files).where(direct)))
 
 
 def search_files(files: DataFrame, pattern: str) -> DataFrame:
@@ -119,9 +123,13 @@ def grep(
     if max_files is not None:
         first = chosen.select("path").orderBy("path").limit(max_files)
         chosen = chosen.join(first, "path", "left_semi")
-    lines = chosen.select("path", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    lines = chosen.select("path", F.split(one_line_break(F.col("text")), "\n").alias("lines"))
+    lines = lines.select("path", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line"))
+    ended = F.col("at") < F.col("n") - 1
+    searched = F.when(ended, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
     shown = F.substring(F.rtrim(F.col("line"), F.lit(PYTHON_SPACE)), 1, GREP_LINE_CHARS)
-    matches = lines.where((F.col("line") != "") & F.rlike("line", F.lit(regex))).select(
+    # What follows the last line break is a line only if it is not empty.
+    matches = lines.where((ended | (F.col("line") != "")) & F.rlike(searched, F.lit(regex))).select(
         "path", (F.col("at") + 1).alias("line_num"), shown.alias("line")
     )
     return matches if max_matches is None else matches.orderBy("path", "line_num").limit(max_matches)
@@ -134,7 +142,7 @@ def grep_report(files: DataFrame, pattern: str, case_sensitive: bool = False, in
 
 def searched_files(files: DataFrame, include: str = "*") -> DataFrame:
     """Files that a search opens: the name fits and no folder on the way is forbidden."""
-    return files.where(F.rlike(base_name(F.col("path")), F.lit(name_glob(include))) & _walked(F.col("path")))
+    return _chosen(files, include)
 
 
 def grep_by_file(matches: DataFrame) -> DataFrame:

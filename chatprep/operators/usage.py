@@ -17,7 +17,7 @@ from chatprep.rules import (
 )
 
 
-def context_usage(turns: DataFrame, tokens: Column | None = None, part_turns: int = 1000) -> DataFrame:
+def context_usage(turns: DataFrame, tokens: Column | None = None, part_turns: int = 10_000) -> DataFrame:
     """Input, output and total tokens of every answer.
 
     Input is all text before the answer in its conversation. The total adds input
@@ -26,14 +26,15 @@ def context_usage(turns: DataFrame, tokens: Column | None = None, part_turns: in
     With S(t) the tokens up to turn t, the total at an answer is the sum of S over
     the answers so far. Both sums run within ranges of ``part_turns`` turns; per
     earlier range only three numbers are carried: its tokens, its answers and its
-    own sum of S. A long conversation is thus spread over one task per range.
+    own sum of S. A long conversation is thus spread over one task per range. Turns
+    without a conversation or number are left out.
     """
     tokens = token_count(F.col("text")) if tokens is None else tokens
     parts = ["conv_id", "part"]
-    rows = turns.select(
+    rows = turns.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
         "conv_id",
         "turn",
-        F.floor(F.col("turn") / part_turns).alias("part"),
+        F.expr(f"turn div {part_turns}").alias("part"),
         (F.col("role") == "assistant").alias("is_answer"),
         tokens.alias("n"),
     )

@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatprep.operators.chat import collect_messages, to_messages, to_training_text, valid_pairs
+from chatprep.operators.chat import collect_messages, render_chat, to_messages, to_training_text, valid_pairs
 from chatprep.operators.pack import count_tokens, pack_sequences
 from chatprep.operators.split import split_exact, split_hash
 from chatprep.rules import MAX_SEQUENCE, SPLIT_SEED, SYSTEM_PROMPT, TRAIN_RATIO
+from chatprep.sources.tables import write_table
 
 
 def pair_set(
     pairs: DataFrame,
     key: str,
+    curated_path: str,
     input_col: str | None = None,
     system_prompt: str = SYSTEM_PROMPT,
     train_ratio: float = TRAIN_RATIO,
     seed: int = SPLIT_SEED,
 ) -> DataFrame:
-    """Raw pairs to training text with an exact split: ``key, split, text, n_tokens``."""
-    messages = to_messages(valid_pairs(pairs), system_prompt, input_col=input_col)
-    text = to_training_text(messages.select(key, "messages"))
-    return count_tokens(split_exact(text, key, train_ratio, seed))
+    """Raw pairs to training text with an exact split: ``key, messages, split, text, n_tokens``.
+
+    Formatted samples are written to ``curated_path`` first. The exact split reads
+    the keys of the samples twice before it reads the samples; from the written
+    table that is one narrow column, not the raw texts again.
+    """
+    write_table(to_messages(valid_pairs(pairs), system_prompt, input_col=input_col).select(key, "messages"), curated_path)
+    curated = pairs.sparkSession.read.parquet(curated_path)
+    text = split_exact(curated, key, train_ratio, seed).withColumn("text", render_chat(F.col("messages")))
+    return count_tokens(text)
 
 
 def conversation_set(

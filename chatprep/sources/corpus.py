@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatprep.functions.text import one_line_break
 from chatprep.rules import MAX_FILE_BYTES, MAX_LINES
 
 
@@ -15,12 +16,11 @@ def corpus_files(spark: SparkSession, path: str) -> DataFrame:
     an underscore are not seen.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    plain = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
-    root = "/" + path.partition(":")[2].strip("/") if ":/" in path else path.rstrip("/")
-    inside = F.startswith(plain, F.lit(root + "/"))
-    relative = F.when(inside, F.substr(plain, F.lit(len(root) + 2)))
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString() + "/"
+    relative = F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1)))
     return files.select(
-        F.coalesce(relative, F.substring_index(plain, "/", -1)).alias("path"), "length", "content"
+        F.coalesce(relative, F.substring_index("path", "/", -1)).alias("path"), "length", "content"
     )
 
 
@@ -31,7 +31,7 @@ def valid_text(content: Column) -> Column:
 
 def head_lines(text: Column, max_lines: int) -> tuple[Column, Column]:
     """The first lines with a mark where more follow, and whether more follow."""
-    text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    text = one_line_break(text)
     head = F.substring_index(text, "\n", max_lines)
     cut = F.char_length(text) > F.char_length(head) + 1
     mark = F.lit(f"\n\n... (truncated after {max_lines} lines)")

@@ -537,6 +537,9 @@ ORACLE = {
     "pack_fill": f"""WITH {pieces(16)}, blocks AS (
       SELECT shard, block, count(*) AS n_samples, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM pieces GROUP BY ALL)
       SELECT *, CAST(n_tokens AS DOUBLE) / 512 AS fill FROM blocks""",
+    "fill_blocks": f"""WITH {pieces(16)} SELECT shard, block, string_agg(array_to_string(list_slice(
+      regexp_extract_all(text, '\\S+'), sample_from + 1, sample_from + n_tokens), ' '), ' ' ORDER BY block_from) AS text
+      FROM pieces JOIN documents USING (doc_id) GROUP BY shard, block""",
     "length_report": """WITH sized AS (SELECT len(regexp_extract_all(text, '\\S+')) AS n FROM documents), report AS (
       SELECT count(*) AS n_samples, count(*) FILTER (n > 512) AS n_over, CAST(sum(n) AS BIGINT) AS n_tokens,
         max(n) AS max_tokens, quantile_disc(n, 0.5) AS median_tokens,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatprep.functions.text import clean_text, preview, strip_reasoning
+from chatprep.functions.text import clean_text, preview, strip_reasoning, tokens_of
 from chatprep.functions.tool_json import args_hash
 from chatprep.operators import audit, calls, chat, pack, policy, search, split, usage
 from chatprep.session import new_path
@@ -433,6 +433,12 @@ def pack_fill(spark, sf):
     return pack.pack_fill(_pieces(spark, sf), 512)
 
 
+def fill_blocks(spark, sf):
+    samples = table(spark, sf, "documents").select("doc_id", tokens_of(F.col("text")).alias("tokens"))
+    blocks = pack.fill_blocks(_pieces(spark, sf), samples, "doc_id")
+    return blocks.select("shard", "block", F.array_join("tokens", " ").alias("text"))
+
+
 def length_report(spark, sf):
     return pack.length_report(token_counts(spark, sf), 512)
 
@@ -452,7 +458,7 @@ def audit_windows(spark, sf):
 
 def _arriving_calls(spark, sf):
     schema = table(spark, sf, "events").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     return derived.unnumbered_calls(arriving)
 
 
@@ -543,6 +549,7 @@ QUERIES = {
     "pack_blocks": pack_blocks,
     "pack_one_stream": pack_one_stream,
     "pack_fill": pack_fill,
+    "fill_blocks": fill_blocks,
     "length_report": length_report,
     "audit_windows": audit_windows,
     "audit_stream": audit_stream,
