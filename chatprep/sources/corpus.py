@@ -12,8 +12,8 @@ from chatprep.rules import MAX_FILE_BYTES, MAX_LINES
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
     """All files below a folder, or one file: path relative to it, length, content.
 
-    Content is read only where a query selects it. Names that start with a dot or
-    an underscore are not seen.
+    Content is read only where a query selects it. Spark's file sources do not see
+    files of zero bytes and names that start with a dot or an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     given = spark._jvm.org.apache.hadoop.fs.Path(path)
