@@ -457,7 +457,7 @@ ORACLE = {
     "grep_docs": f"WITH {LINES} SELECT path, line_num, {SHOWN} AS line FROM lines WHERE {MATCHES}",
     "grep_docs_case": f"WITH {LINES} SELECT path, line_num, {SHOWN} AS line FROM lines WHERE contains(line, 'The')",
     "grep_docs_include": f"WITH {LINES} SELECT path, line_num, {SHOWN} AS line FROM lines "
-    "WHERE regexp_matches(line, '[0-9]') AND regexp_matches(path, '[13][.]py$')",
+    "WHERE regexp_matches(line, '(?i)[aeiou]{3}') AND regexp_matches(path, '[13][.]py$')",
     "grep_top50": f"""WITH {LINES}, first AS (SELECT path FROM corpus ORDER BY path LIMIT 1000)
       SELECT path, line_num, {SHOWN} AS line FROM lines WHERE {MATCHES} AND path IN (SELECT path FROM first)
       ORDER BY path, line_num LIMIT 50""",
