@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 import posixpath
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ FOLDER_TOOLS = ["list_directory", "search_files", "grep_search"]
 TRANSFER_TOOLS = ["copy_file", "move_file"]
 
 
+# An empty, one-dot or two-dot segment, other than the one before a first slash.
+REMOVABLE = r"//|(^|/)\.{1,2}(/|$)|/$|^$"
+
 # Arguments that a check reads.
 SCREENED = "path STRING, source STRING, destination STRING, command STRING, working_dir STRING, code STRING"
 
@@ -38,8 +43,11 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def _hits(text: Column, patterns: list[str]) -> Column:
     """The patterns that a text holds, in the order of the list."""
-    listed = F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in patterns])
-    return F.array_compact(listed)
+    return F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(text, p))
+
+
+def _holds_any(text: Column, patterns: list[str]) -> Column:
+    return reduce(operator.or_, [F.contains(text, F.lit(p)) for p in patterns])
 
 
 def _first(rules: Rules) -> tuple[Column, Column]:
@@ -53,7 +61,7 @@ def _first(rules: Rules) -> tuple[Column, Column]:
 
 def resolve_path(path: Column, cwd: str) -> Column:
     """Absolute path without ``.`` and ``..``; links on disk are not followed."""
-    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(cwd + "/"), path))
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(cwd.rstrip("/") + "/"), path))
     names = F.filter(F.split(full, "/"), lambda name: (name != "") & (name != "."))
     kept = F.aggregate(
         names,
@@ -62,7 +70,9 @@ def resolve_path(path: Column, cwd: str) -> Column:
             name == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         ).otherwise(F.concat(done, F.array(name))),
     )
-    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+    walked = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    # Most paths have no segment to remove and skip the walk.
+    return F.when(path == ".", F.lit(cwd)).when(F.rlike(path, F.lit(REMOVABLE)), walked).otherwise(full)
 
 
 def _path_rules(path: Column, hits: Column, resolved: Column, allowed_roots: list[str]) -> Rules:
@@ -73,7 +83,7 @@ def _path_rules(path: Column, hits: Column, resolved: Column, allowed_roots: lis
     fragment = F.concat(F.lit("Path contains forbidden pattern: "), F.get(hits, F.lit(0)))
     return [
         (path == "", "empty", F.lit("Empty path provided")),
-        (F.size(hits) > 0, "fragment", fragment),
+        (path.isNotNull() & (F.size(hits) > 0), "fragment", fragment),
         (F.contains(path, F.lit("\0")), "invalid", F.lit("Path validation error: embedded null byte")),
         (~inside, "outside_roots", F.lit(f"Path must be within allowed directories: {allowed_roots}")),
     ]
@@ -83,19 +93,15 @@ def _command_rules(command: Column, dangerous: Column, fragments: Column) -> Rul
     """Rules over a shell command, in the order in which they are tried."""
     found = F.concat(F.lit("Dangerous command pattern detected: "), F.get(dangerous, F.lit(0)))
     fragment = F.concat(F.lit("Command contains forbidden pattern: "), F.get(fragments, F.lit(0)))
-    piped = F.contains(command, F.lit("|")) & (F.size(_hits(command, PIPE_WORDS)) > 0)
+    piped = F.contains(command, F.lit("|")) & _holds_any(command, PIPE_WORDS)
     redirect = F.rlike(command, F.lit("(?U)" + SYSTEM_REDIRECT))
     return [
         (command == "", "empty", F.lit("Empty command")),
         (F.size(dangerous) > 0, "dangerous", found),
-        (F.size(fragments) > 0, "fragment", fragment),
+        (command.isNotNull() & (F.size(fragments) > 0), "fragment", fragment),
         (piped, "pipe", F.lit("Pipes to sensitive commands are not allowed")),
         (redirect, "redirect", F.lit("Cannot redirect output to system directories")),
-        (
-            F.size(_hits(command, SUBSHELL_MARKS)) > 0,
-            "subshell",
-            F.lit("Subshell execution is not allowed"),
-        ),
+        (_holds_any(command, SUBSHELL_MARKS), "subshell", F.lit("Subshell execution is not allowed")),
     ]
 
 
@@ -171,25 +177,25 @@ def screen_calls(calls: DataFrame, allowed_roots: list[str], cwd: str | None = N
         F.when(tool == "run_python", F.col("_code")).alias("_code"),
     )
     lowered = F.lower("_command")
+    # A call has a path or a command, so one search for fragments serves both.
     facts = _once(
         asked,
-        _path_hits=_hits(F.col("_path"), FORBIDDEN_FRAGMENTS),
+        _fragments=_hits(F.coalesce("_path", lowered), FORBIDDEN_FRAGMENTS),
         _resolved=resolve_path(F.col("_path"), cwd),
-        _second_hits=_hits(F.col("_second"), FORBIDDEN_FRAGMENTS),
-        _second_resolved=resolve_path(F.col("_second"), cwd),
         _dangerous=_hits(lowered, DANGEROUS_COMMANDS),
-        _fragments=_hits(lowered, FORBIDDEN_FRAGMENTS),
         _code_hits=_hits(F.col("_code"), FORBIDDEN_CODE),
+        _second_hits=_hits(F.col("_second"), FORBIDDEN_FRAGMENTS),
+        _second_resolved=resolve_path(F.col("_second"), cwd),
     )
     rules = [
-        *_path_rules(F.col("_path"), F.col("_path_hits"), F.col("_resolved"), allowed_roots),
+        *_path_rules(F.col("_path"), F.col("_fragments"), F.col("_resolved"), allowed_roots),
         *_command_rules(F.col("_command"), F.col("_dangerous"), F.col("_fragments")),
         *_code_rules(F.col("_code_hits")),
         *_path_rules(F.col("_second"), F.col("_second_hits"), F.col("_second_resolved"), allowed_roots),
     ]
     asked_for = F.coalesce("_path", "_command", "_code")
     complete = F.when(~transfer | F.col("_second").isNotNull(), asked_for)
-    matched = F.concat("_path_hits", "_dangerous", "_fragments", "_code_hits", "_second_hits")
+    matched = F.concat("_dangerous", "_fragments", "_code_hits", "_second_hits")
     return _judged(facts, calls.columns, complete, rules, matched).drop("_resolved")
 
 
