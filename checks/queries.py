@@ -39,7 +39,8 @@ def src_json(spark, sf):
     path = new_path(spark, "pairs.json")
     rows = derived.raw_pairs(spark, sf)
     # One list per file: at most 1,000 turns of each of 10 conversations.
-    part = F.concat_ws("_", F.floor(F.col("conv_id") / 10), F.floor(F.col("pair_id") % 100 / 1000))
+    turn = F.col("pair_id") - F.col("conv_id") * 100
+    part = F.concat_ws("_", F.floor(F.col("conv_id") / 10), F.floor(turn / 1000))
     lists = rows.groupBy(part.alias("part")).agg(
         F.to_json(F.collect_list(F.struct("pair_id", "instruction", "response", "input"))).alias("value")
     )
