@@ -29,6 +29,11 @@ def audit_log(calls: DataFrame) -> DataFrame:
     )
 
 
+def append_audit_log(log: DataFrame, path: str) -> None:
+    """Add audit rows to a table kept by day."""
+    log.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def iso_timestamp(ts: Column) -> Column:
     """A timestamp as ISO text with microseconds."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -145,16 +145,16 @@ def calls_over_cap(calls: DataFrame, cap: int = MAX_CALLS_PER_TURN) -> DataFrame
     )
 
 
-def failure_streaks(audit: DataFrame, chunk: Column | None = None) -> DataFrame:
+def failure_streaks(audit: DataFrame, part_calls: int = 10_000) -> DataFrame:
     """Runs of failed calls that follow each other in a session, longest first.
 
     Failures with the same number of successes before them are one run. ``audit``
-    holds ``session_id, ts, call_no, success``; ``chunk`` is as in
-    ``running_totals``, by default the hour.
+    holds ``session_id, call_no, success``, with calls numbered in order; numbers
+    are counted in ranges of ``part_calls``, see ``running_totals``.
     """
-    rows = audit.select("session_id", "ts", "call_no", F.col("success").cast("long").alias("ok"))
-    chunk = F.date_trunc("hour", "ts") if chunk is None else chunk
-    numbered = running_totals(rows, ["session_id"], ["ts", "call_no"], chunk, {"run": F.col("ok")})
+    rows = audit.select("session_id", "call_no", F.col("success").cast("long").alias("ok"))
+    part = F.expr(f"call_no div {part_calls}")
+    numbered = running_totals(rows, ["session_id"], ["call_no"], part, {"run": F.col("ok")})
     return (
         numbered.where(F.col("ok") == 0)
         .groupBy("session_id", "run")

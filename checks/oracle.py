@@ -506,6 +506,8 @@ ORACLE = {
       FROM runs GROUP BY session_id, run""",
     "audit_log": f"WITH {CALLS} SELECT session_id, turn, call_no, {ISO} AS timestamp, tool, args_hash, success, "
     "result_preview FROM audit",
+    "audit_append": f"WITH {CALLS} SELECT strftime(ts, '%Y-%m-%d') AS day, success, count(*) AS n_calls FROM audit "
+    "GROUP BY ALL",
     "stage_counts": f"""WITH {RAW_PAIRS},{CLEAN}, split AS (
       SELECT {held_out('conv_id', FIFTH)} AS split FROM valid)
       SELECT 'loaded' AS stage, count(*) AS n_rows FROM raw_pairs

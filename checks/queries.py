@@ -380,6 +380,15 @@ def audit_log(spark, sf):
     return _audit(spark, sf).withColumn("ts", audit.iso_timestamp(F.col("ts"))).withColumnRenamed("ts", "timestamp")
 
 
+def audit_append(spark, sf):
+    path = new_path(spark, "audit")
+    log = _audit(spark, sf)
+    for success in (True, False):
+        audit.append_audit_log(log.where(F.col("success") == success), path)
+    kept = spark.read.parquet(path).groupBy("day", "success").agg(F.count("*").alias("n_calls"))
+    return kept.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 def stage_counts(spark, sf):
     rows = split.split_hash(derived.raw_pairs(spark, sf), "conv_id", 0.8)
     return audit.stage_counts(rows, chat.reject_reason().isNull(), F.col("split"))
@@ -539,6 +548,7 @@ QUERIES = {
     "calls_over_cap": calls_over_cap,
     "failure_streaks": failure_streaks,
     "audit_log": audit_log,
+    "audit_append": audit_append,
     "stage_counts": stage_counts,
     "session_metrics": session_metrics,
     "tool_metrics": tool_metrics,
