@@ -2,14 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.operators.chat import collect_messages, render_chat, to_messages, to_training_text, valid_pairs
 from chatprep.operators.pack import count_tokens, pack_sequences
 from chatprep.operators.split import split_exact, split_hash
 from chatprep.rules import MAX_SEQUENCE, SPLIT_SEED, SYSTEM_PROMPT, TRAIN_RATIO
-from chatprep.sources.tables import write_table
+from chatprep.sources.pairs import read_jsonl, read_pairs
+from chatprep.sources.tables import MESSAGES_SCHEMA, read_splits, row_key, write_jsonl, write_splits, write_table
+
+
+def format_file(
+    spark: SparkSession,
+    input_path: str,
+    output_path: str,
+    instruction_col: str = "instruction",
+    response_col: str = "response",
+    input_col: str | None = None,
+    system_prompt: str = SYSTEM_PROMPT,
+) -> None:
+    """Raw pairs of any format to chat samples as JSON lines."""
+    pairs = valid_pairs(read_pairs(spark, input_path, instruction_col, response_col, input_col), instruction_col, response_col)
+    samples = to_messages(pairs, system_prompt, instruction_col, response_col, input_col)
+    write_jsonl(samples.select("messages"), output_path)
+
+
+def split_file(
+    spark: SparkSession,
+    input_path: str,
+    output_path: str,
+    work_path: str,
+    train_ratio: float = TRAIN_RATIO,
+    seed: int = SPLIT_SEED,
+) -> None:
+    """Chat samples as JSON lines to training and validation lines of exact size.
+
+    Samples have no key and may repeat, so they are landed in ``work_path`` and told
+    apart by their place in that table.
+    """
+    write_table(read_jsonl(spark, input_path, MESSAGES_SCHEMA), work_path)
+    samples = spark.read.parquet(work_path).withColumn("key", row_key())
+    write_splits(split_exact(samples, "key", train_ratio, seed).drop("key"), output_path)
+
+
+def text_of_splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Named samples to training text with token counts."""
+    return count_tokens(to_training_text(read_splits(spark, paths)))
 
 
 def pair_set(

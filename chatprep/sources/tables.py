@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MESSAGES_SCHEMA = "messages ARRAY<STRUCT<role: STRING, content: STRING>>"
@@ -23,6 +23,16 @@ def write_table(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
 
 
+def row_key() -> Column:
+    """Place of a row in a parquet table that Spark wrote: task, file and row number.
+
+    Unique, and the same in every read of the table, so equal rows can be told apart.
+    """
+    name = F.col("_metadata.file_name")
+    task, number = (F.regexp_extract(name, r"part-(\d+)-.*-c(\d+)", group) for group in (1, 2))
+    return F.concat_ws("-", task, number, F.col("_metadata.row_index").cast("string"))
+
+
 def land_raw(source: DataFrame, path: str, split: str = "train", split_col: str = "split") -> None:
     """Keep one named part of a dataset and land it as JSON lines."""
     write_jsonl(source.where(F.col(split_col) == split).drop(split_col), path)

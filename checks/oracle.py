@@ -407,6 +407,9 @@ ORACLE = {
     f"string_agg({CHATML}, '' ORDER BY position) AS text FROM messages GROUP BY pair_id",
     "splits_roundtrip": f"{FORMATTED} SELECT {held_out('conv_id', FIFTH)} AS split, pair_id, position, role, content "
     "FROM messages",
+    "split_file": f"""WITH {RAW_PAIRS},{CLEAN}, held AS (
+      SELECT count(*) AS total, (count(*) * 5 + 99) // 100 AS n FROM valid)
+      SELECT 'train' AS split, total - n AS n_rows FROM held UNION ALL SELECT 'validation', n FROM held""",
     "corpus_truncate": f"""WITH {CORPUS}, cut AS (
       SELECT path, length, text, string_split(text, chr(10)) AS lines FROM corpus WHERE length <= 10485760)
       SELECT path, length, CASE WHEN len(lines) > 20 THEN array_to_string(lines[1:20], chr(10))

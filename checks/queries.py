@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chatprep.functions.text import clean_text, preview, strip_reasoning, tokens_of
 from chatprep.functions.tool_json import args_hash
 from chatprep.operators import audit, calls, chat, pack, policy, search, split, usage
+from chatprep.plans import training_set
 from chatprep.session import new_path
 from chatprep.sources import corpus as files
 from chatprep.sources import pairs, tables
@@ -106,6 +107,15 @@ def read_splits(spark, sf):
     return back.select("split", chat.render_chat(F.col("messages")).alias("text"))
 
 
+def split_file(spark, sf):
+    raw, formatted, parts = (new_path(spark, name) for name in ("raw.jsonl", "formatted.jsonl", "parts"))
+    tables.write_jsonl(derived.raw_pairs(spark, sf), raw)
+    training_set.format_file(spark, raw, formatted, input_col="input")
+    training_set.split_file(spark, formatted, parts, new_path(spark, "work"))
+    named = {name: f"{parts}/split={name}" for name in ("train", "validation")}
+    return audit.split_counts(training_set.text_of_splits(spark, named))
+
+
 def corpus_truncate(spark, sf):
     texts, _ = files.limit_texts(derived.corpus(spark, sf), max_lines=20)
     return texts
@@ -498,6 +508,7 @@ QUERIES = {
     "land_raw_split": land_raw_split,
     "read_splits": read_splits,
     "splits_roundtrip": splits_roundtrip,
+    "split_file": split_file,
     "corpus_truncate": corpus_truncate,
     "corpus_refused": corpus_refused,
     "list_files": list_files,

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from chatprep.functions.text import clean_text, strip_reasoning
 from chatprep.operators import chat
-from chatprep.plans.training_set import conversation_set, packed_part, pair_set, set_size
+from chatprep.plans.training_set import conversation_set, format_file, packed_part, pair_set, set_size, split_file, text_of_splits
 from chatprep.rules import PYTHON_SPACE
 
 PAIR = "instruction STRING, response STRING, input STRING"
@@ -100,3 +100,19 @@ def test_training_sets(spark, tmp_path):
     assert {r.split: r.n_samples for r in set_size(ready).collect()} == {"train": 190, "validation": 10}
     packed = packed_part(ready, "id", max_len=64).agg(F.sum("n_tokens")).first()[0]
     assert packed == ready.where("split = 'train'").agg(F.sum("n_tokens")).first()[0]
+
+
+def test_files_from_raw_to_text(spark, tmp_path):
+    # A third of the samples are copies of one; sizes stay exact all the same.
+    raw = tmp_path / "raw.csv"
+    lines = [f"question {n if n % 3 else 0},answer" for n in range(300)]
+    raw.write_text("\n".join(["instruction,response", *lines, "NA,x", "q,"]) + "\n")
+    formatted, parts, work = (str(tmp_path / n) for n in ("formatted", "parts", "work"))
+    format_file(spark, str(raw), formatted)
+    split_file(spark, formatted, parts, work, train_ratio=0.9)
+    named = {name: f"{parts}/split={name}" for name in ("train", "validation")}
+    texts = text_of_splits(spark, named)
+    assert {r.split: r.n_samples for r in set_size(texts).collect()} == {"train": 270, "validation": 30}
+    first = texts.where("split = 'train'").first().text
+    assert first.startswith("<|im_start|>system\nYou are a helpful AI assistant.<|im_end|>\n<|im_start|>user\nquestion ")
+    assert texts.select("text").distinct().count() == 201
