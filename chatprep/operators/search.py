@@ -93,11 +93,13 @@ def cap_found(found: DataFrame) -> DataFrame:
 
 
 def java_regex(df: DataFrame, pattern: str, case_sensitive: bool) -> str:
-    """The pattern with Python's reading of case, letters and line ends.
+    """The pattern with Python's reading of case, letters, line ends and group names.
 
     A pattern that does not compile is reported here, before any data is read.
     """
-    full = ("(?dU)" if case_sensitive else "(?diuU)") + pattern
+    full = ("(?dU)" if case_sensitive else "(?diuU)") + re.sub(
+        r"\\.|\(\?P<|\(\?P=(\w+)\)", _java_token, pattern, flags=re.DOTALL
+    )
     try:
         df.sparkSession.range(1).select(F.rlike(F.lit(""), F.lit(full))).collect()
     except Exception as error:
@@ -105,6 +107,13 @@ def java_regex(df: DataFrame, pattern: str, case_sensitive: bool) -> str:
     return full
 
 
+def _java_token(found: re.Match) -> str:
+    """Escapes and group names as Java writes them."""
+    if found[1]:
+        return f"\\k<{found[1]}>"
+    return {"(?P<": "(?<", "\\Z": "\\z"}.get(found[0], found[0])
+
+
 def grep(
     files: DataFrame,
     pattern: str,

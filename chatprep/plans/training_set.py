@@ -23,8 +23,9 @@ def format_file(
     system_prompt: str = SYSTEM_PROMPT,
 ) -> None:
     """Raw pairs of any format to chat samples as JSON lines."""
-    pairs = valid_pairs(read_pairs(spark, input_path, instruction_col, response_col, input_col), instruction_col, response_col)
-    samples = to_messages(pairs, system_prompt, instruction_col, response_col, input_col)
+    pairs = read_pairs(spark, input_path, instruction_col, response_col, input_col)
+    kept = valid_pairs(pairs, instruction_col, response_col)
+    samples = to_messages(kept, system_prompt, instruction_col, response_col, input_col)
     write_jsonl(samples.select("messages"), output_path)
 
 
@@ -66,7 +67,8 @@ def pair_set(
     the keys of the samples twice before it reads the samples; from the written
     table that is one narrow column, not the raw texts again.
     """
-    write_table(to_messages(valid_pairs(pairs), system_prompt, input_col=input_col).select(key, "messages"), curated_path)
+    samples = to_messages(valid_pairs(pairs), system_prompt, input_col=input_col)
+    write_table(samples.select(key, "messages"), curated_path)
     curated = pairs.sparkSession.read.parquet(curated_path)
     text = split_exact(curated, key, train_ratio, seed).withColumn("text", render_chat(F.col("messages")))
     return count_tokens(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chatprep import rules
 from chatprep.functions.text import clean_text, preview, strip_reasoning, tokens_of
 from chatprep.functions.tool_json import args_hash
 from chatprep.operators import audit, calls, chat, pack, policy, search, split, usage
@@ -217,10 +218,10 @@ def q_preview(spark, sf):
     text = F.col("text")
     return table(spark, sf, "documents").select(
         "doc_id",
-        preview(text, 100, True).alias("arguments"),
-        preview(text, 250, True).alias("result"),
-        preview(text, 200).alias("audit"),
-        preview(text, 150).alias("line"),
+        preview(text, rules.ARGUMENT_PREVIEW_CHARS, True).alias("arguments"),
+        preview(text, rules.RESULT_PREVIEW_CHARS, True).alias("result"),
+        preview(text, rules.AUDIT_PREVIEW_CHARS).alias("audit"),
+        preview(text, rules.GREP_LINE_CHARS).alias("line"),
     )
 
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -169,6 +170,18 @@ def test_grep(spark, folder):
         corpus_search.search_folder(spark, str(folder), "(open")
 
 
+@pytest.mark.parametrize(
+    "pattern",
+    [r"(?P<w>\w+) (?P=w)", r"end\Z", r"^x", r"x$", r"é\b", r"\(\?P<", r"\\Z", r"[^\W\d]+\d", r"STRASSE|ÉTÉ", r"a.b", r"\s\Z"],
+)
+def test_patterns_read_as_in_python(spark, pattern):
+    lines = ["the the", "the then", "end", "x", "ax", "été", "étés", "(?P<", "a\\Z", "é1", "a\u2028b", "a\x85b", "x "]
+    text = "\n".join(lines) + "\n"
+    files = spark.createDataFrame([("f", text)], "path STRING, text STRING")
+    want = [(n,) for n, line in enumerate(lines, 1) if re.search(pattern, line + "\n", re.IGNORECASE)]
+    assert rows(search.grep(files, pattern), "line_num") == sorted(want, key=repr)
+
+
 def test_grep_caps(spark):
     files = spark.range(1200).select(F.format_string("%04d.txt", "id").alias("path"), F.lit("x\nx\nno\n").alias("text"))
     everything = search.grep(files, "x")
