@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.functions.frames import with_once
 from chatprep.functions.text import clean_text
 from chatprep.rules import SYSTEM_PROMPT
 
@@ -18,14 +19,7 @@ def _cleaned(col: str, compat: bool) -> Column:
     return F.coalesce(text, F.lit("nan")) if compat else text
 
 
-def reject_reason(instruction_col: str = "instruction", response_col: str = "response", compat: bool = False) -> Column:
-    """Why a pair is dropped, null for a pair that stays.
-
-    A null response is dropped; with ``compat`` it stays as the text ``nan``, which
-    is what a pandas row turned to text gives.
-    """
-    instruction = _cleaned(instruction_col, compat)
-    response = _cleaned(response_col, compat)
+def _reason(instruction: Column, response: Column) -> Column:
     return (
         F.when(F.coalesce(instruction, F.lit("")) == "", "empty instruction")
         .when(F.lower(instruction).isin("nan", "none"), "missing instruction")
@@ -33,16 +27,33 @@ def reject_reason(instruction_col: str = "instruction", response_col: str = "res
     )
 
 
+def _judged(pairs: DataFrame, instruction_col: str, response_col: str, compat: bool) -> DataFrame:
+    return with_once(
+        pairs, _instruction=_cleaned(instruction_col, compat), _response=_cleaned(response_col, compat)
+    ).withColumn("_reason", _reason(F.col("_instruction"), F.col("_response")))
+
+
+def reject_reason(
+    instruction_col: str = "instruction", response_col: str = "response", compat: bool = False
+) -> Column:
+    """Why a pair is dropped, null for a pair that stays.
+
+    A null response is dropped; with ``compat`` it stays as the text ``nan``, which
+    is what a pandas row turned to text gives.
+    """
+    return _reason(_cleaned(instruction_col, compat), _cleaned(response_col, compat))
+
+
 def valid_pairs(
     pairs: DataFrame,
     instruction_col: str = "instruction",
     response_col: str = "response",
     compat: bool = False,
 ) -> DataFrame:
-    """Pairs that stay, with both texts cleaned."""
-    return pairs.where(reject_reason(instruction_col, response_col, compat).isNull()).withColumns(
-        {instruction_col: _cleaned(instruction_col, compat), response_col: _cleaned(response_col, compat)}
-    )
+    """Pairs that stay, see ``reject_reason``, with both texts cleaned."""
+    kept = _judged(pairs, instruction_col, response_col, compat).where(F.col("_reason").isNull())
+    cleaned = {instruction_col: F.col("_instruction"), response_col: F.col("_response")}
+    return kept.withColumns(cleaned).select(*pairs.columns)
 
 
 def rejected_pairs(
@@ -52,8 +63,8 @@ def rejected_pairs(
     compat: bool = False,
 ) -> DataFrame:
     """Pairs that are dropped, with the reason."""
-    reason = reject_reason(instruction_col, response_col, compat)
-    return pairs.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    judged = _judged(pairs, instruction_col, response_col, compat)
+    return judged.where(F.col("_reason").isNotNull()).select(*pairs.columns, F.col("_reason").alias("reason"))
 
 
 def to_messages(

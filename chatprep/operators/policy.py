@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.functions.frames import with_once
 from chatprep.rules import (
     DANGEROUS_COMMANDS,
     FORBIDDEN_CODE,
@@ -32,15 +33,6 @@ SCREENED = "path STRING, source STRING, destination STRING, command STRING, work
 Rules = list[tuple[Column, str, Column]]
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are evaluated once per row.
-
-    The rules read each of them in many places, and Spark would copy the expression
-    into every one, filters after it included; it does not copy a generator.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _hits(text: Column, patterns: list[str]) -> Column:
     """The patterns that a text holds, in the order of the list."""
     return F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(text, p))
@@ -130,7 +122,7 @@ def screen_paths(
     """Add the verdict on a path column and the resolved path of allowed ones."""
     cwd = posixpath.normpath(cwd or allowed_roots[0])
     path = F.col(path_col)
-    facts = _once(df, _hits=_hits(path, FORBIDDEN_FRAGMENTS), _resolved=resolve_path(path, cwd))
+    facts = with_once(df, _hits=_hits(path, FORBIDDEN_FRAGMENTS), _resolved=resolve_path(path, cwd))
     rules = _path_rules(path, F.col("_hits"), F.col("_resolved"), allowed_roots)
     judged = _judged(facts, df.columns, path, rules, F.col("_hits"))
     return judged.withColumn("resolved", F.when(F.col("allowed"), F.col("_resolved"))).drop("_resolved")
@@ -140,14 +132,14 @@ def screen_commands(df: DataFrame, command_col: str = "command") -> DataFrame:
     """Add the verdict on a column of shell commands."""
     command = F.col(command_col)
     lowered = F.lower(command)
-    facts = _once(df, _dangerous=_hits(lowered, DANGEROUS_COMMANDS), _hits=_hits(lowered, FORBIDDEN_FRAGMENTS))
+    facts = with_once(df, _dangerous=_hits(lowered, DANGEROUS_COMMANDS), _hits=_hits(lowered, FORBIDDEN_FRAGMENTS))
     rules = _command_rules(command, F.col("_dangerous"), F.col("_hits"))
     return _judged(facts, df.columns, command, rules, F.concat("_dangerous", "_hits"))
 
 
 def screen_code(df: DataFrame, code_col: str = "code") -> DataFrame:
     """Add the verdict on a column of Python code."""
-    facts = _once(df, _hits=_hits(F.col(code_col), FORBIDDEN_CODE))
+    facts = with_once(df, _hits=_hits(F.col(code_col), FORBIDDEN_CODE))
     return _judged(facts, df.columns, F.col(code_col), _code_rules(F.col("_hits")), F.col("_hits"))
 
 
@@ -178,7 +170,7 @@ def screen_calls(calls: DataFrame, allowed_roots: list[str], cwd: str | None = N
     )
     lowered = F.lower("_command")
     # A call has a path or a command, so one search for fragments serves both.
-    facts = _once(
+    facts = with_once(
         asked,
         _fragments=_hits(F.coalesce("_path", lowered), FORBIDDEN_FRAGMENTS),
         _resolved=resolve_path(F.col("_path"), cwd),
