@@ -47,7 +47,7 @@ _REST = "c_chars - c_upper - c_digit - c_blank - c_mark - c_sign"
 
 
 def _distance(p: str, q: str) -> str:
-    terms = f"""list_sum(list_transform(list_zip({p}, {q}), z ->
+    terms = f"""list_sum(list_transform(list_zip({p}, {q}), lambda z:
         CASE WHEN z[1] > 0 THEN z[1] * log2(2 * z[1] / (z[1] + z[2])) ELSE 0 END
       + CASE WHEN z[2] > 0 THEN z[2] * log2(2 * z[2] / (z[1] + z[2])) ELSE 0 END))"""
     return f"sqrt(greatest({terms} / 2, 0))"
@@ -56,8 +56,8 @@ def _distance(p: str, q: str) -> str:
 _OP4 = f"""
 WITH base AS (
   SELECT doc_id, coalesce(lang, '') AS lang, t, w, len(w) AS n,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
-  FROM (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), x -> x <> '') AS w
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS w
         FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents))
 ), windows AS (
   SELECT doc_id, k, array_to_string(w[k:k+7], ' ') AS s
@@ -81,7 +81,7 @@ WITH base AS (
   SELECT lang FROM classes WHERE lang <> '' AND c_chars > 0 GROUP BY lang
   ORDER BY count(*) DESC, lang LIMIT {quality.LANGUAGES}
 ), lowered AS (
-  SELECT doc_id, lang, list_transform(w, x -> translate(x, {_UPPER}, {_LOWER})) AS w FROM base
+  SELECT doc_id, lang, list_transform(w, lambda x: translate(x, {_UPPER}, {_LOWER})) AS w FROM base
 ), word_counts AS (
   SELECT lang, word, count(*) AS times
   FROM (SELECT unnest(list_distinct([lang, ''])) AS lang, word FROM (SELECT lang, unnest(w) AS word FROM lowered))
@@ -92,7 +92,7 @@ WITH base AS (
         WHERE regexp_full_match(word, '\\p{{L}}{{1,{quality.COMMON_LETTERS}}}'))
   WHERE place <= {quality.COMMON_WORDS} GROUP BY lang
 ), word_reference AS (
-  SELECT lang, words, list_transform(times, x -> x / total::DOUBLE) AS q
+  SELECT lang, words, list_transform(times, lambda x: x / total::DOUBLE) AS q
   FROM common JOIN (SELECT lang, sum(times) AS total FROM word_counts GROUP BY lang) USING (lang)
 ), judged AS (
   SELECT b.doc_id, n, c_chars,
@@ -102,7 +102,7 @@ WITH base AS (
   JOIN (SELECT doc_id, w, CASE WHEN lang IN (SELECT lang FROM languages) THEN lang ELSE '' END AS own FROM lowered) l
     USING (doc_id)
   JOIN class_reference cr ON cr.lang = own JOIN word_reference wr ON wr.lang = own,
-  LATERAL (SELECT list_transform(wr.words, x -> len(list_filter(l.w, y -> y = x)) / greatest(n, 1)::DOUBLE) AS p)
+  LATERAL (SELECT list_transform(wr.words, lambda x: len(list_filter(l.w, lambda y: y = x)) / greatest(n, 1)::DOUBLE) AS p)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (c_chars >= {quality.MIN_CHARS} AND class_distance > {quality.MAX_CLASS_DISTANCE})
@@ -121,7 +121,7 @@ FROM (
 
 _OP7 = f"""
 WITH sized AS (
-  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), x -> x <> '')) AS size,
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '')) AS size,
     substr(sha256('mix:' || doc_id), 1, 15) AS place
   FROM documents
 ), sources AS (

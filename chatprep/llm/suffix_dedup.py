@@ -377,7 +377,9 @@ def remove_repeats(
     """
     sizes = Sizes(span, anchor)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+    # Never null, and known not to be: else joins would filter some uses of the texts
+    # and not others, and the shuffle would not be shared.
+    key = F.coalesce(F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), key.alias("key"))
     # Copies of a text are one row from here on. All that follows hangs on this one
     # shuffle of the texts: each use of them joins by the same key.
