@@ -81,7 +81,7 @@ WITH base AS (
   SELECT lang FROM classes WHERE lang <> '' AND c_chars > 0 GROUP BY lang
   ORDER BY count(*) DESC, lang LIMIT {quality.LANGUAGES}
 ), lowered AS (
-  SELECT doc_id, lang, list_transform(w, lambda x: translate(x, {_UPPER}, {_LOWER})) AS w FROM base
+  SELECT doc_id, lang, list_transform(w, lambda x: lower(x)) AS w FROM base
 ), word_counts AS (
   SELECT lang, word, count(*) AS times
   FROM (SELECT unnest(list_distinct([lang, ''])) AS lang, word FROM (SELECT lang, unnest(w) AS word FROM lowered))

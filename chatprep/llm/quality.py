@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatprep.llm.common import BLANKS, ascii_lower, words
+from chatprep.llm.common import words, written
 
 #: Words in the histogram of a language, and the most letters of a word that may be
 #: one: function words are short, and short words are few, so counting them all is cheap.
 COMMON_WORDS = 24
 COMMON_LETTERS = 4
+SHORT_WORD = f"^\\p{{L}}{{1,{COMMON_LETTERS}}}$"
 #: The languages with most documents get references of their own; the documents of
 #: others, and of no language, share one.
 LANGUAGES = 64
@@ -42,15 +43,15 @@ def _count(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, others, ""))
 
 
-def class_counts(text: Column) -> list[Column]:
-    """Upper case letters, digits, blanks, marks of a sentence, other signs; the rest is found later."""
+def class_counts(thin: Column) -> list[Column]:
+    """Upper case letters, digits, blanks, marks of a sentence and other signs of a thinned text."""
     return [
-        _count(text, r"\P{Lu}+").alias("_upper"),
-        _count(text, r"[^0-9]+").alias("_digit"),
-        _count(text, r"[^\x20\x09-\x0D]+").alias("_blank"),
-        _count(text, r"""[^.,;:'"?\-]+""").alias("_mark"),
-        _count(text, r"[^!#$%&()*+/<=>@\[\\\]^_`{|}~]+").alias("_sign"),
-        F.length(text).alias("_chars"),
+        _count(thin, r"\P{Lu}+").alias("_upper"),
+        _count(thin, r"[^0-9]+").alias("_digit"),
+        _count(thin, r"[^\x20\x09-\x0D]+").alias("_blank"),
+        _count(thin, r"""[^.,;:'"?\-]+""").alias("_mark"),
+        _count(thin, r"[^!#$%&()*+/<=>@\[\\\]^_`{|}~]+").alias("_sign"),
+        _count(thin, r"[^#*$%&|<>]+").alias("_symbols"),
     ]
 
 
@@ -65,10 +66,6 @@ def distance(left: Column, right: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def _window_hashes(list_of_words: Column) -> Column:
-    return F.transform(list_of_words, lambda word: F.xxhash64(word))
-
-
 def _shared_starts(ordered: Column) -> Column:
     """Places, in order, whose hash has an equal neighbour in an array sorted by (h, k)."""
 
@@ -80,22 +77,35 @@ def _shared_starts(ordered: Column) -> Column:
 
 
 def signals(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list[str] | None = None) -> DataFrame:
-    """The counts that the rules look at, one row for each input row, and what is kept of it."""
+    """What the rules look at, one row for each input row, and what is kept of it.
+
+    ``_short`` has the text's words of few letters, lower-cased.
+    """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(*[F.col(name) for name in keep or [id_col]])
     rows = docs.select(row.alias("_row"), lang.alias("_lang"), text.alias("_text"))
-    rows = rows.select("*", words(F.col("_text")).alias("_words"))
+    # Small letters are most of a text and none of the classes that are counted: without
+    # them the counts read a fifth of it.
+    rows = rows.select(
+        "_row",
+        "_lang",
+        "_text",
+        words(F.col("_text")).alias("_words"),
+        F.regexp_replace("_text", r"[a-z\p{Ll}]+", "").alias("_thin"),
+    )
+    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    short = F.transform(F.filter("_words", lambda word: F.length(word) <= COMMON_LETTERS), lambda word: F.lower(word))
     rows = rows.select(
         "_row",
         "_lang",
         F.size("_words").alias("_n"),
+        F.length("_text").alias("_chars"),
         F.length(F.array_join("_words", "")).alias("_word_chars"),
-        *class_counts(F.col("_text")),
-        _count(F.col("_text"), r"[^#*$%&|<>]+").alias("_symbols"),
-        F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
-        _window_hashes(F.col("_words")).alias("_hashes"),
-        F.transform("_words", lambda word: ascii_lower(word)).alias("_words"),
+        *class_counts(F.col("_thin")),
+        lines.alias("_lines"),
+        F.transform("_words", lambda word: F.xxhash64(word)).alias("_hashes"),
+        short.alias("_short"),
     )
     places = F.when(F.col("_n") >= WINDOW, F.sequence(F.lit(0), F.col("_n") - WINDOW))
     window = F.transform(places, lambda k: F.xxhash64(*[F.get("_hashes", k + j) for j in range(WINDOW)]))
@@ -114,7 +124,10 @@ def signals(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: li
     starts = F.coalesce(_shared_starts(F.col("_ordered")), F.array().cast("array<int>"))
     rows = rows.select(*[name for name in rows.columns if name != "_ordered"], starts.alias("_starts"))
     # Neighbouring windows share words: each adds those up to the next one's start.
-    gaps = F.transform("_starts", lambda start, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", k + 1), start + WINDOW) - start))
+    gaps = F.transform(
+        "_starts",
+        lambda start, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", k + 1), start + WINDOW) - start),
+    )
     repeat = F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
     rest = sum((-F.col(name) for name in _COUNTED), F.col("_chars"))
     return rows.select(
@@ -122,52 +135,37 @@ def signals(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: li
     )
 
 
-def references(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def references(rows: DataFrame) -> DataFrame:
     """One row for each language with a reference: ``_lang``, ``_common``, ``_q_words``, ``_q_classes``.
 
-    At most ``LANGUAGES`` + 1 rows of ``COMMON_WORDS`` short words each, so it can be
-    broadcast. The row with an empty ``_lang`` is made of all texts.
+    ``rows`` are signals. At most ``LANGUAGES`` + 1 rows of ``COMMON_WORDS`` short words
+    each, so it can be broadcast. The row with an empty ``_lang`` is made of all texts.
     """
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(lang.alias("_lang"), text.alias("_text"))
-    # One pass for the classes: a row for each language leaves a task. Texts count alike,
-    # so that a few long odd ones don't set the reference; whole parts per million keep
-    # the sums free of the order of addition.
-    counts = rows.where("_text != ''").select("_lang", *class_counts(F.col("_text")))
+    # Texts count alike for the classes, so that a few long odd ones don't set the
+    # reference; whole parts per million keep the sums free of the order of addition.
     parts = [F.floor(F.col(name).cast("long") * 1_000_000 / F.col("_chars")).alias(name) for name in _COUNTED]
-    sums = counts.select("_lang", *parts, F.lit(1_000_000).cast("long").alias("_chars")).groupBy("_lang").agg(
-        F.count(F.lit(1)).alias("_docs"), *[F.sum(name).alias(name) for name in (*_COUNTED, "_chars")]
+    some = rows.where("_chars > 0")
+    sums = some.select("_lang", "_n", *parts, F.lit(1_000_000).cast("long").alias("_chars")).groupBy("_lang").agg(
+        F.count(F.lit(1)).alias("_docs"), *[F.sum(name).alias(name) for name in ("_n", *_COUNTED, "_chars")]
     )
-    # One pass for the words: all are counted, short ones by themselves.
-    short = f"^[\\p{{L}}]{{1,{COMMON_LETTERS}}}$"
-    each = rows.select("_lang", F.explode(F.split("_text", BLANKS)).alias("_word")).where("_word != ''")
-    each = each.select("_lang", F.when(F.length("_word") <= COMMON_LETTERS, ascii_lower(F.col("_word"))).alias("_word"))
-    counted = each.groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("_times"))
-    counted = counted.withColumn("_word", F.when(F.col("_word").rlike(short), F.col("_word")))
-
+    counted = rows.select("_lang", F.explode("_short").alias("_word")).groupBy("_lang", "_word")
+    counted = counted.agg(F.count(F.lit(1)).alias("_times")).where(F.col("_word").rlike(SHORT_WORD))
+    # Small from here on: rows for languages, and for their short words.
+    sums, counted = written(sums, "sums"), written(counted, "words")
     large = sums.where("_lang != ''").orderBy(F.desc("_docs"), "_lang").limit(LANGUAGES).select("_lang")
     own_and_all = F.explode(F.array_distinct(F.array(F.col("_lang"), F.lit("")))).alias("_lang")
-
-    def both(df: DataFrame, *names: str) -> DataFrame:
-        return df.select(own_and_all, *names)
-
-    words_of = both(counted, "_word", "_times").groupBy("_lang", "_word").agg(F.sum("_times").alias("_times"))
-    # The best of each language leave the task that holds the language's words, not all of them.
+    words_of = counted.select(own_and_all, "_word", "_times").groupBy("_lang", "_word")
+    words_of = words_of.agg(F.sum("_times").alias("_times"))
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("_times"), "_word"))
-    best = words_of.where("_word is not null").withColumn("_place", place).where(F.col("_place") <= COMMON_WORDS)
-    best = best.groupBy("_lang").agg(
-        F.array_sort(F.collect_list(F.struct("_place", "_word", "_times"))).alias("_best")
-    )
-    total = words_of.groupBy("_lang").agg(F.sum("_times").alias("_total"))
-    totals = both(sums, *[n for n in sums.columns if n not in ("_lang", "_docs")]).groupBy("_lang").agg(
-        *[F.sum(name).alias(name) for name in (*_COUNTED, "_chars")]
-    )
+    best = words_of.withColumn("_place", place).where(F.col("_place") <= COMMON_WORDS)
+    best = best.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("_place", "_word", "_times"))).alias("_best"))
+    names = ["_n", *_COUNTED, "_chars"]
+    totals = sums.select(own_and_all, *names).groupBy("_lang").agg(*[F.sum(name).alias(name) for name in names])
     rest = sum((-F.col(name) for name in _COUNTED), F.col("_chars"))
-    found = totals.withColumn("_rest", rest).join(best, "_lang", "left").join(total, "_lang", "left")
-    found = found.where("_lang = ''").unionByName(found.join(large, "_lang", "left_semi"))
+    found = totals.withColumn("_rest", rest).join(best, "_lang", "left")
+    found = found.join(large.withColumn("_large", F.lit(True)), "_lang", "left").where("_large or _lang = ''")
     best_words = F.coalesce(F.col("_best"), F.array().cast("array<struct<_place:int,_word:string,_times:bigint>>"))
-    times = F.transform(best_words, lambda b: b["_times"].cast("double") / F.col("_total"))
+    times = F.transform(best_words, lambda b: b["_times"].cast("double") / F.greatest(F.col("_n"), F.lit(1)))
     return found.select(
         "_lang",
         F.transform(best_words, lambda b: b["_word"]).alias("_common"),
@@ -198,18 +196,18 @@ def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list
     are judged one by one, an empty table gives an empty result, other columns of the
     input play no part.
     """
-    rows = signals(docs, id_col, text_col, lang_col, keep)
+    # Texts are read once; counts and short words go on.
+    rows = written(signals(docs, id_col, text_col, lang_col, keep), "signals")
     # At most LANGUAGES + 1 short rows; its size does not grow with the documents.
-    known = references(docs, text_col, lang_col)
+    known = written(references(rows), "references")
     own = known.where("_lang != ''")
     shared = known.where("_lang = ''").select(*[F.col(n).alias(f"_all{n}") for n in known.columns if n != "_lang"])
     rows = rows.join(F.broadcast(own), "_lang", "left").join(F.broadcast(shared), F.lit(True), "left")
     for name in ("_common", "_q_words", "_q_classes"):
         rows = rows.withColumn(name, F.coalesce(name, f"_all{name}"))
-    left = F.size("_words").cast("double")
-    shares = F.transform(
-        "_common", lambda word: (F.size("_words") - F.size(F.array_remove("_words", word))) / F.greatest(left, F.lit(1.0))
-    )
+    size = F.size("_short")
+    whole = F.greatest(F.col("_n"), F.lit(1)).cast("double")
+    shares = F.transform("_common", lambda word: (size - F.size(F.array_remove("_short", word))) / whole)
     rows = rows.select(
         "_row", "_n", "_word_chars", "_symbols", "_dup_lines", "_repeat", "_chars", "_q_words", "_q_classes",
         shares.alias("_shares"), _class_shares().alias("_classes"),
