@@ -66,23 +66,33 @@ def balanced_candidates(text: Column) -> Column:
         for batch in batches:
             yield batch.map(objects)
 
-    return scan(text)
+    # Texts without a brace hold no call and stay out of Python.
+    some = F.contains(text, F.lit("{"))
+    return F.when(some, scan(F.when(some, text))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def parsed(candidate: Column) -> Column:
     """The candidate read as a call: ``call.name``, ``call.arguments`` as JSON text, ``end``.
 
     One reading per candidate, as part of an object whose ``end`` comes out only if
-    the candidate is one whole JSON object; see ``is_call``. As in Python, the last
+    the candidate's text is read to its end; see ``is_call``. As in Python, the last
     of repeated keys counts and ``NaN`` is a value.
     """
-    whole = F.concat(F.lit('{"call":'), candidate, F.lit(f',"end":"{END_MARK}"}}'))
-    return F.from_json(whole, CALL_SCHEMA, {"allowSingleQuotes": "false"})
+    return F.from_json(_whole(candidate), CALL_SCHEMA, {"allowSingleQuotes": "false"})
 
 
-def is_call(value: Column) -> Column:
-    """Whether a parsed candidate was one JSON object."""
-    return F.coalesce(value["end"] == END_MARK, F.lit(False))
+def _whole(candidate: Column) -> Column:
+    return F.concat(F.lit('{"call":'), candidate, F.lit(f',"end":"{END_MARK}"}}'))
+
+
+def is_call(value: Column, candidate: Column) -> Column:
+    """Whether a candidate, and what it was parsed to, is one JSON object.
+
+    A candidate that holds several values would bring keys of its own into the object
+    around it; so the keys there must be the two that were put in.
+    """
+    keys = F.json_object_keys(_whole(candidate)) == F.array(F.lit("call"), F.lit("end"))
+    return F.coalesce((value["end"] == END_MARK) & keys, F.lit(False))
 
 
 def canonical_json(text: Column) -> Column:

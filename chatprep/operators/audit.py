@@ -6,15 +6,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import preview
-from chatprep.functions.tool_json import args_hash
-from chatprep.rules import AUDIT_PREVIEW_CHARS
+from chatprep.functions.tool_json import canonical_json
+from chatprep.rules import AUDIT_PREVIEW_CHARS, AUDITED, TIMEOUT_BOUNDS, TOOLS
+
+
+def audited_arguments(tool: Column, arguments: Column) -> Column:
+    """The arguments of a call as it is executed, as JSON with sorted keys and no blanks.
+
+    Defaults are filled in, timeouts held between their bounds, and contents and code
+    replaced by their lengths. A call that is not executed, for its tool is unknown or
+    its arguments don't fit, stands as it was written.
+    """
+    given = F.json_object_keys(arguments)
+    values = F.try_parse_json(arguments)
+    executed = F.lit(None).cast("string")
+    for name, kept in AUDITED.items():
+        params = {param: default for param, _, default in TOOLS[name][1]}
+        required = [param for param, default in params.items() if default is None]
+        fits = F.size(F.array_except(given, F.array(*map(F.lit, params)))) == 0
+        if required:
+            fits &= F.size(F.array_except(F.array(*map(F.lit, required)), given)) == 0
+        parts = []
+        for key in kept:
+            param = key.removesuffix("_len")
+            stated = F.to_json(F.try_variant_get(values, f"$.{param}", "variant"))
+            value = F.when(F.array_contains(given, param), F.coalesce(stated, F.lit("null")))
+            if key != param:
+                value = F.coalesce(F.length(F.try_variant_get(values, f"$.{param}", "string")).cast("string"), value)
+            elif param == "timeout":
+                low, high = TIMEOUT_BOUNDS[name]
+                seconds = F.try_variant_get(values, "$.timeout", "long")
+                held = F.least(F.greatest(seconds, F.lit(low)), F.lit(high)).cast("string")
+                value = F.coalesce(F.when(seconds.isNotNull(), held), value)
+            if params[param] is not None:
+                value = F.coalesce(value, F.lit(params[param]))
+            parts.append(F.concat(F.lit(f'"{key}":'), value))
+        whole = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+        executed = F.when((tool == name) & fits, whole).otherwise(executed)
+    return F.coalesce(executed, canonical_json(arguments))
 
 
 def audit_log(calls: DataFrame) -> DataFrame:
     """Call rows to audit rows; each call has one, also those with empty results.
 
-    The hash is over JSON with sorted keys and no blanks. Session and turn stay, so
-    that the figures below can be read from the log alone.
+    The hash is over ``audited_arguments``. Session and turn stay, so that the figures
+    below can be read from the log alone.
     """
     result = F.when(F.col("result") != "", F.col("result"))
     return calls.select(
@@ -23,15 +59,21 @@ def audit_log(calls: DataFrame) -> DataFrame:
         "call_no",
         "ts",
         "tool",
-        args_hash(F.col("arguments")).alias("args_hash"),
+        F.substring(F.sha2(audited_arguments(F.col("tool"), F.col("arguments")), 256), 1, 16).alias("args_hash"),
         "success",
         preview(result, AUDIT_PREVIEW_CHARS).alias("result_preview"),
     )
 
 
-def append_audit_log(log: DataFrame, path: str) -> None:
-    """Add audit rows to a table kept by day."""
-    log.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+def append_audit_log(log: DataFrame, path: str, files_per_day: int = 16) -> None:
+    """Add audit rows to a table kept by day, in at most ``files_per_day`` files for each.
+
+    Rows are brought together by day and a part of the day, so that tasks don't write
+    a file for every day each; a busy day is spread over as many tasks as it has parts.
+    """
+    rows = log.withColumn("day", F.to_date("ts"))
+    part = F.pmod(F.xxhash64(*log.columns), F.lit(files_per_day))
+    rows.repartition("day", part).write.mode("append").partitionBy("day").parquet(path)
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -90,10 +132,7 @@ def tool_metrics(audit: DataFrame) -> DataFrame:
     )
 
 
-def error_history(audit: DataFrame) -> DataFrame:
-    """Failed calls in order."""
-    return (
-        audit.where(~F.col("success"))
-        .select("session_id", "ts", "call_no", "tool", "result_preview")
-        .orderBy("session_id", "ts", "call_no")
-    )
+def error_history(audit: DataFrame, ordered: bool = False) -> DataFrame:
+    """Failed calls; by session and time if ``ordered``."""
+    failed = audit.where(~F.col("success")).select("session_id", "ts", "call_no", "tool", "result_preview")
+    return failed.orderBy("session_id", "ts", "call_no") if ordered else failed

@@ -52,13 +52,20 @@ def _found(responses: DataFrame, mode: str) -> DataFrame:
 
 
 def call_fields(found: DataFrame) -> DataFrame:
-    """Name and arguments of a parsed call, by default empty and ``{}``."""
+    """Name and arguments of a parsed call.
+
+    An absent name is empty and absent arguments are ``{}``. A null that the call
+    states stays: the name is null, the arguments are the JSON text ``null``.
+    """
+    given = F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>"))
     return found.select(
         "conv_id",
         "turn",
         "position",
-        F.coalesce("value.call.name", F.lit("")).alias("tool"),
-        F.coalesce("value.call.arguments", F.lit("{}")).alias("arguments"),
+        F.coalesce("value.call.name", F.when(~F.array_contains(given, "name"), F.lit(""))).alias("tool"),
+        F.coalesce(
+            "value.call.arguments", F.when(F.array_contains(given, "arguments"), F.lit("null")), F.lit("{}")
+        ).alias("arguments"),
     )
 
 
@@ -67,24 +74,24 @@ def extract_tool_calls(responses: DataFrame, mode: str = "compat") -> DataFrame:
 
     ``compat`` takes the shortest text in braces, ``balanced`` the whole object.
     """
-    return call_fields(_found(responses, mode).where(is_call(F.col("value"))))
+    return call_fields(_found(responses, mode).where(is_call(F.col("value"), F.col("raw"))))
 
 
 def failed_tool_calls(responses: DataFrame, mode: str = "compat") -> DataFrame:
     """Candidates that are not one JSON object."""
-    return _found(responses, mode).where(~is_call(F.col("value"))).drop("value")
+    return _found(responses, mode).where(~is_call(F.col("value"), F.col("raw"))).drop("value")
 
 
 def count_calls(text: Column, mode: str = "compat") -> Column:
     """Number of calls in one answer."""
     find = {"compat": candidates, "balanced": balanced_candidates}[mode]
-    return F.size(F.filter(F.transform(find(text), parsed), is_call))
+    return F.size(F.filter(find(text), lambda c: is_call(parsed(c), c)))
 
 
 def resolve_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Calls with the catalogue's verdict on their name."""
     names = tools.select(F.col("name").alias("tool"), F.lit(True).alias("known"))
-    message = F.concat(F.lit("❌ Unknown tool: "), F.col("tool"))
+    message = F.concat(F.lit("❌ Unknown tool: "), F.coalesce("tool", F.lit("None")))
     return (
         calls.join(names, "tool", "left")
         .withColumn("known", F.coalesce("known", F.lit(False)))

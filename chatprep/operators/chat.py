@@ -99,27 +99,35 @@ def collect_messages(turns: DataFrame, part_turns: int = 1000) -> DataFrame:
 
     A row holds the turns of one range of ``part_turns`` numbers, so that a
     conversation of any length never becomes one row or one task. ``(conv_id,
-    turn)`` must be unique. Parts in order are the whole conversation.
+    turn)`` must be unique. Parts in order are the whole conversation; ``is_last``
+    marks the one that ends it, so that ``part_turns`` changes no result.
     """
+    part = F.expr(f"turn div {part_turns}")
     message = F.struct("turn", "role", F.col("text").alias("content"))
     ordered = F.array_sort(F.collect_list(message))
-    return turns.groupBy("conv_id", F.expr(f"turn div {part_turns}").alias("part")).agg(
+    parts = turns.groupBy("conv_id", part.alias("part")).agg(
         F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias(
             "messages"
         )
     )
+    # One narrow row for each conversation.
+    ends = turns.groupBy(F.col("conv_id").alias("_conv_id")).agg(F.max(part).alias("_last"))
+    return parts.join(ends, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").select(
+        *parts.columns, F.col("part").eqNullSafe(F.col("_last")).alias("is_last")
+    )
 
 
 def render_chat(
     messages: Column,
-    add_generation_prompt: bool = False,
+    add_generation_prompt: bool | Column = False,
     layout: str = CHATML,
     prompt: str = CHATML_PROMPT,
 ) -> Column:
     """Messages array to model text.
 
     ``layout`` is the text of one message with ``{role}`` and ``{content}``;
-    ``prompt`` is appended where an answer is to be generated.
+    ``prompt`` is appended where an answer is to be generated; of the parts of a
+    conversation that is the last one, so give their column ``is_last``.
     """
     before, rest = layout.split("{role}")
     middle, after = rest.split("{content}")
@@ -128,6 +136,8 @@ def render_chat(
         lambda m: F.concat(F.lit(before), m["role"], F.lit(middle), m["content"], F.lit(after)),
     )
     text = F.array_join(parts, "")
+    if isinstance(add_generation_prompt, Column):
+        return F.concat(text, F.when(add_generation_prompt, F.lit(prompt)).otherwise(F.lit("")))
     return F.concat(text, F.lit(prompt)) if add_generation_prompt else text
 
 

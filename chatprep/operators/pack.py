@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import token_count
@@ -108,12 +108,16 @@ def length_report(samples: DataFrame, max_len: int = MAX_SEQUENCE) -> DataFrame:
     tokens share blocks.
     """
     length = F.lit(max_len)
+    # Exact: the first length with at least half of the samples up to it. One row per length.
+    counted = samples.where(F.col("n_tokens").isNotNull()).groupBy("n_tokens").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("upto", F.sum("n").over(Window.orderBy("n_tokens")))
+    half = samples.agg((F.count("n_tokens") / 2).alias("half")).scalar()
+    median = counted.where(F.col("upto") >= half).agg(F.min("n_tokens").alias("median_tokens")).scalar()
     report = samples.agg(
         F.count("*").alias("n_samples"),
         F.count_if(F.col("n_tokens") > length).alias("n_over"),
         F.sum("n_tokens").alias("n_tokens"),
         F.max("n_tokens").alias("max_tokens"),
-        F.percentile_approx("n_tokens", F.lit(0.5), F.lit(10000)).alias("median_tokens"),
         F.sum(F.ceil(F.col("n_tokens") / length)).alias("blocks_unpacked"),
-    ).withColumn("blocks_packed", F.ceil(F.col("n_tokens") / length))
+    ).withColumns({"blocks_packed": F.ceil(F.col("n_tokens") / length), "median_tokens": median})
     return report.withColumn("share_saved", 1 - F.col("blocks_packed") / F.col("blocks_unpacked"))

@@ -103,7 +103,9 @@ def _code_rules(hits: Column) -> Rules:
     return [(F.size(hits) > 0, "code", reason)]
 
 
-def _judged(df: DataFrame, columns: list[str], text: Column, rules: Rules, matched: Column) -> DataFrame:
+def _judged(
+    df: DataFrame, columns: list[str], text: Column, rules: Rules, matched: Column, argument: Column | None = None
+) -> DataFrame:
     rule, reason = _first(rules)
     there = text.isNotNull()
     return df.withColumns({"_rule": rule, "_reason": reason}).select(
@@ -112,6 +114,7 @@ def _judged(df: DataFrame, columns: list[str], text: Column, rules: Rules, match
         F.when(there, F.col("_rule")).alias("rule"),
         F.when(there, F.col("_reason")).alias("reason"),
         F.when(there, matched).alias("matched"),
+        *([] if argument is None else [F.when(there, argument).alias("argument")]),
         *[c for c in df.columns if c == "_resolved"],
     )
 
@@ -144,7 +147,7 @@ def screen_code(df: DataFrame, code_col: str = "code") -> DataFrame:
 
 
 def screen_calls(calls: DataFrame, allowed_roots: list[str], cwd: str | None = None) -> DataFrame:
-    """Add the first refusal of each call, by the checks its tool makes.
+    """Add the first refusal of each call, by the checks its tool makes, and its ``argument``.
 
     Copying and moving check the source, then the destination; the shell checks the
     command, then the folder. A call of an unknown tool, or without an argument to
@@ -154,9 +157,14 @@ def screen_calls(calls: DataFrame, allowed_roots: list[str], cwd: str | None = N
     tool = F.col("tool")
     names = ["_" + field.split()[0] for field in SCREENED.split(", ")]
     given = F.inline(F.array(F.from_json("arguments", SCREENED))).alias(*names)
+    # A null that the call states is an empty text; a default is for what it leaves out.
+    stated = F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))
     transfer = tool.isin(TRANSFER_TOOLS)
     here = F.lit(".")
-    asked = calls.select("*", given).select(
+    stated_texts = {
+        name: F.when(F.array_contains(stated, name.removeprefix("_")), F.coalesce(name, F.lit(""))) for name in names
+    }
+    asked = calls.select("*", given).withColumns(stated_texts).select(
         *calls.columns,
         F.when(tool.isin(PATH_TOOLS), F.col("_path"))
         .when(tool.isin(FOLDER_TOOLS), F.coalesce("_path", here))
@@ -179,16 +187,26 @@ def screen_calls(calls: DataFrame, allowed_roots: list[str], cwd: str | None = N
         _second_hits=_hits(F.col("_second"), FORBIDDEN_FRAGMENTS),
         _second_resolved=resolve_path(F.col("_second"), cwd),
     )
-    rules = [
-        *_path_rules(F.col("_path"), F.col("_fragments"), F.col("_resolved"), allowed_roots),
-        *_command_rules(F.col("_command"), F.col("_dangerous"), F.col("_fragments")),
-        *_code_rules(F.col("_code_hits")),
-        *_path_rules(F.col("_second"), F.col("_second_hits"), F.col("_second_resolved"), allowed_roots),
+    by_argument = [
+        (
+            F.when(transfer, "source").otherwise("path"),
+            _path_rules(F.col("_path"), F.col("_fragments"), F.col("_resolved"), allowed_roots),
+        ),
+        (F.lit("command"), _command_rules(F.col("_command"), F.col("_dangerous"), F.col("_fragments"))),
+        (F.lit("code"), _code_rules(F.col("_code_hits"))),
+        (
+            F.when(transfer, "destination").otherwise("working_dir"),
+            _path_rules(F.col("_second"), F.col("_second_hits"), F.col("_second_resolved"), allowed_roots),
+        ),
     ]
+    rules = [rule for _, own in by_argument for rule in own]
+    argument = F.coalesce(
+        *[F.when(reduce(operator.or_, [F.coalesce(r[0], F.lit(False)) for r in own]), name) for name, own in by_argument]
+    )
     asked_for = F.coalesce("_path", "_command", "_code")
     complete = F.when(~transfer | F.col("_second").isNotNull(), asked_for)
     matched = F.concat("_dangerous", "_fragments", "_code_hits", "_second_hits")
-    return _judged(facts, calls.columns, complete, rules, matched).drop("_resolved")
+    return _judged(facts, calls.columns, complete, rules, matched, argument).drop("_resolved")
 
 
 def policy_summary(screened: DataFrame) -> DataFrame:

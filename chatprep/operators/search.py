@@ -11,7 +11,6 @@ from chatprep.functions.text import base_name, name_glob, one_line_break, parent
 from chatprep.rules import (
     FORBIDDEN_FRAGMENTS,
     FOUND_FILES,
-    GREP_FILES,
     GREP_LINE_CHARS,
     GREP_MATCHES,
     LISTED_FILES,
@@ -119,34 +118,30 @@ def grep(
     pattern: str,
     case_sensitive: bool = False,
     include: str = "*",
-    max_matches: int | None = None,
-    max_files: int | None = None,
+    line_chars: int | None = GREP_LINE_CHARS,
 ) -> DataFrame:
-    """Lines that hold a regex: path, line number from 1, and the line cut to 150.
+    """All lines of all files that hold a regex: path, line number from 1, and the line.
 
-    All matches by default. ``max_matches`` keeps the first ones by path and line
-    (50 in a report), ``max_files`` searches the first files by path (1,000).
+    A line is cut to ``line_chars`` characters, 150 as in a report; None keeps it whole.
     """
     regex = java_regex(files, pattern, case_sensitive)
     chosen = searched_files(files, include)
-    if max_files is not None:
-        first = chosen.select("path").orderBy("path").limit(max_files)
-        chosen = chosen.join(first, "path", "left_semi")
     lines = chosen.select("path", F.split(one_line_break(F.col("text")), "\n").alias("lines"))
     lines = lines.select("path", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line"))
     ended = F.col("at") < F.col("n") - 1
     searched = F.when(ended, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
-    shown = F.substring(F.rtrim(F.col("line"), F.lit(PYTHON_SPACE)), 1, GREP_LINE_CHARS)
+    shown = F.rtrim(F.col("line"), F.lit(PYTHON_SPACE))
+    if line_chars is not None:
+        shown = F.substring(shown, 1, line_chars)
     # What follows the last line break is a line only if it is not empty.
-    matches = lines.where((ended | (F.col("line") != "")) & F.rlike(searched, F.lit(regex))).select(
+    return lines.where((ended | (F.col("line") != "")) & F.rlike(searched, F.lit(regex))).select(
         "path", (F.col("at") + 1).alias("line_num"), shown.alias("line")
     )
-    return matches if max_matches is None else matches.orderBy("path", "line_num").limit(max_matches)
 
 
 def grep_report(files: DataFrame, pattern: str, case_sensitive: bool = False, include: str = "*") -> DataFrame:
-    """The capped search that a report shows: 50 matches from 1,000 files."""
-    return grep(files, pattern, case_sensitive, include, GREP_MATCHES, GREP_FILES)
+    """What a report shows of a search of all files: the first 50 matches, and how many more."""
+    return cap_with_rest(grep(files, pattern, case_sensitive, include), ["path", "line_num"], GREP_MATCHES)
 
 
 def searched_files(files: DataFrame, include: str = "*") -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from chatprep.rules import SPLIT_SEED, TRAIN_RATIO
 
 MILLION = 1_000_000
-BUCKET_DIGITS = 3
+#: Hash digits that are counted per step, and steps: 4,096 rows each, then 1/16,777,216 of all is ranked.
+STEP_DIGITS = 3
+STEPS = 2
 
 
 def shuffle_hash(key: Column, seed: int) -> Column:
@@ -28,26 +30,29 @@ def split_exact(
     ``ceil(n * (1 - train_ratio))`` of them.
 
     No row is shuffled. Counts by hash prefix (4,096 rows at most) say which prefix
-    holds the last validation row; only that prefix's hashes, one 4,096th of all,
-    are ranked to find the cut; then one filter over the rows compares with the cut.
-    The key must be unique, else equal keys share a part and sizes may pass.
+    holds the last validation row, and counts of longer prefixes which of its parts;
+    the few hashes left are ranked to find the cut; then one filter over the rows
+    compares with the cut. The key must be unique, else equal keys share a part and
+    sizes may pass. Rows with a null key belong to no part: their ``split`` is null,
+    and they count for no size.
     """
     hashed = shuffle_hash(F.col(key), seed)
-    hashes = df.select(F.substring(hashed, 1, BUCKET_DIGITS).alias("bucket"), hashed.alias("hash"))
+    hashes = df.where(F.col(key).isNotNull()).select(hashed.alias("hash"))
 
+    total = hashes.agg(F.count("*").alias("total"))
+    needed = total.select(F.expr(f"(total * {_held_out_share(train_ratio)} + {MILLION - 1}) div {MILLION}")).scalar()
     in_order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counted = hashes.groupBy("bucket").agg(F.count("*").alias("n"))
-    counted = counted.withColumns({"upto": F.sum("n").over(in_order), "total": F.sum("n").over(Window.partitionBy())})
-    wanted = F.expr(f"(total * {_held_out_share(train_ratio)} + {MILLION - 1}) div {MILLION}")
-    last = counted.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted)).select(
-        "bucket", (wanted - F.col("upto") + F.col("n")).alias("needed")
-    )
-
-    ranked = hashes.where(F.col("bucket") == last.select("bucket").scalar()).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("bucket").orderBy("hash"))
-    )
-    cut = ranked.where(F.col("rank") == last.select("needed").scalar()).select("hash").scalar()
-    return df.withColumn("split", F.when(hashed <= cut, "validation").otherwise("train"))
+    for step in range(1, STEPS + 1):
+        prefix = F.substring("hash", 1, step * STEP_DIGITS)
+        counted = hashes.groupBy(prefix.alias("bucket")).agg(F.count("*").alias("n"))
+        counted = counted.withColumns({"upto": F.sum("n").over(in_order), "needed": needed})
+        last = counted.where((F.col("upto") >= F.col("needed")) & (F.col("upto") - F.col("n") < F.col("needed")))
+        needed = last.select((F.col("needed") - F.col("upto") + F.col("n")).alias("needed")).scalar()
+        hashes = hashes.where(prefix == last.select("bucket").scalar())
+    ranked = hashes.withColumn("rank", F.row_number().over(Window.orderBy("hash"))).withColumn("needed", needed)
+    cut = ranked.where(F.col("rank") == F.col("needed")).select("hash").scalar()
+    part = F.when(hashed <= cut, "validation").otherwise("train")
+    return df.withColumn("split", F.when(F.col(key).isNotNull(), part))
 
 
 def split_hash(

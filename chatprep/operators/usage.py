@@ -145,8 +145,8 @@ def calls_over_cap(calls: DataFrame, cap: int = MAX_CALLS_PER_TURN) -> DataFrame
     )
 
 
-def failure_streaks(audit: DataFrame, part_calls: int = 10_000) -> DataFrame:
-    """Runs of failed calls that follow each other in a session, longest first.
+def failure_streaks(audit: DataFrame, part_calls: int = 10_000, ordered: bool = False) -> DataFrame:
+    """Runs of failed calls that follow each other in a session; longest first if ``ordered``.
 
     Failures with the same number of successes before them are one run. ``audit``
     holds ``session_id, call_no, success``, with calls numbered in order; numbers
@@ -155,7 +155,7 @@ def failure_streaks(audit: DataFrame, part_calls: int = 10_000) -> DataFrame:
     rows = audit.select("session_id", "call_no", F.col("success").cast("long").alias("ok"))
     part = F.expr(f"call_no div {part_calls}")
     numbered = running_totals(rows, ["session_id"], ["call_no"], part, {"run": F.col("ok")})
-    return (
+    runs = (
         numbered.where(F.col("ok") == 0)
         .groupBy("session_id", "run")
         .agg(
@@ -164,5 +164,5 @@ def failure_streaks(audit: DataFrame, part_calls: int = 10_000) -> DataFrame:
             F.max("call_no").alias("last_call"),
         )
         .drop("run")
-        .orderBy(F.desc("length"), "session_id", "first_call")
     )
+    return runs.orderBy(F.desc("length"), "session_id", "first_call") if ordered else runs

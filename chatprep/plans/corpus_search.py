@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.operators.search import cap_found, cap_with_rest, grep, grep_report, list_files, search_files
-from chatprep.rules import MAX_FILE_BYTES
 from chatprep.sources.corpus import corpus_files, valid_text
 
 
@@ -17,23 +16,32 @@ def search_folder(
     case_sensitive: bool = False,
     include: str = "*",
     report: bool = False,
-    max_bytes: int = MAX_FILE_BYTES,
 ) -> DataFrame:
     """Lines of the files below a folder that hold a regex; all, or those a report shows.
 
-    Files above ``max_bytes`` are not read, see ``read_corpus`` for a list of them.
+    Files of any size are searched. Bytes that are not UTF-8 are left out. Files that
+    Spark does not read for their names have no lines, see ``unread_files``.
     """
-    files = corpus_files(spark, path).where(F.col("length") <= max_bytes)
-    files = files.select("path", valid_text(F.col("content")).alias("text"))
+    files = corpus_files(spark, path).select("path", valid_text(F.col("content"), ignore=True).alias("text"))
     search = grep_report if report else grep
     return search(files, pattern, case_sensitive, include)
 
 
-def listing(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*") -> DataFrame:
-    """The report of a folder listing: the first 100 entries and how many more."""
-    return cap_with_rest(list_files(corpus_files(spark, path).drop("content"), recursive, pattern), ["path"])
+def unread_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files whose names are listed but that no search can open: path, length, reason."""
+    files = corpus_files(spark, path)
+    return files.where(F.col("content").isNull()).select("path", "length", F.lit("hidden name").alias("reason"))
 
 
-def found(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """The report of a file search: the first 50 entries and how many more."""
-    return cap_found(search_files(corpus_files(spark, path).drop("content"), pattern))
+def listing(
+    spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*", report: bool = False
+) -> DataFrame:
+    """A folder's entries; a report has the first 100 and how many more."""
+    entries = list_files(corpus_files(spark, path).drop("content"), recursive, pattern)
+    return cap_with_rest(entries, ["path"]) if report else entries
+
+
+def found(spark: SparkSession, path: str, pattern: str, report: bool = False) -> DataFrame:
+    """Files and folders that fit a glob; a report has the first 50 and how many more."""
+    entries = search_files(corpus_files(spark, path).drop("content"), pattern)
+    return cap_found(entries) if report else entries

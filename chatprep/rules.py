@@ -70,7 +70,6 @@ MAX_SEQUENCE = 4096
 LISTED_FILES = 100
 FOUND_FILES = 50
 GREP_MATCHES = 50
-GREP_FILES = 1000
 GREP_LINE_CHARS = 150
 AUDIT_PREVIEW_CHARS = 200
 ARGUMENT_PREVIEW_CHARS = 100
@@ -147,5 +146,21 @@ TOOLS = {
     "create_directory": ("Make a folder", [("path", "string", None)]),
 }
 
+# Fixed values. The arguments of each tool that its audit row is a hash of, in order;
+# ``_len`` stands for the length of a text that is not itself kept.
+AUDITED = {
+    "read_file": ["max_lines", "path"],
+    "write_file": ["append", "content_len", "path"],
+    "delete_file": ["path"],
+    "list_directory": ["path", "pattern", "recursive"],
+    "search_files": ["path", "pattern"],
+    "grep_search": ["path", "pattern"],
+    "copy_file": ["destination", "source"],
+    "move_file": ["destination", "source"],
+    "run_shell": ["command", "timeout"],
+    "run_python": ["code_len", "timeout"],
+    "create_directory": ["path"],
+}
+
 # Fixed value. The tool that safe mode hides.
 HIDDEN_IN_SAFE_MODE = "run_shell"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,9 +12,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
-_local_base: dict[str, str] = {}
-
-
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set what the operators rely on: UTC and adaptive execution."""
     for key, value in SETTINGS.items():
@@ -24,20 +20,12 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else one in the warehouse.
 
-    Only a local session without that setting falls back to a temporary folder;
-    a cluster session without it is refused, since executors could not see one.
+    Both are settings of the cluster that driver and executors see alike.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-    if context.applicationId not in _local_base:
-        _local_base[context.applicationId] = tempfile.mkdtemp(prefix="chatprep-")
-    return _local_base[context.applicationId]
+    return (base or spark.conf.get("spark.sql.warehouse.dir") + "/work").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

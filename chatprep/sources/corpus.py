@@ -6,27 +6,70 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import one_line_break
-from chatprep.rules import MAX_FILE_BYTES, MAX_LINES
 
 
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
     """All files below a folder, or one file: path relative to it, length, content.
 
-    Content is read only where a query selects it. Spark's file sources do not see
-    files of zero bytes and names that start with a dot or an underscore.
+    Content is read only where a query selects it. Spark's file listing passes over
+    files of zero bytes, names that start with a dot or an underscore, and all that
+    lies below folders of such names. A listing of names and lengths finds those, as
+    Spark's own does for the others. Files below hidden folders are then read by name;
+    files with hidden names Spark does not read at all, and their content is null.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     given = spark._jvm.org.apache.hadoop.fs.Path(path)
-    root = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString() + "/"
+    store = given.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = store.makeQualified(given).toString().rstrip("/") + "/"
+    below, unread, seen = _passed_over(store, given, root)
+    columns = ["path", "length", "content"]
+    parts = []
+    if seen:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        parts.append(reader.load(path).select(*columns))
+    if below:
+        parts.append(spark.read.format("binaryFile").load(below).select(*columns))
+    if unread:
+        names = spark.createDataFrame(unread, "path string, length long")
+        parts.append(names.withColumn("content", F.when(F.col("length") == 0, F.lit(b""))))
+    files = parts[0] if parts else spark.createDataFrame([], "path string, length long, content binary")
+    for part in parts[1:]:
+        files = files.unionByName(part)
     relative = F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1)))
     return files.select(
         F.coalesce(relative, F.substring_index("path", "/", -1)).alias("path"), "length", "content"
     )
 
 
-def valid_text(content: Column) -> Column:
-    """Bytes as text; bytes that are not UTF-8 become replacement characters."""
-    return F.make_valid_utf8(content.cast("string"))
+def _passed_over(store, given, root: str) -> tuple[list[str], list[tuple[str, int]], bool]:
+    """What Spark's listing passes over: files below hidden folders, and names with
+    lengths of empty and hidden files; and whether it sees any file."""
+    below, unread, seen = [], [], False
+    listed = store.listFiles(given, True)
+    while listed.hasNext():
+        status = listed.next()
+        name, length = status.getPath().toString(), status.getLen()
+        *folders, last = name.removeprefix(root).split("/")
+        if length == 0 or _hidden(last):
+            unread.append((name, length))
+        elif any(map(_hidden, folders)):
+            below.append(name)
+        else:
+            seen = True
+    return below, unread, seen
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def valid_text(content: Column, ignore: bool = False) -> Column:
+    """Bytes as text; bytes that are not UTF-8 become replacement characters, or are left out."""
+    text = F.make_valid_utf8(content.cast("string"))
+    if not ignore:
+        return text
+    # A character that was there before must stay: only texts with bad bytes lose any.
+    bad = ~F.is_valid_utf8(content.cast("string"))
+    return F.when(bad, F.replace(text, F.lit("\ufffd"), F.lit(""))).otherwise(text)
 
 
 def head_lines(text: Column, max_lines: int) -> tuple[Column, Column]:
@@ -39,30 +82,37 @@ def head_lines(text: Column, max_lines: int) -> tuple[Column, Column]:
 
 
 def limit_texts(
-    files: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_lines: int = MAX_LINES
+    files: DataFrame, max_bytes: int | None = None, max_lines: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Texts cut after ``max_lines``, and the files refused for their size.
+    """Texts, whole unless ``max_lines`` cuts them, and the files without a text or too large.
 
     ``files`` holds ``path, length, text``. ``n_lines`` counts lines of text, without
-    the mark of a cut.
+    the mark of a cut. Nothing is cut or refused unless asked for; a report cuts after
+    ``rules.MAX_LINES`` lines and refuses above ``rules.MAX_FILE_BYTES``.
     """
-    text, cut = head_lines(F.col("text"), max_lines)
+    if max_lines is None:
+        text, cut = one_line_break(F.col("text")), F.lit(False)
+    else:
+        text, cut = head_lines(F.col("text"), max_lines)
+    there = F.col("text").isNotNull()
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     shown = F.col("shown")
     breaks = F.char_length(shown) - F.char_length(F.replace(shown, F.lit("\n"), F.lit("")))
     open_line = (shown != "") & ~F.endswith(shown, F.lit("\n"))
     n_lines = F.when(F.col("truncated"), F.lit(max_lines)).otherwise(breaks + open_line.cast("int"))
     texts = (
-        files.where(F.col("length") <= max_bytes)
+        files.where(there & small)
         .select("path", "length", text.alias("shown"), cut.alias("truncated"))
         .select("path", "length", shown.alias("text"), "truncated", n_lines.cast("int").alias("n_lines"))
     )
-    refused = files.where(F.col("length") > max_bytes).select("path", "length", F.lit("too large").alias("reason"))
+    reason = F.when(there, "too large").otherwise("hidden name")
+    refused = files.where(~(there & small)).select("path", "length", reason.alias("reason"))
     return texts, refused
 
 
 def read_corpus(
-    spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, max_lines: int = MAX_LINES
+    spark: SparkSession, path: str, max_bytes: int | None = None, max_lines: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Text files of a folder, cut after ``max_lines``, and those refused for size."""
+    """Text files of a folder, and those refused for size; see ``limit_texts``."""
     files = corpus_files(spark, path)
     return limit_texts(files.withColumn("text", valid_text(F.col("content"))).drop("content"), max_bytes, max_lines)

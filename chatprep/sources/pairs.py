@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.rules import NA_WORDS
+from chatprep.rules import NA_WORDS, PYTHON_SPACE
 
 QUOTING = {"multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
@@ -48,11 +48,35 @@ def read_jsonl(
             raise ValueError(f"column '{name}' not found, available: {_columns_of(spark, path)}")
     if columns is None:
         columns = _columns_of(spark, path)
-    return spark.read.schema(columns if isinstance(columns, str) else _text_schema(columns)).json(path)
+    return read_jsonl_checked(spark, path, columns if isinstance(columns, str) else _text_schema(columns))[0]
+
+
+BROKEN = "_broken_line"
+
+
+def read_jsonl_checked(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the lines that are objects of the schema, and the other lines with the reason.
+
+    A broken line is no row of nulls. Empty lines are passed over. The second table
+    has ``line`` and ``reason``: ``no JSON object``, or ``wrong type`` where the line
+    is an object but a value does not fit the schema.
+    """
+    lines = spark.read.text(path).where(F.trim(F.col("value"), F.lit(PYTHON_SPACE)) != "")
+    folders = [name for name in lines.columns if name != "value"]
+    options = {"columnNameOfCorruptRecord": BROKEN}
+    is_object = F.json_object_keys("value").isNotNull() & F.try_parse_json("value").isNotNull()
+    rows = lines.select(
+        "*", is_object.alias("_is_object"), F.from_json("value", f"{schema}, {BROKEN} STRING", options).alias("_row")
+    )
+    fits = F.col("_is_object") & F.col(f"_row.{BROKEN}").isNull()
+    good = rows.where(fits).select("_row.*", *folders).drop(BROKEN)
+    reason = F.when(F.col("_is_object"), "wrong type").otherwise("no JSON object")
+    return good, rows.where(~fits).select(F.col("value").alias("line"), reason.alias("reason"))
 
 
 def _columns_of(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.json(path, primitivesAsString=True).columns
+    found = spark.read.option("columnNameOfCorruptRecord", BROKEN).json(path, primitivesAsString=True).columns
+    return [name for name in found if name != BROKEN]
 
 
 def read_pairs_tsv(

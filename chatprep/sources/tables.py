@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatprep.sources.pairs import read_jsonl_checked
+
 MESSAGES_SCHEMA = "messages ARRAY<STRUCT<role: STRING, content: STRING>>"
 
 
@@ -23,16 +25,6 @@ def write_table(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").parquet(path)
 
 
-def row_key() -> Column:
-    """Place of a row in a parquet table that Spark wrote: task, file and row number.
-
-    Unique, and the same in every read of the table, so equal rows can be told apart.
-    """
-    name = F.col("_metadata.file_name")
-    task, number = (F.regexp_extract(name, r"part-(\d+)-.*-c(\d+)", group) for group in (1, 2))
-    return F.concat_ws("-", task, number, F.col("_metadata.row_index").cast("string"))
-
-
 def land_raw(source: DataFrame, path: str, split: str = "train", split_col: str = "split") -> None:
     """Keep one named part of a dataset and land it as JSON lines."""
     write_jsonl(source.where(F.col(split_col) == split).drop(split_col), path)
@@ -44,11 +36,19 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: str = MESSAGES_SCHEMA) -> DataFrame:
-    """Named inputs as one table with a ``split`` column."""
-    parts = [
-        spark.read.schema(schema).json(path).withColumn("split", F.lit(name)) for name, path in paths.items()
+    """Named inputs as one table with a ``split`` column, without broken lines."""
+    return read_splits_checked(spark, paths, schema)[0]
+
+
+def read_splits_checked(
+    spark: SparkSession, paths: dict[str, str], schema: str = MESSAGES_SCHEMA
+) -> tuple[DataFrame, DataFrame]:
+    """Named inputs as one table with a ``split`` column, and their broken lines, see ``read_jsonl_checked``."""
+    both = [
+        [rows.withColumn("split", F.lit(name)) for rows in read_jsonl_checked(spark, path, schema)]
+        for name, path in paths.items()
     ]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    good, bad = both[0]
+    for more_good, more_bad in both[1:]:
+        good, bad = good.unionByName(more_good), bad.unionByName(more_bad)
+    return good, bad

@@ -70,6 +70,7 @@ lines AS (
   FROM corpus
 )"""
 
+DOC = "CAST(regexp_extract(path, '([0-9]+)[.][a-z]+$', 1) AS BIGINT)"
 SHOWN = f"left(rtrim(line, {SPACE}), 150)"
 
 CALLS = r"""
@@ -106,13 +107,21 @@ calls AS (
       WHEN 'purchase' THEN '{"content":"line ' || k || '","path":"' || path || '"}'
       WHEN 'signup' THEN '{"command":"' || command || '","timeout":' || k * 3 || '}'
       ELSE '{"code":"' || code || '"}' END AS canonical,
+    CASE event_type
+      WHEN 'view' THEN CASE k % 10 WHEN 0 THEN '{}' WHEN 1 THEN '{"depth":2,"path":"' || path || '"}'
+        ELSE '{"max_lines":1000,"path":"' || path || '"}' END
+      WHEN 'click' THEN '{"path":"' || path || '","pattern":"todo"}'
+      WHEN 'purchase' THEN '{"append":false,"content_len":' || length('line ' || k) || ',"path":"' || path || '"}'
+      WHEN 'signup' THEN '{"command":"' || command || '","timeout":' || greatest(1, least(120, k * 3)) || '}'
+      ELSE CASE WHEN k % 2 = 0 THEN '{"code_len":' || length(code) || ',"timeout":10}'
+        ELSE '{"code":"' || code || '"}' END END AS audited,
     event_type <> 'error' AS success,
     CASE WHEN k % 5 = 0 THEN repeat(CASE event_type WHEN 'error' THEN 'Error: ' ELSE 'ok ' END || event_id || ' ', 60)
       ELSE CASE event_type WHEN 'error' THEN 'Error: ' ELSE 'ok ' END || event_id END AS result
   FROM parts
 ),
 audit AS (
-  SELECT session_id, turn, call_no, ts, tool, left(sha256(canonical), 16) AS args_hash, success,
+  SELECT session_id, turn, call_no, ts, tool, left(sha256(audited), 16) AS args_hash, success,
     left(result, 200) AS result_preview
   FROM calls
 )"""
@@ -410,12 +419,32 @@ ORACLE = {
     "split_file": f"""WITH {RAW_PAIRS},{CLEAN}, held AS (
       SELECT count(*) AS total, (count(*) * 5 + 99) // 100 AS n FROM valid)
       SELECT 'train' AS split, total - n AS n_rows FROM held UNION ALL SELECT 'validation', n FROM held""",
+    "split_file_texts": f"""{FORMATTED}, samples AS (
+      SELECT string_agg({CHATML}, '' ORDER BY position) AS text,
+        sha256(string_agg(role || chr(31) || content, chr(30) ORDER BY position)) AS content
+      FROM messages GROUP BY pair_id), numbered AS (
+      SELECT text, content || '-' || row_number() OVER (PARTITION BY content) AS key FROM samples), placed AS (
+      SELECT text, row_number() OVER (ORDER BY md5('42:' || key)) AS place, count(*) OVER () AS total FROM numbered)
+      SELECT CASE WHEN place <= (total * 5 + 99) // 100 THEN 'validation' ELSE 'train' END AS split, text FROM placed""",
+    "jsonl_bad_lines": f"""WITH {RAW_PAIRS} SELECT pair_id,
+      CASE WHEN pair_id % 3 = 0 THEN 'no JSON object' ELSE 'good' END AS reason FROM raw_pairs""",
+    "render_chat_parts": f"SELECT conv_id, turn // 3 AS part, string_agg({CHATML.replace('content', 'text')}, '' ORDER BY turn) "
+    "|| CASE WHEN turn // 3 = max(max(turn // 3)) OVER (PARTITION BY conv_id) THEN E'<|im_start|>assistant\\n' "
+    "ELSE '' END AS text FROM conversations GROUP BY conv_id, turn // 3",
+    "set_size": f"""WITH parts AS (
+      SELECT conv_id, turn // 3 AS part, string_agg({CHATML.replace('content', 'text')}, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL)
+      SELECT {held_out('conv_id', TWENTIETH)} AS split, count(DISTINCT conv_id) AS n_samples,
+        CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS n_tokens FROM parts GROUP BY ALL""",
     "corpus_truncate": f"""WITH {CORPUS}, cut AS (
       SELECT path, length, text, string_split(text, chr(10)) AS lines FROM corpus WHERE length <= 10485760)
       SELECT path, length, CASE WHEN len(lines) > 20 THEN array_to_string(lines[1:20], chr(10))
         || E'\\n\\n... (truncated after 20 lines)' ELSE text END AS text,
         len(lines) > 20 AS truncated, CAST(least(len(lines), 20) AS INTEGER) AS n_lines FROM cut""",
     "corpus_refused": f"WITH {CORPUS} SELECT path, length, 'too large' AS reason FROM corpus WHERE length > 10000",
+    "read_corpus_files": f"WITH {CORPUS} SELECT {DOC} AS doc_id, length + 1 AS length, "
+    "text || chr(10) AS text, false AS truncated FROM corpus",
+    "list_corpus_files": f"WITH {CORPUS} SELECT {DOC} AS doc_id, 'file' AS kind, length + 1 AS length FROM corpus",
+    "grep_corpus_files": f"WITH {LINES} SELECT {DOC} AS doc_id, line_num, {SHOWN} AS line FROM lines WHERE {MATCHES}",
     "list_files": f"WITH {CORPUS} SELECT path, 'file' AS kind, length, {ENTRY} AS entry FROM corpus "
     "WHERE path LIKE '%.py'",
     "list_dirs": f"WITH {CORPUS} SELECT path, 'folder' AS kind, path || '/' AS entry "
@@ -461,9 +490,8 @@ ORACLE = {
     "grep_docs_case": f"WITH {LINES} SELECT path, line_num, {SHOWN} AS line FROM lines WHERE contains(line, 'The')",
     "grep_docs_include": f"WITH {LINES} SELECT path, line_num, {SHOWN} AS line FROM lines "
     "WHERE regexp_matches(line, '(?i)[aeiou]{3}') AND regexp_matches(path, '[13][.]py$')",
-    "grep_top50": f"""WITH {LINES}, first AS (SELECT path FROM corpus ORDER BY path LIMIT 1000)
-      SELECT path, line_num, {SHOWN} AS line FROM lines WHERE {MATCHES} AND path IN (SELECT path FROM first)
-      ORDER BY path, line_num LIMIT 50""",
+    "grep_top50": f"""WITH {LINES} SELECT path, line_num, {SHOWN} AS line,
+      greatest(count(*) OVER () - 50, 0) AS n_more FROM lines WHERE {MATCHES} ORDER BY path, line_num LIMIT 50""",
     "grep_counts": f"WITH {LINES} SELECT count(*) AS n_matches, count(DISTINCT path) AS n_files_matched, "
     f"(SELECT count(*) FROM corpus) AS n_files_searched FROM lines WHERE {MATCHES}",
     "grep_by_file": f"WITH {LINES} SELECT path, count(*) AS n_matches FROM lines WHERE {MATCHES} GROUP BY path",
@@ -490,7 +518,8 @@ ORACLE = {
     "FROM path_verdicts",
     "screen_commands": f"WITH {SCREENED} SELECT event_id, command, allowed, rule, reason, matched FROM command_verdicts",
     "screen_code": f"WITH {SCREENED} SELECT event_id, code, allowed, rule, reason, matched FROM code_verdicts",
-    "screen_calls": f"WITH {SCREENED} SELECT event_id, tool, verdict, rule, reason FROM verdicts",
+    "screen_calls": f"WITH {SCREENED} SELECT event_id, tool, verdict, rule, reason, CASE WHEN rule IS NOT NULL THEN "
+    "CASE tool WHEN 'run_shell' THEN 'command' WHEN 'run_python' THEN 'code' ELSE 'path' END END AS argument FROM verdicts",
     "policy_summary": f"WITH {SCREENED} SELECT tool, rule, count(*) AS n_calls, count(DISTINCT session_id) AS n_sessions "
     "FROM verdicts WHERE verdict = 'refused' GROUP BY tool, rule",
     "context_usage": f"WITH {usage('conversations')} SELECT * FROM token_use",

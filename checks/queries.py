@@ -8,7 +8,7 @@ from chatprep import rules
 from chatprep.functions.text import clean_text, preview, strip_reasoning, tokens_of
 from chatprep.functions.tool_json import args_hash
 from chatprep.operators import audit, calls, chat, pack, policy, search, split, usage
-from chatprep.plans import training_set
+from chatprep.plans import corpus_search, training_set
 from chatprep.session import new_path
 from chatprep.sources import corpus as files
 from chatprep.sources import pairs, tables
@@ -108,13 +108,33 @@ def read_splits(spark, sf):
     return back.select("split", chat.render_chat(F.col("messages")).alias("text"))
 
 
-def split_file(spark, sf):
+def _split_file(spark, sf):
     raw, formatted, parts = (new_path(spark, name) for name in ("raw.jsonl", "formatted.jsonl", "parts"))
     tables.write_jsonl(derived.raw_pairs(spark, sf), raw)
     training_set.format_file(spark, raw, formatted, input_col="input")
     training_set.split_file(spark, formatted, parts, new_path(spark, "work"))
     named = {name: f"{parts}/split={name}" for name in ("train", "validation")}
-    return audit.split_counts(training_set.text_of_splits(spark, named))
+    return training_set.text_of_splits(spark, named)
+
+
+def split_file_texts(spark, sf):
+    return _split_file(spark, sf).select("split", "text")
+
+
+def split_file(spark, sf):
+    return audit.split_counts(_split_file(spark, sf))
+
+
+def jsonl_bad_lines(spark, sf):
+    """Every third line of the pairs cut in two; what is read and what is set apart."""
+    path = new_path(spark, "broken.jsonl")
+    rows = derived.raw_pairs(spark, sf).select("pair_id", F.to_json(F.struct("pair_id", "instruction")).alias("line"))
+    broken = F.when(F.col("pair_id") % 3 == 0, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line"))
+    rows.select(broken).write.text(path)
+    good, bad = pairs.read_jsonl_checked(spark, path, "pair_id BIGINT, instruction STRING")
+    kept = good.select("pair_id", F.lit("good").alias("reason"))
+    number = F.regexp_extract("line", r'"pair_id":(\d+)', 1).cast("long")
+    return kept.unionByName(bad.select(number.alias("pair_id"), "reason"))
 
 
 def corpus_truncate(spark, sf):
@@ -127,6 +147,33 @@ def corpus_refused(spark, sf):
     return refused
 
 
+def _corpus_folder(spark, sf):
+    """All documents as files of their own, below folders that have their number, each with a line break at its end."""
+    path = new_path(spark, "files")
+    rows = derived.corpus(spark, sf).select("text", F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).alias("doc"))
+    rows.repartition("doc").write.partitionBy("doc").text(path)
+    return path
+
+
+def _doc(df):
+    return df.withColumn("doc_id", F.regexp_extract("path", r"^doc=([0-9]+)/", 1).cast("long"))
+
+
+def read_corpus_files(spark, sf):
+    texts, _ = files.read_corpus(spark, _corpus_folder(spark, sf))
+    return _doc(texts.where("path like 'doc=%'")).select("doc_id", "length", "text", "truncated")
+
+
+def list_corpus_files(spark, sf):
+    listed = corpus_search.listing(spark, _corpus_folder(spark, sf), recursive=True)
+    return _doc(listed.where("path like 'doc=%'")).select("doc_id", "kind", "length")
+
+
+def grep_corpus_files(spark, sf):
+    found = corpus_search.search_folder(spark, _corpus_folder(spark, sf), r"\bthe\b")
+    return _doc(found).select("doc_id", "line_num", "line")
+
+
 def list_files(spark, sf):
     return search.list_files(derived.corpus(spark, sf), recursive=True, pattern="*.py")
 
@@ -174,9 +221,21 @@ def collect_messages(spark, sf):
 
 def _rendered(spark, sf, prompt):
     parts = chat.collect_messages(table(spark, sf, "conversations"))
+    prompt = F.col("is_last") if prompt else False
     return parts.select("conv_id", "part", chat.render_chat(F.col("messages"), prompt).alias("text"))
 
 
+def render_chat_parts(spark, sf):
+    parts = chat.collect_messages(table(spark, sf, "conversations"), part_turns=3)
+    return parts.select("conv_id", "part", chat.render_chat(F.col("messages"), F.col("is_last")).alias("text"))
+
+
+def set_size(spark, sf):
+    turns = table(spark, sf, "conversations")
+    parts = chat.to_training_text(chat.collect_messages(turns, part_turns=3))
+    return training_set.set_size(pack.count_tokens(split.split_hash(parts, "conv_id")))
+
+
 def render_chat(spark, sf):
     return _rendered(spark, sf, False)
 
@@ -327,7 +386,7 @@ def screen_code(spark, sf):
 
 def screen_calls(spark, sf):
     rows = streams.policy_stream(_calls(spark, sf), ROOTS)
-    return rows.select("event_id", "tool", "verdict", "rule", "reason")
+    return rows.select("event_id", "tool", "verdict", "rule", "reason", "argument")
 
 
 def policy_summary(spark, sf):
@@ -510,8 +569,15 @@ QUERIES = {
     "read_splits": read_splits,
     "splits_roundtrip": splits_roundtrip,
     "split_file": split_file,
+    "split_file_texts": split_file_texts,
+    "jsonl_bad_lines": jsonl_bad_lines,
+    "render_chat_parts": render_chat_parts,
+    "set_size": set_size,
     "corpus_truncate": corpus_truncate,
     "corpus_refused": corpus_refused,
+    "read_corpus_files": read_corpus_files,
+    "list_corpus_files": list_corpus_files,
+    "grep_corpus_files": grep_corpus_files,
     "list_files": list_files,
     "list_dirs": list_dirs,
     "search_files": search_files,

@@ -1,5 +1,4 @@
 import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,20 +24,37 @@ TEXTS = [
     '{"a": 1}} {"name": "after"}',
     "{ { {",
     '```json\n{"name": "a"\n} trailing ```',
+    '```json\n{"name": "run_shell"},"end":"end of call","x":{}\n```',
+    '```json\n{"name": "run_shell"},"x":{}\n```',
+    '```json\n{"name": "a"},"call":{"name":"run_shell"}\n```',
+    'odd {"name": null}',
+    'odd {"name": "q", "arguments": null}',
 ]
 
 
-def by_hand(text):
-    """What the described extraction gives, with Python's own tools."""
-    found = []
-    for match in re.finditer(r"```(?:json)?\s*(\{.*?\})\s*```|(\{.*?\})", text, re.S):
-        raw = re.sub(r",\s*([}\]])", r"\1", (match[1] or match[2]).strip())
-        try:
-            value = json.loads(raw)
-        except json.JSONDecodeError:
-            value = None
-        found.append(value)
-    return found
+# What each text holds, written out: a call, or None for a candidate that is no JSON object.
+EXPECTED = [
+    [{"name": "a", "arguments": {"k": 1}}],
+    [None],
+    [{"name": "list"}],
+    [],
+    [None],
+    [{"name": "a", "note": "x]"}],
+    [{"name": "b"}],
+    [None],
+    [None],
+    [],
+    [{"name": "a", "list": [1, 2]}, {"name": "z"}],
+    [{"name": "a"}, None],
+    [{"a": 1}, {"name": "after"}],
+    [],
+    [{"name": "a"}],
+    [None],
+    [None],
+    [None],
+    [{"name": None}],
+    [{"name": "q", "arguments": None}],
+]
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +66,7 @@ def test_compat_calls_agree_with_python(spark, answers):
     got = {(r.turn, r.position): r for r in calls.extract_tool_calls(answers).collect()}
     failed = {(r.turn, r.position) for r in calls.failed_tool_calls(answers).collect()}
     for turn, text in enumerate(TEXTS):
-        for position, value in enumerate(by_hand(text)):
+        for position, value in enumerate(EXPECTED[turn]):
             if value is None:
                 assert (turn, position) in failed
                 continue
@@ -63,7 +79,7 @@ def test_compat_calls_agree_with_python(spark, answers):
 
 def test_count_calls(spark, answers):
     counted = {r.turn: r.n for r in answers.select("turn", calls.count_calls(F.col("text")).alias("n")).collect()}
-    assert counted == {n: sum(v is not None for v in by_hand(t)) for n, t in enumerate(TEXTS)}
+    assert counted == {n: sum(v is not None for v in found) for n, found in enumerate(EXPECTED)}
 
 
 def test_balanced_calls(spark):

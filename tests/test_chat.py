@@ -1,10 +1,15 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import clean_text, strip_reasoning
 from chatprep.operators import chat
 from chatprep.plans.training_set import conversation_set, format_file, packed_part, pair_set, set_size, split_file, text_of_splits
+from chatprep.operators.pack import count_tokens
+from chatprep.operators.split import split_hash
 from chatprep.rules import PYTHON_SPACE
+from tests.helpers import rows
 
 PAIR = "instruction STRING, response STRING, input STRING"
 
@@ -77,6 +82,40 @@ def test_long_conversation_is_cut_into_parts(spark):
     parts = chat.collect_messages(turns.repartition(5)).orderBy("part").collect()
     assert [len(p.messages) for p in parts] == [1000, 1000, 500]
     assert [m.content for p in parts for m in p.messages] == [f"t{n}" for n in range(2500)]
+    assert [p.is_last for p in parts] == [False, False, True]
+
+
+def test_part_turns_change_nothing(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    found = []
+    for part_turns in (3, 1000):
+        parts = chat.collect_messages(turns, part_turns)
+        text = parts.select("conv_id", "part", chat.render_chat(F.col("messages"), F.col("is_last")).alias("text"))
+        whole = {}
+        for r in text.orderBy("conv_id", "part").collect():
+            whole[r.conv_id] = whole.get(r.conv_id, "") + r.text
+        sized = set_size(count_tokens(split_hash(chat.to_training_text(parts), "conv_id")))
+        found.append((whole, rows(sized)))
+    assert found[0] == found[1]
+
+
+def test_split_file_is_reproducible(spark, tmp_path):
+    """The same samples in other files and tasks give the same parts."""
+    lines = [json.dumps({"messages": [{"role": "user", "content": f"q{n % 97}"}]}) for n in range(1000)]
+    texts = []
+    for k, files in enumerate((1, 7)):
+        folder = tmp_path / f"in{k}"
+        folder.mkdir()
+        order = lines if k else lines[::-1]
+        for f in range(files):
+            (folder / f"{f}.json").write_text("".join(line + "\n" for line in order[f::files]))
+        split_file(spark, str(folder), str(tmp_path / f"out{k}"), str(tmp_path / f"work{k}"), seed=3)
+        named = {name: str(tmp_path / f"out{k}" / f"split={name}") for name in ("train", "validation")}
+        texts.append(rows(text_of_splits(spark, named), "split", "text"))
+    assert texts[0] == texts[1] and sum(s == "validation" for s, _ in texts[0]) == 50
+    (tmp_path / "in0" / "x.json").write_text('{"messages": [\n')
+    with pytest.raises(ValueError, match="no JSON object"):
+        split_file(spark, str(tmp_path / "in0"), str(tmp_path / "o"), str(tmp_path / "w"))
 
 
 def test_render_chat(spark):

@@ -97,3 +97,16 @@ def test_length_report(spark):
     assert (got.n_samples, got.n_over, got.n_tokens, got.max_tokens, got.median_tokens) == (5, 1, 36, 20, 3)
     assert (got.blocks_unpacked, got.blocks_packed) == (6, 4)
     assert got.share_saved == 1 - 4 / 6
+
+
+def test_median_is_exact(spark):
+    lengths = spark.range(400_000).select((F.col("id") * 7 % 400_000).alias("n_tokens"))
+    assert pack.length_report(lengths).first().median_tokens == 199_999
+
+
+def test_null_keys_belong_to_no_part(spark):
+    df = spark.range(100).select(F.when(F.col("id") >= 10, F.col("id")).alias("key"))
+    found = split.split_exact(df, "key", 0.9)
+    assert {r.split: r.n for r in found.groupBy("split").agg(F.count("*").alias("n")).collect()} == {
+        None: 10, "train": 81, "validation": 9
+    }
