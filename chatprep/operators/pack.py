@@ -43,6 +43,7 @@ def pack_sequences(
     max_len: int = MAX_SEQUENCE,
     shards: int = 1,
     seed: int = SPLIT_SEED,
+    carry: str | None = None,
 ) -> DataFrame:
     """Pieces of samples that fill blocks of ``max_len`` tokens.
 
@@ -51,18 +52,20 @@ def pack_sequences(
     short. One row per sample and block: where the piece starts in the sample
     (``sample_from``), where in the block (``block_from``), and its tokens. The
     stream is numbered by hash ranges, 65,536 per shard, so one shard is no
-    bottleneck. Samples without tokens have no piece.
+    bottleneck. Samples without tokens have no piece. ``carry`` names a column of the
+    samples that each piece keeps.
     """
+    more = [carry] if carry else []
     hashed = shuffle_hash(F.col(key), seed)
     rows = samples.select(
-        F.pmod(F.col(key), F.lit(shards)).alias("shard"), key, hashed.alias("hash"), "n_tokens"
+        F.pmod(F.col(key), F.lit(shards)).alias("shard"), key, hashed.alias("hash"), "n_tokens", *more
     )
     chunk = F.substring("hash", 1, CHUNK_DIGITS)
     placed = running_totals(rows, ["shard"], ["hash", key], chunk, {"end": F.col("n_tokens")})
     placed = placed.where(F.col("n_tokens") > 0)
     begin = F.col("end") - F.col("n_tokens")
     blocks = F.expr(f"explode(sequence(begin div {max_len}, (end - 1) div {max_len}))")
-    pieces = placed.withColumn("begin", begin).select("shard", key, "begin", "end", blocks.alias("block"))
+    pieces = placed.withColumn("begin", begin).select("shard", key, "begin", "end", *more, blocks.alias("block"))
     block_start = F.col("block") * max_len
     start = F.greatest("begin", block_start)
     stop = F.least("end", block_start + max_len)
@@ -73,6 +76,7 @@ def pack_sequences(
         (start - F.col("begin")).alias("sample_from"),
         (start - block_start).alias("block_from"),
         (stop - start).alias("n_tokens"),
+        *more,
     )
 
 
@@ -85,20 +89,37 @@ def pack_fill(pieces: DataFrame, max_len: int = MAX_SEQUENCE) -> DataFrame:
     )
 
 
+def pack_tokens(
+    samples: DataFrame, key: str, max_len: int = MAX_SEQUENCE, shards: int = 1, seed: int = SPLIT_SEED
+) -> DataFrame:
+    """The tokens of each block: shard, block, tokens.
+
+    ``samples`` holds the key and an array ``tokens``, read once: tokens travel with
+    the row that is given a place, pieces are cut there, and only cut pieces go on to
+    their block. A block collects at most ``max_len`` tokens.
+    """
+    sized = samples.select(key, "tokens", F.size("tokens").cast("long").alias("n_tokens"))
+    pieces = pack_sequences(sized, key, max_len, shards, seed, carry="tokens")
+    part = F.slice("tokens", (F.col("sample_from") + 1).cast("int"), F.col("n_tokens").cast("int"))
+    return _joined(pieces.select("shard", "block", F.struct("block_from", part.alias("tokens")).alias("piece")))
+
+
+def _joined(pieces: DataFrame) -> DataFrame:
+    ordered = F.array_sort(F.collect_list("piece"))
+    return pieces.groupBy("shard", "block").agg(
+        F.flatten(F.transform(ordered, lambda piece: piece["tokens"])).alias("tokens")
+    )
+
+
 def fill_blocks(pieces: DataFrame, samples: DataFrame, key: str) -> DataFrame:
-    """The tokens of each block.
+    """The tokens of blocks whose pieces are given; ``pack_tokens`` makes both at once.
 
     ``samples`` holds the key and an array ``tokens``, of the length that
     ``n_tokens`` had. A block collects at most ``max_len`` tokens.
     """
     part = F.slice("tokens", F.col("sample_from") + 1, F.col("n_tokens"))
-    joined = pieces.join(samples.select(key, "tokens"), key).select(
-        "shard", "block", F.struct("block_from", part.alias("tokens")).alias("piece")
-    )
-    ordered = F.array_sort(F.collect_list("piece"))
-    return joined.groupBy("shard", "block").agg(
-        F.flatten(F.transform(ordered, lambda piece: piece["tokens"])).alias("tokens")
-    )
+    joined = pieces.join(samples.select(key, "tokens"), key)
+    return _joined(joined.select("shard", "block", F.struct("block_from", part.alias("tokens")).alias("piece")))
 
 
 def length_report(samples: DataFrame, max_len: int = MAX_SEQUENCE) -> DataFrame:

@@ -515,7 +515,7 @@ def pack_fill(spark, sf):
 
 def fill_blocks(spark, sf):
     samples = table(spark, sf, "documents").select("doc_id", tokens_of(F.col("text")).alias("tokens"))
-    blocks = pack.fill_blocks(_pieces(spark, sf), samples, "doc_id")
+    blocks = pack.pack_tokens(samples, "doc_id", 512, 16)
     return blocks.select("shard", "block", F.array_join("tokens", " ").alias("text"))
 
 

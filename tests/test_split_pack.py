@@ -79,6 +79,8 @@ def test_fill_blocks(spark):
     pieces = pack.pack_sequences(samples, "key", max_len=16)
     blocks = [r.tokens for r in pack.fill_blocks(pieces, samples, "key").orderBy("block").collect()]
     assert all(len(b) == 16 for b in blocks[:-1])
+    at_once = pack.pack_tokens(samples.select("key", "tokens"), "key", max_len=16)
+    assert [r.tokens for r in at_once.orderBy("block").collect()] == blocks
     stream = [t for b in blocks for t in b]
     order = sorted((k for k, _ in texts), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
     assert stream == [f"{k}.{n}" for k in order for n in range(k % 50)]
