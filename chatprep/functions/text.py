@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatprep.rules import PYTHON_SPACE
+from chatprep.rules import PYTHON_SPACE, REASONING
 
 
 def clean_text(col: Column) -> Column:
@@ -15,7 +15,7 @@ def clean_text(col: Column) -> Column:
 
 def strip_reasoning(col: Column) -> Column:
     """Text without ``<think>`` blocks and the white space after each."""
-    return clean_text(F.regexp_replace(col, r"(?isU)<think>.*?</think>\s*", ""))
+    return clean_text(F.regexp_replace(col, REASONING, ""))
 
 
 def preview(col: Column, n: int, ellipsis: bool = False) -> Column:

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value. A fenced object, else the shortest text in braces.
-CALL_TEXT = r"(?sU)```(?:json)?\s*\{.*?\}\s*```|\{.*?\}"
+from chatprep.rules import CALL_TEXT
+
 TRAILING_COMMA = r"(?U),\s*([}\]])"
 CALL_SCHEMA = "call STRUCT<name: STRING, arguments: STRING>, end STRING"
 END_MARK = "end of call"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.functions.tool_json import argument_map, balanced_candidates, candidates, is_call, parsed
-from chatprep.rules import HIDDEN_IN_SAFE_MODE, TIMEOUT_BOUNDS, TOOLS
+from chatprep.rules import HIDDEN_IN_SAFE_MODE, TIMEOUT_BOUNDS, TOOLS, UNKNOWN_TOOL
 
 CATALOGUE_SCHEMA = (
     "array<struct<name:string,description:string,"
@@ -91,7 +91,7 @@ def count_calls(text: Column, mode: str = "compat") -> Column:
 def resolve_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Calls with the catalogue's verdict on their name."""
     names = tools.select(F.col("name").alias("tool"), F.lit(True).alias("known"))
-    message = F.concat(F.lit("❌ Unknown tool: "), F.coalesce("tool", F.lit("None")))
+    message = F.concat(F.lit(UNKNOWN_TOOL), F.coalesce("tool", F.lit("None")))
     return (
         calls.join(names, "tool", "left")
         .withColumn("known", F.coalesce("known", F.lit(False)))

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from chatprep.functions.frames import with_once
 from chatprep.functions.text import clean_text
-from chatprep.rules import SYSTEM_PROMPT
+from chatprep.rules import SYSTEM_PROMPT, TOOL_OUTPUT
 
 # Fixed value. The public ChatML layout.
 CHATML = "<|im_start|>{role}\n{content}<|im_end|>\n"
 CHATML_PROMPT = "<|im_start|>assistant\n"
 
 
-def _cleaned(col: str, compat: bool) -> Column:
+def null_text(path: str) -> str:
+    """What a missing value of a file turns to as text: ``None`` from JSON, ``nan`` from tables."""
+    return "None" if path.rstrip("/").lower().endswith((".json", ".jsonl")) else "nan"
+
+
+def _cleaned(col: str, compat: bool | str) -> Column:
     text = clean_text(F.col(col))
-    return F.coalesce(text, F.lit("nan")) if compat else text
+    return F.coalesce(text, F.lit(compat if isinstance(compat, str) else "nan")) if compat else text
 
 
 def _reason(instruction: Column, response: Column) -> Column:
@@ -27,19 +32,20 @@ def _reason(instruction: Column, response: Column) -> Column:
     )
 
 
-def _judged(pairs: DataFrame, instruction_col: str, response_col: str, compat: bool) -> DataFrame:
+def _judged(pairs: DataFrame, instruction_col: str, response_col: str, compat: bool | str) -> DataFrame:
     return with_once(
         pairs, _instruction=_cleaned(instruction_col, compat), _response=_cleaned(response_col, compat)
     ).withColumn("_reason", _reason(F.col("_instruction"), F.col("_response")))
 
 
 def reject_reason(
-    instruction_col: str = "instruction", response_col: str = "response", compat: bool = False
+    instruction_col: str = "instruction", response_col: str = "response", compat: bool | str = False
 ) -> Column:
     """Why a pair is dropped, null for a pair that stays.
 
-    A null response is dropped; with ``compat`` it stays as the text ``nan``, which
-    is what a pandas row turned to text gives.
+    A null response is dropped; with ``compat`` it stays as a text: ``nan``, which is
+    what a row of a table file turned to text gives, or the text that is given, see
+    ``null_text``.
     """
     return _reason(_cleaned(instruction_col, compat), _cleaned(response_col, compat))
 
@@ -48,7 +54,7 @@ def valid_pairs(
     pairs: DataFrame,
     instruction_col: str = "instruction",
     response_col: str = "response",
-    compat: bool = False,
+    compat: bool | str = False,
 ) -> DataFrame:
     """Pairs that stay, see ``reject_reason``, with both texts cleaned."""
     kept = _judged(pairs, instruction_col, response_col, compat).where(F.col("_reason").isNull())
@@ -60,7 +66,7 @@ def rejected_pairs(
     pairs: DataFrame,
     instruction_col: str = "instruction",
     response_col: str = "response",
-    compat: bool = False,
+    compat: bool | str = False,
 ) -> DataFrame:
     """Pairs that are dropped, with the reason."""
     judged = _judged(pairs, instruction_col, response_col, compat)
@@ -148,4 +154,6 @@ def to_training_text(df: DataFrame, layout: str = CHATML) -> DataFrame:
 
 def tool_message(name: Column, result: Column) -> Column:
     """Text of the message that hands a tool's result back to the model."""
-    return F.concat(F.lit("Tool '"), name, F.lit("' output:\n"), result)
+    before, rest = TOOL_OUTPUT.split("{name}")
+    middle, _ = rest.split("{result}")
+    return F.concat(F.lit(before), name, F.lit(middle), result)

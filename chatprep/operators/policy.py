@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep import rules as fixed
 from chatprep.functions.frames import with_once
 from chatprep.rules import (
     DANGEROUS_COMMANDS,
@@ -72,34 +73,34 @@ def _path_rules(path: Column, hits: Column, resolved: Column, allowed_roots: lis
     inside = F.lit(False)
     for root in map(posixpath.normpath, allowed_roots):
         inside |= (resolved == root) | resolved.startswith(root.rstrip("/") + "/")
-    fragment = F.concat(F.lit("Path contains forbidden pattern: "), F.get(hits, F.lit(0)))
+    fragment = F.concat(F.lit(fixed.PATH_FRAGMENT), F.get(hits, F.lit(0)))
     return [
-        (path == "", "empty", F.lit("Empty path provided")),
+        (path == "", "empty", F.lit(fixed.EMPTY_PATH)),
         (path.isNotNull() & (F.size(hits) > 0), "fragment", fragment),
-        (F.contains(path, F.lit("\0")), "invalid", F.lit("Path validation error: embedded null byte")),
-        (~inside, "outside_roots", F.lit(f"Path must be within allowed directories: {allowed_roots}")),
+        (F.contains(path, F.lit("\0")), "invalid", F.lit(fixed.PATH_NULL_BYTE)),
+        (~inside, "outside_roots", F.lit(f"{fixed.PATH_OUTSIDE}{allowed_roots}")),
     ]
 
 
 def _command_rules(command: Column, dangerous: Column, fragments: Column) -> Rules:
     """Rules over a shell command, in the order in which they are tried."""
-    found = F.concat(F.lit("Dangerous command pattern detected: "), F.get(dangerous, F.lit(0)))
-    fragment = F.concat(F.lit("Command contains forbidden pattern: "), F.get(fragments, F.lit(0)))
+    found = F.concat(F.lit(fixed.COMMAND_DANGEROUS), F.get(dangerous, F.lit(0)))
+    fragment = F.concat(F.lit(fixed.COMMAND_FRAGMENT), F.get(fragments, F.lit(0)))
     piped = F.contains(command, F.lit("|")) & _holds_any(command, PIPE_WORDS)
     redirect = F.rlike(command, F.lit("(?U)" + SYSTEM_REDIRECT))
     return [
-        (command == "", "empty", F.lit("Empty command")),
+        (command == "", "empty", F.lit(fixed.EMPTY_COMMAND)),
         (F.size(dangerous) > 0, "dangerous", found),
         (command.isNotNull() & (F.size(fragments) > 0), "fragment", fragment),
-        (piped, "pipe", F.lit("Pipes to sensitive commands are not allowed")),
-        (redirect, "redirect", F.lit("Cannot redirect output to system directories")),
-        (_holds_any(command, SUBSHELL_MARKS), "subshell", F.lit("Subshell execution is not allowed")),
+        (piped, "pipe", F.lit(fixed.COMMAND_PIPE)),
+        (redirect, "redirect", F.lit(fixed.COMMAND_REDIRECT)),
+        (_holds_any(command, SUBSHELL_MARKS), "subshell", F.lit(fixed.COMMAND_SUBSHELL)),
     ]
 
 
 def _code_rules(hits: Column) -> Rules:
     """The code holds a forbidden text."""
-    reason = F.concat(F.lit("Dangerous pattern detected: "), F.get(hits, F.lit(0)))
+    reason = F.concat(F.lit(fixed.CODE_DANGEROUS), F.get(hits, F.lit(0)))
     return [(F.size(hits) > 0, "code", reason)]
 
 

@@ -59,6 +59,28 @@ FORBIDDEN_CODE = [
     "ctypes",
 ]
 
+# Fixed values. What refusals and messages say; a colon is followed by what was found.
+EMPTY_PATH = "Empty path provided"
+PATH_FRAGMENT = "Path contains forbidden pattern: "
+PATH_NULL_BYTE = "Path validation error: embedded null byte"
+PATH_OUTSIDE = "Path must be within allowed directories: "
+EMPTY_COMMAND = "Empty command"
+COMMAND_DANGEROUS = "Dangerous command pattern detected: "
+COMMAND_FRAGMENT = "Command contains forbidden pattern: "
+COMMAND_PIPE = "Pipes to sensitive commands are not allowed"
+COMMAND_REDIRECT = "Cannot redirect output to system directories"
+COMMAND_SUBSHELL = "Subshell execution is not allowed"
+CODE_DANGEROUS = "Dangerous pattern detected: "
+UNKNOWN_TOOL = "❌ Unknown tool: "
+TOOL_OUTPUT = "Tool '{name}' output:\n{result}"
+TRUNCATED = "\n\n... (truncated after {n} lines)"
+
+# Fixed value. Reasoning, and the white space after it.
+REASONING = r"(?isU)<think>.*?</think>\s*"
+
+# Fixed value. A fenced object, else the shortest text in braces.
+CALL_TEXT = r"(?sU)```(?:json)?\s*\{.*?\}\s*```|\{.*?\}"
+
 # Fixed values. Limits and defaults.
 MAX_FILE_BYTES = 10 * 1024 * 1024
 MAX_LINES = 1000
@@ -113,7 +135,7 @@ PYTHON_SPACE = (
     "    　"
 )
 
-# Fixed values. The tool catalogue: parameters as (name, type, default); a
+# Fixed values, but for the descriptions. The tool catalogue: parameters as (name, type, default); a
 # parameter without a default is required. Defaults are JSON texts.
 TOOLS = {
     "read_file": ("Read a text file", [("path", "string", None), ("max_lines", "integer", "1000")]),

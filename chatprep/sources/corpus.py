@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import one_line_break
+from chatprep.rules import TRUNCATED
 
 
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +78,7 @@ def head_lines(text: Column, max_lines: int) -> tuple[Column, Column]:
     text = one_line_break(text)
     head = F.substring_index(text, "\n", max_lines)
     cut = F.char_length(text) > F.char_length(head) + 1
-    mark = F.lit(f"\n\n... (truncated after {max_lines} lines)")
+    mark = F.lit(TRUNCATED.format(n=max_lines))
     return F.when(cut, F.concat(head, mark)).otherwise(text), cut
 
 

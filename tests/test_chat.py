@@ -155,3 +155,10 @@ def test_files_from_raw_to_text(spark, tmp_path):
     first = texts.where("split = 'train'").first().text
     assert first.startswith("<|im_start|>system\nYou are a helpful AI assistant.<|im_end|>\n<|im_start|>user\nquestion ")
     assert texts.select("text").distinct().count() == 201
+
+
+@pytest.mark.parametrize("path, text", [("a.csv", "nan"), ("a.txt", "nan"), ("a.json", "None"), ("d/a.jsonl/", "None")])
+def test_missing_values_as_text(spark, path, text):
+    df = spark.createDataFrame([("q", None, None)], PAIR)
+    assert chat.null_text(path) == text
+    assert chat.valid_pairs(df, compat=chat.null_text(path)).first().response == text
