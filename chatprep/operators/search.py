@@ -100,7 +100,7 @@ def java_regex(df: DataFrame, pattern: str, case_sensitive: bool) -> str:
         r"\\.|\(\?P<|\(\?P=(\w+)\)", _java_token, pattern, flags=re.DOTALL
     )
     try:
-        df.sparkSession.range(1).select(F.rlike(F.lit(""), F.lit(full))).collect()
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(full)
     except Exception as error:
         raise ValueError(f"Invalid regex pattern: {pattern}") from error
     return full

@@ -107,3 +107,28 @@ def test_resolving_agrees_with_python(spark):
     result = df.select("path", policy.resolve_path(F.col("path"), "/w/x").alias("full")).collect()
     for row in result:
         assert row.full == "/" + os.path.normpath(os.path.join("/w/x", row.path)).lstrip("/")
+
+
+def test_stated_nulls_are_not_defaults(spark):
+    df = spark.createDataFrame(
+        [
+            (1, "s", "list_directory", '{"path": null}'),
+            (2, "s", "list_directory", "{}"),
+            (3, "s", "read_file", '{"path": null}'),
+            (4, "s", "run_shell", '{"command": "ls", "working_dir": "../x"}'),
+            (5, "s", "copy_file", '{"source": "a", "destination": "/etc/b"}'),
+            (6, "s", "copy_file", '{"source": "/etc/a", "destination": "b"}'),
+            (7, "s", "run_shell", '{"command": "sudo ls"}'),
+        ],
+        "id INT, session_id STRING, tool STRING, arguments STRING",
+    )
+    found = {r.id: (r.allowed, r.rule, r.argument) for r in policy.screen_calls(df, ["/w"]).collect()}
+    assert found == {
+        1: (False, "empty", "path"),
+        2: (True, None, None),
+        3: (False, "empty", "path"),
+        4: (False, "fragment", "working_dir"),
+        5: (False, "fragment", "destination"),
+        6: (False, "fragment", "source"),
+        7: (False, "fragment", "command"),
+    }

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.derived import unnumbered_calls
 from checks.queries import ROOTS
-from chatprep.operators.audit import audit_log, error_history, session_metrics
+from chatprep.operators.audit import audited_arguments, audit_log, error_history, session_metrics
 from chatprep.operators.policy import screen_calls
 from chatprep.streaming import audit as streams
 from tests.helpers import rows
@@ -83,3 +83,21 @@ def test_audit(spark):
     assert metrics.elapsed_us == 60_000_000 and metrics.success_rate == 2 / 3
     assert (metrics.output_tokens, metrics.context_tokens, metrics.total_tokens) == (5, 12, 19)
     assert rows(error_history(log), "call_no") == [(2,)]
+
+
+def test_audited_arguments(spark):
+    calls = [
+        ("read_file", '{"path": "a"}', '{"max_lines":1000,"path":"a"}'),
+        ("read_file", '{"max_lines": 1000, "path": "a"}', '{"max_lines":1000,"path":"a"}'),
+        ("read_file", '{"path": "a", "other": 1}', '{"other":1,"path":"a"}'),
+        ("write_file", '{"path": "a", "content": "xyz"}', '{"append":false,"content_len":3,"path":"a"}'),
+        ("run_shell", '{"command": "ls", "timeout": 900, "working_dir": "d"}', '{"command":"ls","timeout":120}'),
+        ("run_shell", '{"command": "ls"}', '{"command":"ls","timeout":30}'),
+        ("run_python", '{"code": "1+1"}', '{"code_len":3,"timeout":10}'),
+        ("grep_search", '{"pattern": "x", "case_sensitive": true}', '{"path":".","pattern":"x"}'),
+        ("no_tool", '{"b": 1, "a": 2}', '{"a":2,"b":1}'),
+        ("read_file", "no json", None),
+    ]
+    df = spark.createDataFrame(calls, "tool STRING, arguments STRING, wanted STRING")
+    for row in df.select("*", audited_arguments(F.col("tool"), F.col("arguments")).alias("got")).collect():
+        assert row.got == row.wanted
