@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from chatprep.session import new_path
+from chatprep.session import drop_work, new_path
 from checks import derived
 from checks.queries import QUERIES
 
@@ -116,6 +116,7 @@ def main() -> None:
             }
         )
     )
+    drop_work(spark)
     spark.stop()
 
 

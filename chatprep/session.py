@@ -28,6 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or spark.conf.get("spark.sql.warehouse.dir") + "/work").rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to yet."""
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process has written, once no result needs them."""
+    while _made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

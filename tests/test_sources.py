@@ -229,3 +229,13 @@ def test_grep_caps(spark):
     assert tuple(summary) == (2400, 1200, 1200)
     none = search.grep_summary(files, search.grep(files, "absent")).first()
     assert tuple(none) == (0, 0, 1200)
+
+
+def test_work_is_dropped(spark, tmp_path):
+    from chatprep import session
+
+    path = session.new_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    session.drop_work(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()

@@ -133,3 +133,14 @@ def test_failure_streaks(spark):
             at += len(run) + 1
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert [r.length for r in got] == sorted((r.length for r in got), reverse=True)
+
+
+def test_running_totals_read_wide_rows_once(spark, tmp_path):
+    wide = spark.range(1000).select(F.col("id") % 3, F.col("id").alias("at"), F.repeat(F.lit("x"), 50).alias("payload"))
+    wide.toDF("key", "at", "payload").write.parquet(str(tmp_path / "wide"))
+    rows_ = spark.read.parquet(str(tmp_path / "wide"))
+    result = running_totals(rows_, ["key"], ["at"], F.expr("at div 100"), {"n": F.lit(1)})
+    text = final_plan(result.select("key", "at", "payload", "n"))
+    schemas = [line for line in text.split("\n") if "FileScan" in line]
+    assert len(schemas) == 2 and sum("payload" in line.split("ReadSchema")[1] for line in schemas) == 1
+    assert text.count("Window ") == 2
