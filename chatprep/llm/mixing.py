@@ -68,8 +68,9 @@ def targets(sizes: DataFrame, budget: Column | None = None, passes: int = MAX_PA
     )
 
 
-def _place(row: Column) -> Column:
-    """A long that orders documents at random, the same in every run."""
+def _place_of(name: Column) -> Column:
+    """A long that orders documents at random by their id, the same in every run."""
+    row = F.coalesce(name.cast("string"), F.lit("null"))
     return F.conv(F.substring(F.sha2(F.concat(F.lit(SEED + ":"), row), 256), 1, 15), 16, 10).cast("long")
 
 
@@ -184,24 +185,33 @@ def taken(
 ) -> DataFrame:
     """The rows that the mix takes, all columns kept, and ``copies``, how often it takes each.
 
-    Cases are as in ``mix``. A column of the input that is called ``copies`` stays as
+    Cases are as in ``mix``, but rows alike in id, source and size are taken alike. A column of the input that is called ``copies`` stays as
     it is; the new one then is ``copies_`` with as many underscores as it takes.
     """
     columns = docs.columns
-    # Row numbers hold from here on: they are written.
-    rows = docs.toDF(*[f"c{k}" for k in range(len(columns))])
-    own = {name: f"c{columns.index(name)}" for name in (id_col, text_col, source_col)}
-    rows = rows.withColumns(
-        {"size": count_words(F.col(own[text_col])), "row": F.monotonically_increasing_id()}
+    rows = docs.select(F.col(id_col).alias("id"), _source(source_col), count_words(F.col(text_col)).alias("size"))
+    mixed = _mixed(written(rows, "sizes"), passes, ranges)
+    # Within a source the mix takes, in each pass, the rows up to some last one; so a row
+    # can be judged by itself, and texts stay where they are. One row for each source.
+    here = F.struct(_place_of(F.col("id")), F.col("id"), F.col("size"))
+    lasts = mixed.groupBy("source").agg(
+        *[F.max(F.when(F.col("copies") > k, here)).alias(f"last{k}") for k in range(passes)]
     )
-    rows = written(rows, "sized")
-    sizes = rows.select(F.col(own[id_col]).alias("id"), _source(own[source_col]), "size", "row")
-    mixed = _mixed(sizes, passes, ranges).where("copies > 0").select("row", "copies")
+    lasts = written(lasts.select(F.struct("source").alias("_key"), *[f"last{k}" for k in range(passes)]), "lasts")
+    every = docs.toDF(*[f"c{k}" for k in range(len(columns))])
+    own = {name: F.col(f"c{columns.index(name)}") for name in (id_col, text_col, source_col)}
+    every = every.withColumns(
+        {"_size": count_words(own[text_col]), "_key": F.struct(own[source_col].cast("string").alias("source"))}
+    ).where("_size > 0")
+    mine = F.struct(_place_of(own[id_col]), own[id_col], F.col("_size"))
+    copies = F.lit(0)
+    for k in range(passes):
+        copies = copies + F.coalesce((mine <= F.col(f"last{k}")).cast("int"), F.lit(0))
     name = "copies"
     while name in columns:
         name += "_"
     kept = [F.col(f"c{k}").alias(column) for k, column in enumerate(columns)]
-    return rows.join(mixed, "row").select(*kept, F.col("copies").alias(name))
+    return every.join(lasts, "_key").select(*kept, copies.alias(name)).where(F.col(name) > 0)
 
 
 def _source(source_col: str) -> Column:
@@ -211,8 +221,7 @@ def _source(source_col: str) -> Column:
 def _mixed(rows: DataFrame, passes: int, ranges: int) -> DataFrame:
     """All columns of rows (id, source, size) with sizes, targets, ``copies`` and ``taken``."""
     columns = rows.columns
-    place = _place(F.coalesce(F.col("id").cast("string"), F.lit("null")))
-    rows = rows.withColumn("place", place)
+    rows = rows.withColumn("place", _place_of(F.col("id")))
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), passes=passes)
     queued = _queued(rows, ranges)
     own = goals.withColumnRenamed("source", "_source")

@@ -196,10 +196,13 @@ def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list
     are judged one by one, an empty table gives an empty result, other columns of the
     input play no part.
     """
-    # Texts are read once; counts and short words go on.
-    rows = written(signals(docs, id_col, text_col, lang_col, keep), "signals")
+    # Counts and short words are written, texts are not.
+    rows = written(signals(docs, id_col, text_col, lang_col), "signals")
     # At most LANGUAGES + 1 short rows; its size does not grow with the documents.
     known = written(references(rows), "references")
+    if keep is not None:
+        # Whole rows: reading the texts again costs less than writing and moving them.
+        rows = signals(docs, id_col, text_col, lang_col, keep)
     own = known.where("_lang != ''")
     shared = known.where("_lang = ''").select(*[F.col(n).alias(f"_all{n}") for n in known.columns if n != "_lang"])
     rows = rows.join(F.broadcast(own), "_lang", "left").join(F.broadcast(shared), F.lit(True), "left")
@@ -227,4 +230,7 @@ def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list
     odd = ((F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     )
-    return rows.withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce(odd, F.lit(False)))
+    verdict = ~base & ~F.coalesce(odd, F.lit(False))
+    # Behind a generator of one row: a filter on the verdict would else be moved down to
+    # the texts, with all that the verdict hangs on worked out again inside it.
+    return rows.withColumn("base_failed", base).select("*", F.explode(F.array(verdict)).alias("kept"))

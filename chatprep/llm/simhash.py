@@ -247,16 +247,26 @@ def first_of_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHI
     Where several rows have that id, one of them stays; null ids come last. Clashing
     and further columns, nulls, empty texts and empty tables are as in ``near_groups``.
     """
-    columns = docs.columns
-    found = fingerprints(docs, text_col, size)
-    rows = found.toDF(*[f"c{k}" for k in range(len(columns))], "fp")
-    # Row numbers hold from here on: they are written.
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    own = F.col(f"c{columns.index(id_col)}")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = _own(F.col(id_col), text)
+    # Ids, hashes and fingerprints are written, texts are not.
+    rows = fingerprints(docs.select(own.alias("own"), text.alias("text")), "text", size)
+    rows = written(rows.select("own", F.col("_fingerprint").alias("fp")), "fingerprints")
     labels = _components(rows, radius)
-    best = F.min(F.struct(own.isNull(), own, F.col("row")))
+    best = F.min(F.struct(F.col("own.id").isNull(), "own"))
     # Equal fingerprints first, within the map tasks; then components.
     by_fp = rows.groupBy("fp").agg(best.alias("best")).join(labels, "fp")
-    kept = by_fp.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
-    stay = rows.join(kept, "row", "left_semi")
+    kept = by_fp.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.own").alias("own"))
+    kept = written(kept, "kept")
+    # The one shuffle of the texts. Of rows alike in id and text the first stays.
+    columns = docs.columns
+    every = docs.toDF(*[f"c{k}" for k in range(len(columns))])
+    text = F.coalesce(F.col(f"c{columns.index(text_col)}"), F.lit(""))
+    every = every.withColumn("own", _own(F.col(f"c{columns.index(id_col)}"), text))
+    stay = every.join(kept.hint("merge"), "own", "left_semi").dropDuplicates(["own"])
     return stay.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(columns)])
+
+
+def _own(name: Column, text: Column) -> Column:
+    """What a row is: structs compare nulls as equal."""
+    return F.struct(name.alias("id"), F.unhex(F.sha2(text, 256)).alias("hash"))
