@@ -38,7 +38,7 @@ from chatprep.llm.rolling import Ranges
 SPAN = 100
 ANCHOR = 32
 #: Bytes that are worked on at once, and contexts that are sorted at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 CONTEXTS = 1 << 16
 #: Occurrences of an anchor from which on its strings are compared by their hashes in
 #: a join instead of in one task.
@@ -107,8 +107,25 @@ def _pieces(ends: np.ndarray, sizes: Sizes) -> Iterator[list[tuple[int, int, int
         yield group
 
 
+def _seen_before(row: np.ndarray, hashes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Whether an anchor with the same context stands further left in the same part of a text."""
+    order = np.lexsort((contexts, hashes, row))
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for values in (row, hashes, contexts):
+        same &= values[order[1:]] == values[order[:-1]]
+    out = np.zeros(len(order), bool)
+    # The sort is stable: of equal ones, the leftmost comes first.
+    out[order[1:][same]] = True
+    return out
+
+
 def _occurrences(texts: DataFrame, sizes: Sizes) -> DataFrame:
-    """Each anchor of a text (key, id, text): its hash, the hash of its context, and where it stands."""
+    """Each anchor of a text (key, id, text): its hash, the hash of its context, and where it stands.
+
+    ``again`` marks those that are known to be covered, since their context stands
+    further left in the same text. They need no class, so that a line that a text
+    repeats over and over is one row in its anchor's class.
+    """
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +148,10 @@ def _occurrences(texts: DataFrame, sizes: Sizes) -> DataFrame:
                 contexts = ranges(at - left, at + sizes.anchor + right)
                 # Where a text ends, a context is shorter, and another one than a longer one.
                 contexts ^= (left * (sizes.context + 1) + right).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                again = _seen_before(part, hashes, contexts)
+                # Each in a class of its own.
+                alone = (hashes ^ ((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) ^ contexts
+                hashes = np.where(again, alone, hashes)
                 taken = pa.array(rows[part])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -139,11 +160,12 @@ def _occurrences(texts: DataFrame, sizes: Sizes) -> DataFrame:
                         batch.column(1).take(taken),
                         batch.column(0).take(taken),
                         pa.array(place.astype(np.int32)),
+                        pa.array(again),
                     ],
-                    ["anchor", "context", "id", "key", "at"],
+                    ["anchor", "context", "id", "key", "at", "again"],
                 )
 
-    return texts.mapInArrow(run, f"anchor long, context long, id {id_type}, key binary, at int")
+    return texts.mapInArrow(run, f"anchor long, context long, id {id_type}, key binary, at int, again boolean")
 
 
 def _contexts(wanted: DataFrame, sizes: Sizes) -> DataFrame:
@@ -397,7 +419,7 @@ def remove_repeats(
         F.count(F.lit(1)).over(in_class).alias("_size"),
     )
     # Another occurrence of the same context is covered by the first as far as a string reaches.
-    again = F.coalesce(F.col("_before") == F.col("context"), F.lit(False))
+    again = F.col("again") | F.coalesce(F.col("_before") == F.col("context"), F.lit(False))
     alone = F.col("_before").isNull() & (F.col("_last") == F.col("context"))
     found = found.withColumn("_again", again).where(again | ~alone)
     places = found.groupBy("key").agg(
