@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: A character that no rule matches, set around findings; where a text has it, a
 #: neighbour of the same length stands in during the scan.
-_MARK, _STAND_IN = "", ""
+_MARK, _STAND_IN = "\ue000", "\ue001"
 
 
 @dataclass(frozen=True)
@@ -135,6 +135,9 @@ def findings_of(
     kinds = [rule.kind for rule in rules]
     known = ledger.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
     rows = versions.select(*id_cols, content_address(F.col(text_col)).alias("_blob"))
-    rows = rows.join(known.withColumnRenamed("blob", "_blob").withColumnRenamed("found", "_found"), "_blob", "left")
+    known = known.select(F.col("blob").alias("_known"), F.col("found").alias("_found"))
+    # Joined by a struct, which the grouping above has not dealt out by: so both sides are
+    # dealt anew, and a blob that very many versions hold can be split over tasks.
+    rows = rows.join(known, F.struct(F.col("_blob").alias("b")) == F.struct(F.col("_known").alias("b")), "left")
     found = F.coalesce(F.filter("_found", lambda s: s["kind"].isin(kinds)), F.array().cast(SPANS))
     return rows.select(*id_cols, F.col("_blob").alias("blob"), found.alias("found"))
