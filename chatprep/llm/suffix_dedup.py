@@ -122,9 +122,9 @@ def _seen_before(row: np.ndarray, hashes: np.ndarray, contexts: np.ndarray) -> n
 def _occurrences(texts: DataFrame, sizes: Sizes) -> DataFrame:
     """Each anchor of a text (key, id, text): its hash, the hash of its context, and where it stands.
 
-    ``again`` marks those that are known to be covered, since their context stands
-    further left in the same text. They need no class, so that a line that a text
-    repeats over and over is one row in its anchor's class.
+    A place below zero, -1 - ``at``, marks those that are known to be covered, since
+    their context stands further left in the same text. They need no class, so that a
+    line that a text repeats over and over is one row in its anchor's class.
     """
     id_type = texts.schema["id"].dataType.simpleString()
 
@@ -159,13 +159,12 @@ def _occurrences(texts: DataFrame, sizes: Sizes) -> DataFrame:
                         pa.array(contexts.view(np.int64)),
                         batch.column(1).take(taken),
                         batch.column(0).take(taken),
-                        pa.array(place.astype(np.int32)),
-                        pa.array(again),
+                        pa.array(np.where(again, -1 - place, place).astype(np.int32)),
                     ],
-                    ["anchor", "context", "id", "key", "at", "again"],
+                    ["anchor", "context", "id", "key", "at"],
                 )
 
-    return texts.mapInArrow(run, f"anchor long, context long, id {id_type}, key binary, at int, again boolean")
+    return texts.mapInArrow(run, f"anchor long, context long, id {id_type}, key binary, at int")
 
 
 def _contexts(wanted: DataFrame, sizes: Sizes) -> DataFrame:
@@ -419,9 +418,10 @@ def remove_repeats(
         F.count(F.lit(1)).over(in_class).alias("_size"),
     )
     # Another occurrence of the same context is covered by the first as far as a string reaches.
-    again = F.col("again") | F.coalesce(F.col("_before") == F.col("context"), F.lit(False))
+    again = (F.col("at") < 0) | F.coalesce(F.col("_before") == F.col("context"), F.lit(False))
     alone = F.col("_before").isNull() & (F.col("_last") == F.col("context"))
     found = found.withColumn("_again", again).where(again | ~alone)
+    found = found.withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
     places = found.groupBy("key").agg(
         F.collect_list(F.when(F.col("_again"), F.col("at"))).alias("covered"),
         F.collect_list(
