@@ -28,6 +28,12 @@ MAX_CLASS_DISTANCE = 0.25
 MIN_CHARS = 300
 MAX_WORD_DISTANCE = 0.45
 MIN_WORDS = 40
+#: All other words are one part of the histogram, so the distance of a text without any
+#: common word stays below the limit where these cover less than a third of a language.
+#: Their lack is therefore judged by itself: less than this part of the language's share
+#: of them, and fewer than chance explains, by so many standard deviations.
+MIN_COMMON_PART = 1 / 3
+LACK_DEVIATIONS = 3
 
 #: The base rules.
 MIN_BASE_WORDS = 20
@@ -185,6 +191,13 @@ def _class_shares() -> Column:
     return F.array(*[F.col(name) / chars for name in _CLASSES])
 
 
+def _lacks_common_words() -> Column:
+    """Whether a text has too few of its language's common words for its length."""
+    share, whole = F.col("common_share"), F.col("lang_common_share")
+    lack = (whole - share) * F.sqrt("n_words")
+    return (share < MIN_COMMON_PART * whole) & (lack > LACK_DEVIATIONS * F.sqrt(whole))
+
+
 def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: ``row`` (what is kept of it), the counts, distances and verdicts.
 
@@ -192,7 +205,9 @@ def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list
     A text with fewer than 20 words, or more than 30 percent of its words in repeated
     windows of eight, fails the base rules. Of the others, a text is dropped whose
     character classes (from 300 characters on) or common words (from 40 words on) are
-    farther from the language's than the limits; shorter texts are kept. Repeated rows
+    farther from the language's than the limits, or that lacks the common words; shorter
+    texts are kept, and what counts as a lack follows from a text's length. ``near`` is
+    the verdict of the base rules and the distances alone, ``kept`` the whole. Repeated rows
     are judged one by one, an empty table gives an empty result, other columns of the
     input play no part.
     """
@@ -225,12 +240,17 @@ def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list
         F.col("_chars").alias("n_chars"),
         distance(F.col("_classes"), F.col("_q_classes")).alias("class_distance"),
         distance(_with_rest(F.col("_shares")), F.col("_q_words")).alias("word_distance"),
+        F.aggregate("_shares", F.lit(0.0), lambda total, share: total + share).alias("common_share"),
+        (1.0 - F.element_at("_q_words", -1)).alias("lang_common_share"),
     )
     base = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     odd = ((F.col("n_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     )
-    verdict = ~base & ~F.coalesce(odd, F.lit(False))
+    near = ~base & ~F.coalesce(odd, F.lit(False))
+    lack = (F.col("n_words") >= MIN_WORDS) & _lacks_common_words()
+    verdict = F.struct(near.alias("near"), (near & ~F.coalesce(lack, F.lit(False))).alias("kept"))
     # Behind a generator of one row: a filter on the verdict would else be moved down to
     # the texts, with all that the verdict hangs on worked out again inside it.
-    return rows.withColumn("base_failed", base).select("*", F.explode(F.array(verdict)).alias("kept"))
+    judged = rows.withColumn("base_failed", base).select("*", F.explode(F.array(verdict)).alias("_verdict"))
+    return judged.select("*", "_verdict.near", "_verdict.kept").drop("_verdict")
