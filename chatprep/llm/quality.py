@@ -19,9 +19,12 @@ from chatprep.llm.common import words, written
 COMMON_WORDS = 24
 COMMON_LETTERS = 4
 SHORT_WORD = f"^\\p{{L}}{{1,{COMMON_LETTERS}}}$"
-#: The languages with most documents get references of their own; the documents of
-#: others, and of no language, share one.
+#: Languages in the query's SQL with a reference of their own; the code has no such limit.
 LANGUAGES = 64
+#: Documents with text from which on a language has a reference of its own. A document of
+#: no language is held against the nearest reference there is, one of a language with fewer
+#: documents as well, but only for its characters: its words are not that language's.
+MIN_DOCS = 10
 #: A distance above which a histogram is not that of the language, and the least
 #: number of characters or words at which that is asked.
 MAX_CLASS_DISTANCE = 0.25
@@ -142,10 +145,10 @@ def signals(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: li
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """One row for each language with a reference: ``_lang``, ``_common``, ``_q_words``, ``_q_classes``.
+    """One row for each language: ``_lang``, ``_docs``, ``_common``, ``_q_words``, ``_q_classes``.
 
-    ``rows`` are signals. At most ``LANGUAGES`` + 1 rows of ``COMMON_WORDS`` short words
-    each, so it can be broadcast. The row with an empty ``_lang`` is made of all texts.
+    ``rows`` are signals. A row holds ``COMMON_WORDS`` short words at most. The row with an
+    empty ``_lang`` is made of all texts.
     """
     # Texts count alike for the classes, so that a few long odd ones don't set the
     # reference; whole parts per million keep the sums free of the order of addition.
@@ -158,22 +161,21 @@ def references(rows: DataFrame) -> DataFrame:
     counted = counted.agg(F.count(F.lit(1)).alias("_times")).where(F.col("_word").rlike(SHORT_WORD))
     # Small from here on: rows for languages, and for their short words.
     sums, counted = written(sums, "sums"), written(counted, "words")
-    large = sums.where("_lang != ''").orderBy(F.desc("_docs"), "_lang").limit(LANGUAGES).select("_lang")
     own_and_all = F.explode(F.array_distinct(F.array(F.col("_lang"), F.lit("")))).alias("_lang")
     words_of = counted.select(own_and_all, "_word", "_times").groupBy("_lang", "_word")
     words_of = words_of.agg(F.sum("_times").alias("_times"))
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("_times"), "_word"))
     best = words_of.withColumn("_place", place).where(F.col("_place") <= COMMON_WORDS)
     best = best.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("_place", "_word", "_times"))).alias("_best"))
-    names = ["_n", *_COUNTED, "_chars"]
+    names = ["_docs", "_n", *_COUNTED, "_chars"]
     totals = sums.select(own_and_all, *names).groupBy("_lang").agg(*[F.sum(name).alias(name) for name in names])
     rest = sum((-F.col(name) for name in _COUNTED), F.col("_chars"))
     found = totals.withColumn("_rest", rest).join(best, "_lang", "left")
-    found = found.join(large.withColumn("_large", F.lit(True)), "_lang", "left").where("_large or _lang = ''")
     best_words = F.coalesce(F.col("_best"), F.array().cast("array<struct<_place:int,_word:string,_times:bigint>>"))
     times = F.transform(best_words, lambda b: b["_times"].cast("double") / F.greatest(F.col("_n"), F.lit(1)))
     return found.select(
         "_lang",
+        "_docs",
         F.transform(best_words, lambda b: b["_word"]).alias("_common"),
         _with_rest(times).alias("_q_words"),
         _class_shares().alias("_q_classes"),
@@ -191,6 +193,46 @@ def _class_shares() -> Column:
     return F.array(*[F.col(name) / chars for name in _CLASSES])
 
 
+def _word_shares(common: Column) -> Column:
+    """Shares of the common words in a text's words."""
+    size = F.size("_short")
+    whole = F.greatest(F.col("_n"), F.lit(1)).cast("double")
+    return F.transform(common, lambda word: (size - F.size(F.array_remove("_short", word))) / whole)
+
+
+def _with_reference(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Signals with the reference of their language, or else the nearest of all languages' own.
+
+    ``_worded`` says whether the reference has anything to say of a text's words. Where no
+    language has enough documents, all texts together are the only reference.
+    """
+    names = ["_common", "_q_words", "_q_classes"]
+    has_own = (F.col("_lang") != "") & (F.col("_docs") >= MIN_DOCS)
+    one = F.struct("_lang", *names)
+    # One row of all references, only for documents without one of their own.
+    others = known.agg(
+        F.array_sort(F.collect_list(F.when(has_own, one))).alias("_refs"),
+        F.collect_list(F.when(F.col("_lang") == "", one)).alias("_mix"),
+    ).select(F.when(F.size("_refs") > 0, F.col("_refs")).otherwise(F.col("_mix")).alias("_refs"))
+    # Left to adaptive execution: the references grow with the languages.
+    rows = rows.join(known.where(has_own).select("_lang", *names), "_lang", "left")
+    rows = rows.join(F.broadcast(others), F.col("_q_classes").isNull(), "left")
+
+    def away(ref: Column) -> Column:
+        apart = distance(F.col("_classes"), ref["_q_classes"])
+        apart += distance(_with_rest(_word_shares(ref["_common"])), ref["_q_words"])
+        return F.struct(apart.alias("_apart"), *[ref[name].alias(name) for name in ("_lang", *names)])
+
+    alone = F.col("_q_classes").isNull()
+    rows = rows.withColumn("_classes", _class_shares())
+    rows = rows.withColumn("_nearest", F.when(alone, F.array_min(F.transform("_refs", away))))
+    return rows.select(
+        *[name for name in rows.columns if name not in (*names, "_refs", "_nearest")],
+        (~alone | (F.col("_lang") == "")).alias("_worded"),
+        *[F.coalesce(F.col(name), F.col("_nearest")[name]).alias(name) for name in names],
+    )
+
+
 def _lacks_common_words() -> Column:
     """Whether a text has too few of its language's common words for its length."""
     share, whole = F.col("common_share"), F.col("lang_common_share")
@@ -201,7 +243,8 @@ def _lacks_common_words() -> Column:
 def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: ``row`` (what is kept of it), the counts, distances and verdicts.
 
-    A null text is an empty one, a null language one without a reference of its own.
+    A null text is an empty one, a null language one without a reference of its own, as a
+    language with fewer than ``MIN_DOCS`` documents: see there for what they are held against.
     A text with fewer than 20 words, or more than 30 percent of its words in repeated
     windows of eight, fails the base rules. Of the others, a text is dropped whose
     character classes (from 300 characters on) or common words (from 40 words on) are
@@ -213,22 +256,14 @@ def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list
     """
     # Counts and short words are written, texts are not.
     rows = written(signals(docs, id_col, text_col, lang_col), "signals")
-    # At most LANGUAGES + 1 short rows; its size does not grow with the documents.
+    # One short row for each language; its size does not grow with the documents.
     known = written(references(rows), "references")
     if keep is not None:
         # Whole rows: reading the texts again costs less than writing and moving them.
         rows = signals(docs, id_col, text_col, lang_col, keep)
-    own = known.where("_lang != ''")
-    shared = known.where("_lang = ''").select(*[F.col(n).alias(f"_all{n}") for n in known.columns if n != "_lang"])
-    rows = rows.join(F.broadcast(own), "_lang", "left").join(F.broadcast(shared), F.lit(True), "left")
-    for name in ("_common", "_q_words", "_q_classes"):
-        rows = rows.withColumn(name, F.coalesce(name, f"_all{name}"))
-    size = F.size("_short")
-    whole = F.greatest(F.col("_n"), F.lit(1)).cast("double")
-    shares = F.transform("_common", lambda word: (size - F.size(F.array_remove("_short", word))) / whole)
-    rows = rows.select(
+    rows = _with_reference(rows, known).select(
         "_row", "_n", "_word_chars", "_symbols", "_dup_lines", "_repeat", "_chars", "_q_words", "_q_classes",
-        shares.alias("_shares"), _class_shares().alias("_classes"),
+        F.when(F.col("_worded"), _word_shares(F.col("_common"))).alias("_shares"), "_classes",
     )
     rows = rows.select(
         F.col("_row").alias("row"),
