@@ -76,14 +76,21 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+#: How a block stands: set apart by a name, or by its element for good; in an article that
+#: lies in something set apart by name; in the article by a name, or by its element.
+BY_NAME = 1
+BY_ELEMENT = 2
+LIFTED = -1
+
+
 @dataclass
 class Block:
     """A run of text between block elements."""
 
     text: str
     links: int
-    apart: bool
-    main: bool
+    apart: int
+    main: int
     heading: bool
     label: str = ""
 
@@ -95,34 +102,43 @@ class _Page:
     links: int = 0
 
 
-def _place(name: str, attributes: str, apart: bool, main: bool) -> tuple[bool, bool]:
+def _place(name: str, attributes: str, apart: int, main: int) -> tuple[int, int]:
     """Whether an element stands apart from the text, and whether in the article."""
     if name in ("html", "body"):
         return apart, main
+    names = _names(attributes) if attributes and apart != BY_ELEMENT else frozenset()
     if name in MAIN:
-        return apart, True
-    apart = apart or name in APART or (name == "header" and not main)
-    if attributes and not apart:
+        if apart == BY_NAME and not main and not names & APART_NAMES and not _HIDDEN.search(attributes):
+            apart = LIFTED
+        return apart, BY_ELEMENT
+    if name in APART or (name == "header" and not main):
+        apart = BY_ELEMENT
+    if attributes and apart != BY_ELEMENT:
         if _HIDDEN.search(attributes):
-            return True, main
-        names = {
-            word.lower() for value in _NAMES.findall(attributes) for word in _WORD.findall(value[0] or value[1] or value[2])
-        }
+            return BY_ELEMENT, main
+        if apart == BY_NAME:
+            return apart, main
         near_text = bool(names & MAIN_NAMES)
         if names & APART_NAMES or (names & APART_OUTSIDE and not main and not near_text):
-            return True, main
+            return BY_NAME, main
         # Names that stand for notices do so inside an article as well.
         if main and names & {"notice", "notices", "alert", "banner", "widget"} and not near_text:
-            return True, main
-        main = main or near_text
+            return BY_NAME, main
+        main = main or (BY_NAME if near_text else 0)
     return apart, main
 
 
+def _names(attributes: str) -> set[str]:
+    """The words of an element's class, id and role."""
+    values = (value[0] or value[1] or value[2] for value in _NAMES.findall(attributes))
+    return {word.lower() for value in values for word in _WORD.findall(value)}
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order, without markup, white space made one blank."""
     page = _Page()
     # Open elements: name, apart, main, inside a link, heading.
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
 
     def flush() -> None:
         text = " ".join("".join(page.pieces).split())
@@ -199,14 +215,14 @@ def _first_label(block: Block) -> str:
     size = len(block.text)
     links = block.links / size
     if links > MAX_LINKS:
-        return "bad" if not block.main or size < SHORT_CHARS else "near"
+        return "bad" if block.main != BY_ELEMENT or size < SHORT_CHARS else "near"
     if size < SHORT_CHARS or block.heading:
         return "short"
     words = _LETTERS.findall(block.text.lower())
     stops = sum(word in STOP_WORDS for word in words) / max(len(words), 1)
     if stops >= HIGH_STOP_WORDS and (size > LONG_CHARS or block.main):
         return "good"
-    if stops >= LOW_STOP_WORDS or block.main:
+    if stops >= LOW_STOP_WORDS or block.main == BY_ELEMENT:
         return "near"
     return "bad"
 
@@ -215,9 +231,17 @@ def label(blocks: list[Block]) -> None:
     """Set each block's label to good or bad."""
     for block in blocks:
         block.label = _first_label(block)
-    in_main = any(block.main and not block.apart for block in blocks)
+    if not any(block.label == "good" for block in blocks):
+        # No text elsewhere: an article counts, whatever the name of what it lies in.
+        for block in blocks:
+            if block.apart == LIFTED:
+                block.apart = 0
+                block.label = _first_label(block)
+    good = [bool(block.main) for block in blocks if block.label == "good"]
+    in_main = any(good) or (not good and any(block.main == BY_ELEMENT and not block.apart for block in blocks))
     if in_main:
-        # Where a page says what its article is, the rest of it is not.
+        # Where a page says what its article is and that reads as text, or nothing else
+        # does and an element says so, the rest of it is not.
         for block in blocks:
             if not block.main and block.label != "apart":
                 block.label = "bad"

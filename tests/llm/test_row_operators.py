@@ -236,3 +236,18 @@ def test_html_pages_keep_their_articles(spark):
     for page in pages.collect():
         article = re.search(r"<article>(.*?)</article>", page.html, re.DOTALL)[1]
         assert found[page.page_id] == " ".join(unescape(re.sub(r"<[^>]*>", " ", article)).split())
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='post-meta'>By X</div><div class=body><p>{ARTICLE} {ARTICLE}</p></div>", f"By X {ARTICLE} {ARTICLE}"),
+        (f"<div class='layout has-sidebar'><article><p>{ARTICLE}</p></article></div>", ARTICLE),
+        (f"<div class='layout has-sidebar'><main><p>{ARTICLE}</p><div class=comments>{ARTICLE}</div></main><nav><article>{ARTICLE}</article></nav></div>", ARTICLE),
+        (f"<article><p>{ARTICLE}</p></article><div class=related><article><p>{ARTICLE}</p></article></div>", ARTICLE),
+        (f"<div hidden><div class=sidebar><article>{ARTICLE}</article></div></div><p>{ARTICLE} {ARTICLE}</p>", f"{ARTICLE} {ARTICLE}"),
+        (f"<div class=content><p>{ARTICLE}</p><p>{'Buy Cheap Watches Online Today ' * 5}</p><p>{ARTICLE}</p></div>", f"{ARTICLE} {ARTICLE}"),
+    ],
+)
+def test_html_names_only_weigh(html, text):
+    assert html_text.main_text(html) == text
