@@ -74,6 +74,8 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of scripts without blanks, of which one stands for about three of others.
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 
 
 #: How a block stands: set apart by a name, or by its element for good; in an article that
@@ -208,18 +210,28 @@ def blocks_of(html: str) -> list[Block]:
     return page.blocks
 
 
-def _first_label(block: Block) -> str:
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _LETTERS.findall(text.lower())
+    return sum(word in STOP_WORDS for word in words), len(words)
+
+
+def _first_label(block: Block, by_length: bool) -> str:
     """good, bad, or what the neighbours decide: near (few stop words) and short."""
     if block.apart:
         return "apart"
     size = len(block.text)
     links = block.links / size
+    if by_length:
+        size += 2 * len(_DENSE.findall(block.text))
     if links > MAX_LINKS:
         return "bad" if block.main != BY_ELEMENT or size < SHORT_CHARS else "near"
     if size < SHORT_CHARS or block.heading:
         return "short"
-    words = _LETTERS.findall(block.text.lower())
-    stops = sum(word in STOP_WORDS for word in words) / max(len(words), 1)
+    if by_length:
+        return "good" if size > LONG_CHARS or block.main else "near"
+    found, words = _stops(block.text)
+    stops = found / max(words, 1)
     if stops >= HIGH_STOP_WORDS and (size > LONG_CHARS or block.main):
         return "good"
     if stops >= LOW_STOP_WORDS or block.main == BY_ELEMENT:
@@ -227,16 +239,29 @@ def _first_label(block: Block) -> str:
     return "bad"
 
 
-def label(blocks: list[Block]) -> None:
-    """Set each block's label to good or bad."""
+def _first_labels(blocks: list[Block]) -> bool:
+    """The first pass; whether any block is good.
+
+    A page without a good block whose words are not those of the known languages is
+    judged by length and links alone.
+    """
     for block in blocks:
-        block.label = _first_label(block)
+        block.label = _first_label(block, False)
     if not any(block.label == "good" for block in blocks):
+        counts = [_stops(block.text) for block in blocks if not block.apart]
+        if sum(found for found, _ in counts) < LOW_STOP_WORDS * sum(words for _, words in counts):
+            for block in blocks:
+                block.label = _first_label(block, True)
+    return any(block.label == "good" for block in blocks)
+
+
+def label(blocks: list[Block]) -> None:
+    """Set each block's label to good or bad."""
+    if not _first_labels(blocks) and any(block.apart == LIFTED for block in blocks):
         # No text elsewhere: an article counts, whatever the name of what it lies in.
         for block in blocks:
-            if block.apart == LIFTED:
-                block.apart = 0
-                block.label = _first_label(block)
+            block.apart = 0 if block.apart == LIFTED else block.apart
+        _first_labels(blocks)
     good = [bool(block.main) for block in blocks if block.label == "good"]
     in_main = any(good) or (not good and any(block.main == BY_ELEMENT and not block.apart for block in blocks))
     if in_main:

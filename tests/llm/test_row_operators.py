@@ -251,3 +251,20 @@ def test_html_pages_keep_their_articles(spark):
 )
 def test_html_names_only_weigh(html, text):
     assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Это было лучшее изо всех времён, это было худшее изо всех времён; это был век мудрости, это был век глупости. " * 3,
+        "Była to najlepsza i najgorsza z epok, wiek rozumu i wiek szaleństwa, czas wiary i czas niewiary, pora światła i mroku. " * 3,
+        "那是最美好的时代，那是最糟糕的时代；那是智慧的年头，那是愚昧的年头；那是信仰的时期，那是怀疑的时期。",
+        "كان أحسن الأزمان وكان أسوأ الأزمان، كان عصر الحكمة وكان عصر الحماقة، كان عهد الإيمان وكان عهد الجحود. " * 3,
+    ],
+)
+def test_html_in_other_languages(text):
+    """Without known stop words, length and links decide."""
+    text = text.strip()
+    links = "".join(f"<li><a href=/{k}>{text[:12]}</a></li>" for k in range(8))
+    html = f"<div><ul>{links}</ul></div><div class=body><p>{text}</p><p>{text}</p></div>"
+    assert html_text.main_text(html) == f"{text} {text}"
