@@ -178,9 +178,77 @@ SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles::DOUBLE AS c
 FROM shared JOIN sizes USING (item_id) WHERE 10 * n_shared >= 8 * n_shingles
 """
 
+_OP11 = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), named AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(generate_series(0, 31), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest
+  FROM hashed
+), ranked AS (
+  SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS original
+  FROM named WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN original END AS refers_to
+FROM ranked
+"""
+
+_OP12 = """
+WITH crc_steps AS (
+  SELECT list(list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, _:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS steps
+  FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS k)
+), turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295,
+      list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+      lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255)::INTEGER + 1]))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc_steps
+), rebuilt AS (
+  SELECT c.conv_id, t.role, t.text, place, 0 AS part
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 AND place < h
+  UNION ALL
+  SELECT c.conv_id, t.role, t.text, place, 1 FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place >= h
+), paths AS (
+  SELECT conv_id, 0 AS depth, '' AS node, NULL AS parent, 0 AS bytes FROM convs
+  UNION ALL
+  SELECT conv_id, depth, sha256(array_to_string(list_transform(upto, lambda x: sha256(x)), '')),
+    CASE WHEN depth = 1 THEN '' ELSE sha256(array_to_string(list_transform(upto[:-2], lambda x: sha256(x)), '')) END, bytes
+  FROM (SELECT conv_id, strlen(text) AS bytes, row_number() OVER w AS depth,
+          list(strlen(role) || ':' || role || text) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+        FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place))
+), nodes AS (
+  SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent,
+    any_value(bytes) AS bytes, count(*) AS n_convs
+  FROM paths GROUP BY node
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), ends AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(node, depth) AS node FROM paths GROUP BY conv_id) GROUP BY node
+), sums AS (
+  SELECT p.node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * n.bytes)::BIGINT AS saved_tokens
+  FROM nodes n LEFT JOIN children USING (node) JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth
+  GROUP BY p.node
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums USING (node) LEFT JOIN nodes up ON up.node = n.parent
+  LEFT JOIN children ch ON ch.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+
 ORACLE = {
     "op1_url_filter": _OP1,
     "op4_quality_rules": _OP4,
     "op7_mixing": _OP7,
     "op10_decontamination": _OP10,
+    "op11_warc_revisits": _OP11,
+    "op12_prefix_trie": _OP12,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.llm import (
@@ -10,14 +10,18 @@ from chatprep.llm import (
     html_text,
     mixing,
     pii,
+    prefix_trie,
     quality,
     secret_scan,
     simhash,
     suffix_dedup,
     token_count,
     url_filter,
+    warc,
+    whitening,
 )
-from chatprep.llm.common import table
+from chatprep.llm.common import table, written
+from chatprep.session import new_path
 
 RULES = [
     url_filter.Rule("allow", "com", "/"),
@@ -88,6 +92,55 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The header field that names a page.
+PAGE = "X-Page-Id"
+
+
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a crawl's archives, these without repeated payloads, and what those then say of each page."""
+    crawl, out = new_path(spark, "crawl"), new_path(spark, "archive")
+    warc.write_archive(warc.page_records(table(spark, sf_dir, "pages"), "url", "html", {PAGE: "page_id"}), crawl)
+
+    def page(fields: str) -> Column:
+        return F.try_element_at(F.col(fields), F.lit(PAGE)).cast("long")
+
+    warc.deduplicate(spark, crawl, out, page("fields"))
+    headers = warc.read_records(spark, out, payload=False).drop("head", "payload")
+    found = warc.with_originals(written(headers, "headers"))
+    return found.select(
+        page("fields").alias("page_id"),
+        F.coalesce("payload_bytes", "original.payload_bytes").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        page("original.fields").alias("refers_to"),
+    )
+
+
+def shared_openings(convs: DataFrame, every: int = 5, most: int = 9) -> DataFrame:
+    """Sequences whose first turns, a number by their id, are those of every fifth one."""
+    own = F.col("conv_id")
+    h = (F.crc32(own.cast("string")) % most).cast("int")
+    heads = convs.select(own.alias("_base"), F.slice("turns", 1, most - 1).alias("_head"))
+    rows = convs.withColumn("_base", own - own % every).join(heads, "_base", "left")
+    # A conversation that is not there has no turns to lend.
+    head = F.coalesce("_head", F.slice("turns", 1, 0))
+    turns = F.concat(F.slice(head, F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    return rows.select("conv_id", turns.alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    convs = written(prefix_trie.sequences(turns, "conv_id", "turn", "role", "text"), "sequences")
+    nodes = prefix_trie.prefix_trie(shared_openings(convs))
+    return nodes.withColumn("depth", F.col("depth").cast("long")).withColumnRenamed("saved_bytes", "saved_tokens")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    # Beyond a long, at about three million vectors, there is no value that the column could hold.
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -101,5 +154,8 @@ QUERIES = {
         op8_suffix_dedup,
         op9_html_text,
         op10_decontamination,
+        op11_warc_revisits,
+        op12_prefix_trie,
+        op13_whitening,
     )
 }
