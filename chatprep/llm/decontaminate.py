@@ -2,11 +2,13 @@
 
 Test items are short and documents long, so containment is what counts: the share of
 an item's five-word shingles that a document has. Items are partitioned by their
-number of shingles. Each partition has a sketch size: of each item the shingles with
-the least hashes, one more than an item of the partition may miss at the threshold. A
-document that contains an item misses too few shingles to miss the whole sketch, so it
-shares a sketch value with the item for certain. Candidates found that way are
-verified by counting the item's shingles in the document exactly.
+number of shingles. Each partition has a sketch size: one more shingle than an item of
+the partition may miss at the threshold. A document that contains an item misses too few
+shingles to miss the whole sketch, whichever shingles it has, so it shares a sketch value
+with the item for certain. A sketch has the shingles with the least hashes, of those that
+few documents have: by powers of two of their number, so that a phrase that very many
+documents share is in no sketch while an item has rarer ones. Only the candidates found
+that way are verified, by counting their items' shingles in the document exactly.
 """
 
 from __future__ import annotations
@@ -143,6 +145,27 @@ def sketch_size(part: int, threshold: float) -> int:
     ) + 2
 
 
+def item_shingles(rows: DataFrame, size: int) -> DataFrame:
+    """``item``, ``hash``, ``shingle`` and ``n_shingles`` of each different shingle of rows (id, text)."""
+    found = _passing(rows, size, None).distinct()
+    counts = found.groupBy(F.col("id").alias("item")).agg(F.count(F.lit(1)).alias("n_shingles"))
+    return found.join(counts, F.col("id").eqNullSafe(F.col("item"))).drop("id")
+
+
+def _sketches(wanted: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """``item`` and ``shingle`` of each item's sketch: the rarest of its shingles, and of those the least hashes."""
+    part = F.floor(F.log2("n_shingles")).cast("int")
+    # Items have at most 2 ** 31 words.
+    most = F.element_at(F.array(*[F.lit(sketch_size(k, threshold)) for k in range(31)]), part + 1)
+    held = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("_docs"))
+    ranked = wanted.join(held, "shingle", "left").withColumn("most", most)
+    rarity = F.ceil(F.log2(F.coalesce("_docs", F.lit(0)) + 1)).alias("rarity")
+    ranked = ranked.groupBy("item", "most").agg(
+        F.sort_array(F.collect_list(F.struct(rarity, F.xxhash64("shingle").alias("order"), "shingle"))).alias("all")
+    )
+    return ranked.select("item", F.explode(F.slice("all", F.lit(1), F.col("most"))).alias("s")).select("item", "s.shingle")
+
+
 def contained_items(
     docs: DataFrame,
     doc_id: str,
@@ -165,29 +188,22 @@ def contained_items(
     """
     doc_rows = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text"))
     item_rows = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
-    wanted = written(_passing(item_rows, size, None).distinct(), "items")
-    counts = wanted.groupBy("id").agg(F.count(F.lit(1)).alias("n_shingles"))
-    wanted = wanted.withColumnRenamed("id", "item").join(
-        counts.withColumnRenamed("id", "item_"), F.col("item").eqNullSafe(F.col("item_"))
-    ).drop("item_")
-
-    # The sketches: by partition of size, so many of the least hashes of each item.
-    part = F.floor(F.log2("n_shingles")).cast("int")
-    # Items have at most 2 ** 31 words.
-    most = F.element_at(F.array(*[F.lit(sketch_size(k, threshold)) for k in range(31)]), part + 1)
-    wanted = wanted.withColumn("most", most)
-    ranked = wanted.withColumn("order", F.xxhash64("shingle"))
-    least = ranked.groupBy("item", "most").agg(F.sort_array(F.collect_list(F.struct("order", "shingle"))).alias("all"))
-    sketches = least.select("item", F.explode(F.slice("all", F.lit(1), F.col("most"))).alias("s")).select("item", "s.shingle")
-
+    wanted = written(item_shingles(item_rows, size), "items")
     hits = written(_passing(doc_rows, size, _filter_bits(wanted)).distinct(), "hits")
     hits = hits.select(F.col("id").alias("doc"), "shingle")
-    candidates = hits.join(sketches, "shingle").select("doc", "item").distinct()
-    shared = hits.join(wanted.select("item", "shingle", "n_shingles"), "shingle")
+    sketches = written(_sketches(wanted, hits, threshold), "sketches")
+    candidates = written(hits.join(sketches, "shingle").select("doc", "item").distinct(), "candidates")
+
+    # Verified are candidates alone: their items' shingles, looked up among the document's.
+    asked = candidates.withColumnRenamed("item", "_item").join(
+        wanted.select("item", "shingle", "n_shingles"), F.col("_item").eqNullSafe(F.col("item"))
+    )
+    there = hits.toDF("_doc", "_shingle")
+    shared = asked.join(
+        there, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("shingle") == F.col("_shingle")), "left_semi"
+    )
     shared = shared.groupBy("doc", "item", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
     found = shared.where(F.col("n_shared") >= least_shared(F.col("n_shingles"), threshold))
-    keys = candidates.toDF("doc_", "item_")
-    found = found.join(keys, F.col("doc").eqNullSafe(F.col("doc_")) & F.col("item").eqNullSafe(F.col("item_")), "left_semi")
     return found.select(
         F.col("doc").alias(doc_id),
         F.col("item").alias(item_id),

@@ -53,6 +53,8 @@ def _distance(p: str, q: str) -> str:
     return f"sqrt(greatest({terms} / 2, 0))"
 
 
+_WITH_REST = "list_append({x}, greatest(1 - coalesce(list_sum({x}), 0), 0))"
+
 _OP4 = f"""
 WITH base AS (
   SELECT doc_id, coalesce(lang, '') AS lang, t, w, len(w) AS n,
@@ -77,9 +79,8 @@ WITH base AS (
   SELECT lang, [{", ".join(f"sum(c_{n}) / sum(c_chars)::DOUBLE" for n in ("upper", "digit", "blank", "mark", "sign"))},
     sum({_REST}) / sum(c_chars)::DOUBLE] AS q
   FROM both_classes GROUP BY lang
-), languages AS (
-  SELECT lang FROM classes WHERE lang <> '' AND c_chars > 0 GROUP BY lang
-  ORDER BY count(*) DESC, lang LIMIT {quality.LANGUAGES}
+), own_languages AS (
+  SELECT lang FROM classes WHERE lang <> '' AND c_chars > 0 GROUP BY lang HAVING count(*) >= {quality.MIN_DOCS}
 ), lowered AS (
   SELECT doc_id, lang, list_transform(w, lambda x: lower(x)) AS w FROM base
 ), word_counts AS (
@@ -94,27 +95,40 @@ WITH base AS (
 ), word_reference AS (
   SELECT lang, words, list_transform(times, lambda x: x / total::DOUBLE) AS q
   FROM common JOIN (SELECT lang, sum(times) AS total FROM word_counts GROUP BY lang) USING (lang)
+), refs AS (
+  SELECT lang, cr.q AS cq, coalesce(wr.words, []) AS words, coalesce(wr.q, []::DOUBLE[]) AS wq
+  FROM class_reference cr LEFT JOIN word_reference wr USING (lang)
+  WHERE lang IN (SELECT lang FROM own_languages) OR (lang = '' AND NOT EXISTS (SELECT 1 FROM own_languages))
+), held AS (
+  SELECT l.doc_id, l.lang, l.w, l.lang IN (SELECT lang FROM own_languages) AS has_own FROM lowered l
+), against AS (
+  SELECT h.doc_id, n, c_chars, has_own OR h.lang = '' AS worded, r.lang AS reference, cq, wq,
+    [{", ".join(f"c_{x} / greatest(c_chars, 1)::DOUBLE" for x in ("upper", "digit", "blank", "mark", "sign"))}, ({_REST}) / greatest(c_chars, 1)::DOUBLE] AS cp,
+    list_transform(r.words, lambda x: len(list_filter(h.w, lambda y: y = x)) / greatest(n, 1)::DOUBLE) AS p
+  FROM held h JOIN base b USING (doc_id) JOIN classes c USING (doc_id)
+  LEFT JOIN refs r ON r.lang = h.lang OR NOT has_own
+), measured AS (
+  SELECT *, {_distance("cp", "cq")} AS class_distance,
+    {_distance(_WITH_REST.format(x="p"), _WITH_REST.format(x="wq"))} AS word_distance,
+    coalesce(list_sum(p), 0) AS share, 1 - greatest(1 - coalesce(list_sum(wq), 0), 0) AS whole
+  FROM against
 ), judged AS (
-  SELECT b.doc_id, n, c_chars,
-    {_distance("[" + ", ".join(f"c_{x} / greatest(c_chars, 1)::DOUBLE" for x in ("upper", "digit", "blank", "mark", "sign")) + f", ({_REST}) / greatest(c_chars, 1)::DOUBLE]", "cr.q")} AS class_distance,
-    p, wr.q AS q
-  FROM base b JOIN classes c USING (doc_id)
-  JOIN (SELECT doc_id, w, CASE WHEN lang IN (SELECT lang FROM languages) THEN lang ELSE '' END AS own FROM lowered) l
-    USING (doc_id)
-  JOIN class_reference cr ON cr.lang = own JOIN word_reference wr ON wr.lang = own,
-  LATERAL (SELECT list_transform(wr.words, lambda x: len(list_filter(l.w, lambda y: y = x)) / greatest(n, 1)::DOUBLE) AS p)
+  SELECT *, n >= {quality.MIN_WORDS} AND share < {quality.MIN_COMMON_PART!r} * whole
+    AND (whole - share) * sqrt(n) > {quality.LACK_DEVIATIONS} * sqrt(whole) AS lacks
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY class_distance + word_distance, reference) AS place
+        FROM measured) WHERE place = 1
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (c_chars >= {quality.MIN_CHARS} AND class_distance > {quality.MAX_CLASS_DISTANCE})
-  AND NOT (n_words >= {quality.MIN_WORDS} AND word_distance > {quality.MAX_WORD_DISTANCE}) AS kept
+  NOT base_failed AND NOT coalesce(c_chars >= {quality.MIN_CHARS} AND class_distance > {quality.MAX_CLASS_DISTANCE}, false)
+  AND NOT coalesce(worded AND n_words >= {quality.MIN_WORDS} AND word_distance > {quality.MAX_WORD_DISTANCE}, false)
+  AND NOT coalesce(worded AND lacks, false) AS kept
 FROM (
   SELECT b.doc_id, b.n AS n_words, length(array_to_string(b.w, '')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     b.n < {quality.MIN_BASE_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {quality.MAX_REPEAT_PERCENT} * b.n AS base_failed,
-    c_chars, class_distance,
-    {_distance("list_append(p, greatest(1 - list_sum(p), 0))", "list_append(q, greatest(1 - list_sum(q), 0))")} AS word_distance
+    c_chars, class_distance, word_distance, worded, lacks
   FROM base b JOIN judged USING (doc_id) LEFT JOIN repeated USING (doc_id)
 )
 """

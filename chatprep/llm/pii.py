@@ -108,7 +108,9 @@ def personal_spans(text: str) -> list[tuple[str, int, int]]:
                 run_end += 1
             if at >= ip_end and (found := _IP.match(text, at)):
                 ip_end = found.end()
-                if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in found[0].split(".")):
+                # A part may begin with any number of zeros, more than a number is read from.
+                parts = [part.lstrip("0") for part in found[0].split(".")]
+                if all(len(part) <= 3 and int(part or 0) <= 255 for part in parts):
                     spans.append(("ip", at, ip_end))
             if at >= card_end and (found := _CARD.match(text, at)):
                 card_end = found.end()

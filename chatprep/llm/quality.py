@@ -19,8 +19,6 @@ from chatprep.llm.common import words, written
 COMMON_WORDS = 24
 COMMON_LETTERS = 4
 SHORT_WORD = f"^\\p{{L}}{{1,{COMMON_LETTERS}}}$"
-#: Languages in the query's SQL with a reference of their own; the code has no such limit.
-LANGUAGES = 64
 #: Documents with text from which on a language has a reference of its own. A document of
 #: no language is held against the nearest reference there is, one of a language with fewer
 #: documents as well, but only for its characters: its words are not that language's.
@@ -249,8 +247,7 @@ def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list
     windows of eight, fails the base rules. Of the others, a text is dropped whose
     character classes (from 300 characters on) or common words (from 40 words on) are
     farther from the language's than the limits, or that lacks the common words; shorter
-    texts are kept, and what counts as a lack follows from a text's length. ``near`` is
-    the verdict of the base rules and the distances alone, ``kept`` the whole. Repeated rows
+    texts are kept, and what counts as a lack follows from a text's length. Repeated rows
     are judged one by one, an empty table gives an empty result, other columns of the
     input play no part.
     """
@@ -284,8 +281,7 @@ def judge(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: list
     )
     near = ~base & ~F.coalesce(odd, F.lit(False))
     lack = (F.col("n_words") >= MIN_WORDS) & _lacks_common_words()
-    verdict = F.struct(near.alias("near"), (near & ~F.coalesce(lack, F.lit(False))).alias("kept"))
+    kept = near & ~F.coalesce(lack, F.lit(False))
     # Behind a generator of one row: a filter on the verdict would else be moved down to
     # the texts, with all that the verdict hangs on worked out again inside it.
-    judged = rows.withColumn("base_failed", base).select("*", F.explode(F.array(verdict)).alias("_verdict"))
-    return judged.select("*", "_verdict.near", "_verdict.kept").drop("_verdict")
+    return rows.withColumn("base_failed", base).select("*", F.explode(F.array(kept)).alias("kept"))

@@ -55,11 +55,12 @@ RULES = [
 ]
 BASE_KINDS = ["assign", "access", "hex"]
 
-SPANS = "array<struct<kind:string,start:long,end:long>>"
+#: A finding carries the version of the rule that made it.
+SPANS = "array<struct<kind:string,version:int,start:long,end:long>>"
 
 
 def spans_of(text: Column, rule: SecretRule) -> Column:
-    """(kind, start, end) of a rule's matches, leftmost first and not overlapping, in code points."""
+    """(kind, version, start, end) of a rule's matches, leftmost first and not overlapping, in code points."""
     marked = F.regexp_replace(text, f"(?:{rule.pattern})", f"{_MARK}$0{_MARK}")
     # Pieces outside and inside matches take turns.
     pieces = F.split(marked, _MARK, -1)
@@ -68,7 +69,8 @@ def spans_of(text: Column, rule: SecretRule) -> Column:
     def step(state: Column, piece: Column) -> Column:
         end = state["at"] + F.length(piece["text"])
         ok = piece["inside"] & (F.length(F.regexp_extract(piece["text"], rule.pattern, rule.group)) >= rule.least)
-        span = F.struct(F.lit(rule.kind).alias("kind"), state["at"].alias("start"), end.alias("end"))
+        rule_of = [F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version")]
+        span = F.struct(*rule_of, state["at"].alias("start"), end.alias("end"))
         return F.struct(
             end.alias("at"),
             F.when(ok, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"),
@@ -127,17 +129,19 @@ def findings_of(
 ) -> DataFrame:
     """One row for each version row: its id columns, ``blob`` and ``found``.
 
-    ``ledger`` has rows of one or more scans; findings of rules not asked for are
-    left out. A version whose blob it does not have has no findings. Repeated rows
-    stay; an empty table gives an empty result.
+    ``ledger`` has rows of one or more scans; findings of rules, or of versions of a rule,
+    that are not asked for are left out, and a pair that was scanned twice counts once.
+    A version whose blob it does not have has no findings. Repeated rows stay; an empty
+    table gives an empty result.
     """
     rules = RULES if rules is None else rules
-    kinds = [rule.kind for rule in rules]
+    names = [rule.name for rule in rules]
     known = ledger.groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
     rows = versions.select(*id_cols, content_address(F.col(text_col)).alias("_blob"))
     known = known.select(F.col("blob").alias("_known"), F.col("found").alias("_found"))
     # Joined by a struct, which the grouping above has not dealt out by: so both sides are
     # dealt anew, and a blob that very many versions hold can be split over tasks.
     rows = rows.join(known, F.struct(F.col("_blob").alias("b")) == F.struct(F.col("_known").alias("b")), "left")
-    found = F.coalesce(F.filter("_found", lambda s: s["kind"].isin(kinds)), F.array().cast(SPANS))
+    asked = F.filter("_found", lambda s: F.concat_ws("@", s["kind"], s["version"]).isin(names))
+    found = F.coalesce(F.array_distinct(asked), F.array().cast(SPANS))
     return rows.select(*id_cols, F.col("_blob").alias("blob"), found.alias("found"))

@@ -248,7 +248,7 @@ def first_of_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHI
     and further columns, nulls, empty texts and empty tables are as in ``near_groups``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = _own(F.col(id_col), text)
+    own = row_key(F.col(id_col), text)
     # Ids, hashes and fingerprints are written, texts are not.
     rows = fingerprints(docs.select(own.alias("own"), text.alias("text")), "text", size)
     rows = written(rows.select("own", F.col("_fingerprint").alias("fp")), "fingerprints")
@@ -262,11 +262,11 @@ def first_of_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHI
     columns = docs.columns
     every = docs.toDF(*[f"c{k}" for k in range(len(columns))])
     text = F.coalesce(F.col(f"c{columns.index(text_col)}"), F.lit(""))
-    every = every.withColumn("own", _own(F.col(f"c{columns.index(id_col)}"), text))
+    every = every.withColumn("own", row_key(F.col(f"c{columns.index(id_col)}"), text))
     stay = every.join(kept.hint("merge"), "own", "left_semi").dropDuplicates(["own"])
     return stay.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(columns)])
 
 
-def _own(name: Column, text: Column) -> Column:
-    """What a row is: structs compare nulls as equal."""
-    return F.struct(name.alias("id"), F.unhex(F.sha2(text, 256)).alias("hash"))
+def row_key(name: Column, text: Column) -> Column:
+    """What a row is, by id and text: structs compare nulls as equal, a null text is an empty one."""
+    return F.struct(name.alias("id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("hash"))

@@ -158,6 +158,23 @@ def test_contained_items(spark, monkeypatch):
         assert decontaminate.contained_items(a, "doc_id", "text", b, "item_id", "text").count() == 0
 
 
+def test_a_phrase_that_all_share_is_in_no_sketch(spark):
+    """Documents and items with one phrase in common, and few real matches: no pairs of all with all."""
+    phrase = "the same five words here"
+    items = [(k, f"{phrase} " + " ".join(f"i{k}x{j}" for j in range(30))) for k in range(300)]
+    documents = [(k, f"{phrase} " + " ".join(f"d{k}x{j}" for j in range(30))) for k in range(300)]
+    documents += [(1000 + k, "before " + items[k][1] + " after") for k in range(5)]
+    docs = spark.createDataFrame(documents, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    wanted = decontaminate.item_shingles(table.toDF("id", "text"), 5)
+    hits = decontaminate._passing(docs.toDF("id", "text"), 5, None).select(F.col("id").alias("doc"), "shingle")
+    sketches = decontaminate._sketches(wanted, hits, 0.8)
+    assert sketches.where(F.col("shingle") == phrase).count() == 0
+    assert hits.join(sketches, "shingle").select("doc", "item").distinct().count() == 5
+    found = decontaminate.contained_items(docs, "doc_id", "text", table, "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1000 + k, k) for k in range(5)}
+
+
 def test_sketch_is_large_enough():
     """An item of n shingles may miss n - ceil(0.8 n); its sketch has more than that."""
     import math

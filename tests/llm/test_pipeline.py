@@ -1,7 +1,11 @@
 """The pipeline's stages against loops, and the registered queries against their SQL."""
 
+import random
+
 import pytest
 from loops import fingerprint, linked, shingles
+from loops import mixed as loop_mix
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -21,7 +25,7 @@ def connection():
 def test_registered():
     names = driver.queries()
     assert {*QUERIES, "pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -56,7 +60,32 @@ def test_stages(spark):
         assert row.n_chars == len(row.text)
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert mixed.columns == [*columns, "copies"]
-    assert 0 < mixed.count() <= len(after)
+    wanted = loop_mix([(k, r.text, r.source) for k, r in after.items()])
+    copies = {k: taken // size for k, (size, _, _, taken) in wanted.items() if taken}
+    assert {r.doc_id: r.copies for r in mixed.collect()} == copies
+
+
+def test_null_and_repeated_ids(spark):
+    """Each row is judged for itself: a leak takes no other document of its id along."""
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.desc(F.length("text"))).first().text
+    pick = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = [r for r in docs.where("lang = 'en'").collect() if 60 < len(r.text.split()) < 500]
+    texts = {f"clean {k}": " ".join(pick.sample(r.text.split(), 60)) for k, r in enumerate(clean[:4])}
+    texts["leak"] = f"{texts['clean 0'][:50]} {leak}"
+    rows = [(None, texts["clean 0"]), (None, texts["clean 1"]), (None, texts["leak"]), (7, texts["clean 2"]), (7, texts["clean 3"])]
+    rows += [(7, texts["leak"]), (7, texts["clean 2"]), (None, None), (8, "")]
+    table = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], docs.schema)
+    name, stage = corpus_pipeline.STAGES[2]
+    kept = sorted(((r.doc_id, r.text) for r in stage(spark, table, SF).collect()), key=str)
+    assert kept == sorted(((k, t) for k, t in rows if t != texts["leak"]), key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, table, SF)
+        assert found.count() <= len(rows)
+        if name == "SimHash near-dedup":
+            assert found.where("doc_id IS NULL").count() > 0 or found.count() < len(rows)
+        if name == "PII":
+            assert found.count() == len(rows)
 
 
 def test_run_and_empty(spark):

@@ -91,6 +91,23 @@ def test_personal_spans(spark):
     assert kinds(PII_TEXTS[3]) == ["https://joe:pw@host.org"]
 
 
+@pytest.mark.parametrize("n", [5_000, 1_000_000])
+def test_long_runs_of_digits(n):
+    """Numbers longer than any that Python reads stop nothing."""
+    zeros, ones, card = "0" * n, "1" * n, "4111 1111 1111 1111"
+    wanted = {
+        f"{zeros}.1.1.1": [("ip", 0, n + 6)],
+        f"1.1.1.{zeros}": [("ip", 0, n + 6)],
+        f"{ones}.1.1.1": [],
+        f"1.{zeros}256.1.1": [],
+        ones: [],
+        f"+{ones}": [],
+        f"{zeros}, {card}": [("card", n + 2, n + 2 + len(card))],
+    }
+    for text, spans in wanted.items():
+        assert [s for s in pii.personal_spans(text) if s[0] in PERSONAL] == spans
+
+
 def test_pii_table(docs):
     found = pii.find_personal(docs, "text").select("doc_id", "copies", "text", "_pii.*")
     rows = found.collect()
@@ -154,7 +171,24 @@ def test_texts_without_common_words_are_dropped(spark):
     found = {r.row.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()}
     assert all(found[k].kept for k in [*range(80), *short])
     # The distances alone can't tell.
-    assert all(found[k].near and not found[k].kept for k in odd)
+    assert all(found[k].word_distance < rules.MAX_WORD_DISTANCE and not found[k].kept for k in odd)
+
+
+def test_wrong_languages_through_the_query(spark, tmp_path):
+    """The registered verdict is the method's: texts of another language than they say are dropped."""
+    from chatprep.llm.queries import op4_quality_rules
+
+    pick = random.Random(8)
+    common = {
+        "en": "the of and to a in is that it for was on with as be by are this at from have or had not".split(),
+        "de": "der die und den von zu das sich mit des auf ist im dem ein eine als er es für sie nach wird bei".split(),
+    }
+    rows = [(k, _prose(pick, common[lang], "abdeilnorst"), lang) for k, lang in enumerate(["en", "de"] * 40)]
+    rows += [(k, _prose(pick, common["de"], "abdeilnorst"), "en") for k in range(100, 120)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.kept for r in op4_quality_rules(spark, str(tmp_path)).collect()}
+    assert [k for k, kept in found.items() if not kept and k < 100] == []
+    assert sum(found[k] for k in range(100, 120)) <= 2
 
 
 def test_each_language_has_its_reference(spark):
@@ -201,11 +235,30 @@ def test_secret_ledger(spark):
     newer = [secret_scan.SecretRule("access", 2, r"AKIA[A-Z0-9]+", 0, 4), *[r for r in secret_scan.RULES if r.kind != "access"]]
     again = secret_scan.scan_unseen(versions, "text", ledger, newer)
     assert {tuple(r.scanned) for r in again.collect()} == {("access@2",)}
+    # A ledger with two versions of a rule gives the findings of the one that is asked for, once.
+    both = ledger.unionByName(again).unionByName(again)
+    for asked, version in ((None, 1), (newer, 2)):
+        spans = [s for r in secret_scan.findings_of(versions, ["doc_id"], "text", both, asked).collect() for s in r.found]
+        assert {s.version for s in spans if s.kind == "access"} == {version}
+        first = [s for s in spans if s.kind == "access" and s.start == 27]
+        assert len(first) == 2 and len(spans) == len([s for r in found for s in r.found]) + 2 * (version == 2)
     more = versions.union(spark.createDataFrame([(9, "a new blob")], versions.schema))
     assert secret_scan.scan_unseen(more, "text", ledger).count() == 1
     assert secret_scan.findings_of(versions.limit(0), ["doc_id"], "text", ledger).count() == 0
 
 
+def test_secret_query_scans_in_two_steps(spark, tmp_path):
+    """What the first scan saw is not read again, and all documents have all findings."""
+    from chatprep.llm.queries import op5_secret_scan
+
+    rows = [(k, SECRET_TEXTS[k % 5]) for k in range(23)] + [(None, SECRET_TEXTS[1]), (4, "token: abcdefgh1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = op5_secret_scan(spark, str(tmp_path)).collect()
+    wanted = sorted((str(k), sha(digest(base_spans(text or "", SECRETS)))) for k, text in rows)
+    assert sorted((str(r.doc_id), r.base_sha256) for r in found) == wanted
+    assert sum("github" in r.spans for r in found) == sum(text == SECRET_TEXTS[2] for _, text in rows)
+
+
 ARTICLE = "It was the best of times and it was the worst of times, and there was not much that we could do about it in the end."
 PAGES = [
     (None, ""),
