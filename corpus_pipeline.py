@@ -26,11 +26,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no item of the benchmark."""
+    """Documents that contain no item of the benchmark.
+
+    A document is an id and a text, since ids may be null or repeated: rows that are
+    alike in both stay or go together, others each for themselves.
+    """
     items = table(spark, sf_dir, "benchmark")
-    found = decontaminate.contained_items(docs, "doc_id", "text", items, "item_id", "text")
-    leaks = written(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    own = simhash.row_key(F.col("doc_id"), F.col("text"))
+    found = decontaminate.contained_items(docs.select(own.alias("own"), "text"), "own", "text", items, "item_id", "text")
+    leaks = written(found.select(F.col("own").alias("_leak")).distinct(), "leaks")
+    return docs.join(leaks, own == F.col("_leak"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
