@@ -28,12 +28,19 @@ def _chosen(files: DataFrame, pattern: str) -> DataFrame:
     return walked if pattern == "*" else walked.where(_name_fits(pattern))
 
 
+def _files(entries: DataFrame) -> DataFrame:
+    """The files of a walk; all rows of a table of files alone."""
+    return entries.where("kind = 'file'") if "kind" in entries.columns else entries
+
+
 def _name_fits(pattern: str) -> Column:
     return F.rlike(base_name(F.col("path")), F.lit(name_glob(pattern)))
 
 
 def list_folders(files: DataFrame) -> DataFrame:
-    """Every folder that holds a file, at any depth; empty folders are not seen."""
+    """Every folder: those of a walk, empty ones too; of a table of files, those that hold one, at any depth."""
+    if "kind" in files.columns:
+        return files.where("kind = 'folder'").select("path")
     names = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/"))
     return (
@@ -48,19 +55,19 @@ def list_folders(files: DataFrame) -> DataFrame:
 def list_files(files: DataFrame, recursive: bool = False, pattern: str = "*") -> DataFrame:
     """Entries of a listing: path, kind, length and a line to show.
 
-    Recursive: all files whose name fits, but not below folders that the policy
+    ``files`` is a table of files, or what a walk found, see ``sources.walk``. Recursive: all files whose name fits, but not below folders that the policy
     forbids. Else files and folders directly inside whose name fits.
     """
     if recursive:
-        return _file_entries(_chosen(files, pattern))
+        return _file_entries(_chosen(_files(files), pattern))
     direct = ~F.contains("path", F.lit("/")) & _name_fits(pattern)
-    return _file_entries(files.where(direct)).unionByName(_folder_entries(list_folders(files).where(direct)))
+    return _file_entries(_files(files).where(direct)).unionByName(_folder_entries(list_folders(files).where(direct)))
 
 
 def search_files(files: DataFrame, pattern: str) -> DataFrame:
     """Files and folders whose relative path fits a glob; ``**`` spans folders."""
     fits = F.rlike("path", F.lit(path_glob(pattern)))
-    return _file_entries(files.where(fits)).unionByName(_folder_entries(list_folders(files).where(fits)))
+    return _file_entries(_files(files).where(fits)).unionByName(_folder_entries(list_folders(files).where(fits)))
 
 
 def _file_entries(files: DataFrame) -> DataFrame:
@@ -123,11 +130,14 @@ def grep(
     """All lines of all files that hold a regex: path, line number from 1, and the line.
 
     A line is cut to ``line_chars`` characters, 150 as in a report; None keeps it whole.
+    Texts may be pieces of files with ``lines_before`` them, see ``sources.corpus.text_parts``.
     """
     regex = java_regex(files, pattern, case_sensitive)
     chosen = searched_files(files, include)
-    lines = chosen.select("path", F.split(one_line_break(F.col("text")), "\n").alias("lines"))
-    lines = lines.select("path", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line"))
+    pieces = "lines_before" in files.columns
+    before = [F.col("lines_before")] if pieces else []
+    lines = chosen.select("path", *before, F.split(one_line_break(F.col("text")), "\n").alias("lines"))
+    lines = lines.select("path", *before, F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line"))
     ended = F.col("at") < F.col("n") - 1
     searched = F.when(ended, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
     shown = F.rtrim(F.col("line"), F.lit(PYTHON_SPACE))
@@ -135,7 +145,7 @@ def grep(
         shown = F.substring(shown, 1, line_chars)
     # What follows the last line break is a line only if it is not empty.
     return lines.where((ended | (F.col("line") != "")) & F.rlike(searched, F.lit(regex))).select(
-        "path", (F.col("at") + 1).alias("line_num"), shown.alias("line")
+        "path", (sum(before, F.col("at")) + 1).alias("line_num"), shown.alias("line")
     )
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chatprep.operators.search import cap_found, cap_with_rest, grep, grep_report, list_files, search_files
-from chatprep.sources.corpus import corpus_files, valid_text
+from chatprep.sources.corpus import RANGE_BYTES, text_parts
+from chatprep.sources.walk import walk
 
 
 def search_folder(
@@ -16,32 +16,31 @@ def search_folder(
     case_sensitive: bool = False,
     include: str = "*",
     report: bool = False,
+    line_chars: int | None = None,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
-    """Lines of the files below a folder that hold a regex; all, or those a report shows.
+    """Lines of the files below a folder that hold a regex: path, line number, and the line.
 
-    Files of any size are searched. Bytes that are not UTF-8 are left out. Files that
-    Spark does not read for their names have no lines, see ``unread_files``.
+    All files are searched, of any name and any size: large ones by ranges of
+    ``range_bytes`` bytes, each with the lines that begin in it. Lines are whole unless
+    ``line_chars`` cuts them. A report has the first 50, cut as reports cut them, and how
+    many more there are. Bytes that are not UTF-8 are left out.
     """
-    files = corpus_files(spark, path).select("path", valid_text(F.col("content"), ignore=True).alias("text"))
-    search = grep_report if report else grep
-    return search(files, pattern, case_sensitive, include)
-
-
-def unread_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files whose names are listed but that no search can open: path, length, reason."""
-    files = corpus_files(spark, path)
-    return files.where(F.col("content").isNull()).select("path", "length", F.lit("hidden name").alias("reason"))
+    files = text_parts(spark, path, range_bytes)
+    if report:
+        return grep_report(files, pattern, case_sensitive, include)
+    return grep(files, pattern, case_sensitive, include, line_chars)
 
 
 def listing(
     spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*", report: bool = False
 ) -> DataFrame:
     """A folder's entries; a report has the first 100 and how many more."""
-    entries = list_files(corpus_files(spark, path).drop("content"), recursive, pattern)
+    entries = list_files(walk(spark, path), recursive, pattern)
     return cap_with_rest(entries, ["path"]) if report else entries
 
 
 def found(spark: SparkSession, path: str, pattern: str, report: bool = False) -> DataFrame:
     """Files and folders that fit a glob; a report has the first 50 and how many more."""
-    entries = search_files(corpus_files(spark, path).drop("content"), pattern)
+    entries = search_files(walk(spark, path), pattern)
     return cap_found(entries) if report else entries

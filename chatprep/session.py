@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,6 +38,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: made once, and there if an executor is lost."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_work(spark: SparkSession) -> None:
     """Delete the intermediate tables that this process has written, once no result needs them."""
     while _made:

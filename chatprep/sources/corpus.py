@@ -2,65 +2,146 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.functions.text import one_line_break
+from chatprep.operators.running import running_totals
 from chatprep.rules import TRUNCATED
-
-
-def corpus_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a folder, or one file: path relative to it, length, content.
-
-    Content is read only where a query selects it. Spark's file listing passes over
-    files of zero bytes, names that start with a dot or an underscore, and all that
-    lies below folders of such names. A listing of names and lengths finds those, as
-    Spark's own does for the others. Files below hidden folders are then read by name;
-    files with hidden names Spark does not read at all, and their content is null.
+from chatprep.sources.store import Store, located, open_store
+from chatprep.sources.walk import spark_files, walk
+
+#: Largest file that is one row: its text may be three times as long where its bytes are no UTF-8.
+ROW_BYTES = 1 << 29
+#: Bytes of a file that are one task's piece of it, and bytes that a task is dealt in all.
+RANGE_BYTES = 1 << 26
+TASK_BYTES = 1 << 27
+#: Bytes that leave a reader at once.
+FLUSH_BYTES = 1 << 22
+TOO_LARGE_FOR_A_ROW = "too large for one row"
+
+
+def _ranges(entries: DataFrame, size: int | None) -> DataFrame:
+    """One row for each range of ``size`` bytes of each file, or for each whole file, dealt out evenly."""
+    files = entries.where("kind = 'file'").select("path", "length")
+    if size is None:
+        rows = files.select("*", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("n_parts"))
+    else:
+        n = F.greatest(F.ceil(F.col("length") / size).cast("long"), F.lit(1).cast("long"))
+        rows = files.withColumn("n_parts", n)
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"))
+    held = files.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    tasks = max(entries.sparkSession.sparkContext.defaultParallelism, -(-held // TASK_BYTES))
+    # A file's ranges are spread, and those of one task are read file by file.
+    run = F.floor(F.col("part") * (size or 1) / TASK_BYTES)
+    return rows.repartition(tasks, "path", run).sortWithinPartitions("path", "part")
+
+
+def _read(ranges: DataFrame, store: Store, size: int | None) -> DataFrame:
+    """``path, length, part, n_parts, content, reason``: whole lines of each range, or whole files."""
+    columns = ["path", "length", "part", "n_parts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def out() -> pa.RecordBatch:
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            cells = zip(*rows, strict=True) if rows else [[]] * len(types)
+            arrays = [pa.array(cell, kind) for cell, kind in zip(cells, types, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, [*columns, "content", "reason"])
+
+        with open_store(store) as opener:
+            for batch in batches:
+                for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    path, length, part, _ = row
+                    content, reason = None, None
+                    try:
+                        if size is None:
+                            content = opener.whole(path, length)
+                        else:
+                            content = opener.lines(path, part * size, min((part + 1) * size, length), length)
+                    except OSError as error:
+                        reason = str(error)[:200]
+                    rows.append((*row, content, reason))
+                    held += 100 + len(content or b"")
+                    if held >= FLUSH_BYTES:
+                        yield out()
+                        rows, held = [], 0
+        yield out()
+
+    schema = "path string, length long, part long, n_parts long, content binary, reason string"
+    return ranges.select(*columns).mapInArrow(run, schema)
+
+
+def corpus_files(spark: SparkSession, path: str, max_bytes: int = ROW_BYTES) -> DataFrame:
+    """All files below a folder, or one file: ``path`` relative to it, ``length``, ``content``, ``reason``.
+
+    Names don't matter: tasks list and open the files, see ``walk``. Files above
+    ``max_bytes`` have no content here, with the reason; ``text_parts`` has them in
+    pieces. Neither have files that can't be opened. In a store that only Spark opens
+    (one that PyArrow does not know) the files are those that Spark's reader sees.
     """
-    given = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = given.getFileSystem(spark._jsc.hadoopConfiguration())
-    root = store.makeQualified(given).toString().rstrip("/") + "/"
-    below, unread, seen = _passed_over(store, given, root)
-    columns = ["path", "length", "content"]
-    parts = []
-    if seen:
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        parts.append(reader.load(path).select(*columns))
-    if below:
-        parts.append(spark.read.format("binaryFile").load(below).select(*columns))
-    if unread:
-        names = spark.createDataFrame(unread, "path string, length long")
-        parts.append(names.withColumn("content", F.when(F.col("length") == 0, F.lit(b""))))
-    files = parts[0] if parts else spark.createDataFrame([], "path string, length long, content binary")
-    for part in parts[1:]:
-        files = files.unionByName(part)
-    relative = F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1)))
-    return files.select(
-        F.coalesce(relative, F.substring_index("path", "/", -1)).alias("path"), "length", "content"
-    )
-
-
-def _passed_over(store, given, root: str) -> tuple[list[str], list[tuple[str, int]], bool]:
-    """What Spark's listing passes over: files below hidden folders, and names with
-    lengths of empty and hidden files; and whether it sees any file."""
-    below, unread, seen = [], [], False
-    listed = store.listFiles(given, True)
-    while listed.hasNext():
-        status = listed.next()
-        name, length = status.getPath().toString(), status.getLen()
-        *folders, last = name.removeprefix(root).split("/")
-        if length == 0 or _hidden(last):
-            unread.append((name, length))
-        elif any(map(_hidden, folders)):
-            below.append(name)
-        else:
-            seen = True
-    return below, unread, seen
-
-
-def _hidden(name: str) -> bool:
-    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+    store = located(spark, path)
+    if store is None:
+        return spark_files(spark, path).withColumn("reason", F.lit(None).cast("string"))
+    entries = walk(spark, path)
+    small = entries.where(F.col("length") <= max_bytes)
+    read = _read(_ranges(small, None), store, None).select("path", "length", "content", "reason")
+    none = F.lit(None).cast("binary").alias("content")
+    large = entries.where(F.col("length") > max_bytes).select("path", "length", none, F.lit(TOO_LARGE_FOR_A_ROW).alias("reason"))
+    unread = entries.where("kind = 'unread'").select("path", "length", none, "reason")
+    return read.unionByName(large).unionByName(unread)
+
+
+def unread_files(spark: SparkSession, path: str) -> DataFrame:
+    """What below a folder can't be listed or opened: ``path, length, reason``. Each file is opened, none is read."""
+    store = located(spark, path)
+    entries = walk(spark, path)
+    unread = entries.where("kind = 'unread'").select("path", "length", "reason")
+    if store is None:
+        return unread
+    tried = entries.withColumns({"_length": F.col("length"), "length": F.lit(0).cast("long")})
+    tried = _read(_ranges(tried, None), store, None).where("reason IS NOT NULL").select("path", "reason")
+    files = entries.where("kind = 'file'").select("path", "length")
+    return unread.unionByName(files.join(tried, "path"))
+
+
+def text_parts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Files of any size as pieces of whole lines: ``path, length, part, text, lines_before``.
+
+    A file is cut into ranges of bytes, and a range has the lines that begin in it, so a
+    piece may be empty, and is as long as its longest line asks for. ``lines_before``
+    counts the file's lines before the piece, by a running sum of the ranges' line counts;
+    only files of more than one range are read a second time for it. Bytes that are not
+    UTF-8 are left out. Files that can't be opened have a null text.
+    """
+    store = located(spark, path)
+    if store is None:
+        whole = spark_files(spark, path)
+        text = valid_text(F.col("content"), ignore=True).alias("text")
+        zero = F.lit(0).cast("long")
+        return whole.select("path", "length", zero.alias("part"), text, zero.alias("lines_before"))
+    ranges = _ranges(walk(spark, path), range_bytes)
+    text = valid_text(F.col("content"), ignore=True).alias("text")
+    pieces = _read(ranges, store, range_bytes).select("path", "length", "part", text)
+    counted = _read(ranges.where("n_parts > 1"), store, range_bytes).select("path", "part", text)
+    counted = counted.select("path", "part", F.coalesce(line_count(F.col("text")), F.lit(0)).alias("_lines"))
+    before = running_totals(
+        counted, ["path"], ["part"], F.floor(F.col("part") / 1000), {"_upto": F.col("_lines")}
+    ).select("path", "part", (F.col("_upto") - F.col("_lines")).alias("_before"))
+    pieces = pieces.join(before, ["path", "part"], "left")
+    return pieces.select("path", "length", "part", "text", F.coalesce("_before", F.lit(0)).cast("long").alias("lines_before"))
+
+
+def line_count(text: Column) -> Column:
+    """Lines of a text; what follows the last line break is one if it is not empty."""
+    text = one_line_break(text)
+    breaks = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+    open_line = (text != "") & ~F.endswith(text, F.lit("\n"))
+    return (breaks + open_line.cast("int")).cast("long")
 
 
 def valid_text(content: Column, ignore: bool = False) -> Column:
@@ -87,9 +168,10 @@ def limit_texts(
 ) -> tuple[DataFrame, DataFrame]:
     """Texts, whole unless ``max_lines`` cuts them, and the files without a text or too large.
 
-    ``files`` holds ``path, length, text``. ``n_lines`` counts lines of text, without
-    the mark of a cut. Nothing is cut or refused unless asked for; a report cuts after
-    ``rules.MAX_LINES`` lines and refuses above ``rules.MAX_FILE_BYTES``.
+    ``files`` holds ``path, length, text``, and ``reason`` if it is known why a text is not
+    there. ``n_lines`` counts lines of text, without the mark of a cut. Nothing is cut or
+    refused unless asked for; a report cuts after ``rules.MAX_LINES`` lines and refuses
+    above ``rules.MAX_FILE_BYTES``.
     """
     if max_lines is None:
         text, cut = one_line_break(F.col("text")), F.lit(False)
@@ -97,16 +179,14 @@ def limit_texts(
         text, cut = head_lines(F.col("text"), max_lines)
     there = F.col("text").isNotNull()
     small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
-    shown = F.col("shown")
-    breaks = F.char_length(shown) - F.char_length(F.replace(shown, F.lit("\n"), F.lit("")))
-    open_line = (shown != "") & ~F.endswith(shown, F.lit("\n"))
-    n_lines = F.when(F.col("truncated"), F.lit(max_lines)).otherwise(breaks + open_line.cast("int"))
+    n_lines = F.when(F.col("truncated"), F.lit(max_lines)).otherwise(line_count(F.col("shown")))
     texts = (
         files.where(there & small)
         .select("path", "length", text.alias("shown"), cut.alias("truncated"))
-        .select("path", "length", shown.alias("text"), "truncated", n_lines.cast("int").alias("n_lines"))
+        .select("path", "length", F.col("shown").alias("text"), "truncated", n_lines.cast("int").alias("n_lines"))
     )
-    reason = F.when(there, "too large").otherwise("hidden name")
+    known = F.col("reason") if "reason" in files.columns else F.lit(None).cast("string")
+    reason = F.when(there, "too large").otherwise(F.coalesce(known, F.lit("no text")))
     refused = files.where(~(there & small)).select("path", "length", reason.alias("reason"))
     return texts, refused
 
@@ -114,6 +194,6 @@ def limit_texts(
 def read_corpus(
     spark: SparkSession, path: str, max_bytes: int | None = None, max_lines: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Text files of a folder, and those refused for size; see ``limit_texts``."""
+    """Text files of a folder, and those refused for size or not read; see ``limit_texts`` and ``corpus_files``."""
     files = corpus_files(spark, path)
     return limit_texts(files.withColumn("text", valid_text(F.col("content"))).drop("content"), max_bytes, max_lines)

@@ -51,7 +51,8 @@ def _plain(df: pd.DataFrame) -> list[tuple]:
 def difference(name: str, spark: SparkSession, connection, sf: str) -> str | None:
     """What differs between the two results, or None."""
     result = QUERIES[name](spark, sf)
-    ours = result.toPandas()
+    # As objects: pandas would turn whole numbers with a null among them to floats.
+    ours = pd.DataFrame([tuple(row) for row in result.collect()], columns=result.columns, dtype=object)
     if name not in ORACLE:
         return None if len(ours) else "no rows"
     relation = connection.sql(ORACLE[name])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatprep.operators.running import running_totals
 from chatprep.session import apply_settings
+from chatprep.sources.store import SCHEMES
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -60,6 +64,39 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: File names of documents by their number.
+FILE_NAMES = ["part.txt", "__init__.py", ".env", "_x/y.py", ".git/config"]
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Texts as files below ``path``, in folders of their number (columns doc and text), by names that Spark can't write."""
+    spark = rows.sparkSession
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toUri()
+    scheme, root = where.getScheme(), (where.getAuthority() or "") + where.getPath()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store = fs.LocalFileSystem() if scheme == "file" else fs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{root}")[0]
+
+        def put(name: str, content: bytes) -> None:
+            store.create_dir(name.rpartition("/")[0])
+            with store.open_output_stream(name) as out:
+                out.write(content)
+
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder = f"{root}/doc={doc}"
+                put(f"{folder}/{FILE_NAMES[int(doc) % 5]}", text.encode())
+                if int(doc) % 10 == 0:
+                    put(f"{folder}/.keep", b"")
+                    store.create_dir(f"{folder}/empty")
+            yield batch.slice(0, 0)
+
+    rows.select("doc", "text").repartition("doc").mapInArrow(run, "doc string, text string").count()
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("long")
 
@@ -127,6 +164,39 @@ def unnumbered_calls(events: DataFrame) -> DataFrame:
     )
 
 
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links among the files that the calls name: chains, ways out of the root, circles, and linked folders."""
+    k = F.col("k")
+    own = table(spark, sf, "events").select(_k().alias("k")).distinct().where(k % 6 == 0)
+
+    def named(form: str) -> Column:
+        return F.format_string(form, k)
+
+    def pairs(*names: tuple[str, str]) -> Column:
+        return F.array(*[F.struct(named(a).alias("path"), named(b).alias("target")) for a, b in names])
+
+    made = (
+        F.when(k % 12 == 0, pairs(("/w/data/f%d.txt", "g%d.txt"), ("/w/data/g%d.txt", "../store/./h%d.txt")))
+        .when(k % 24 == 6, pairs(("/w/data/f%d.txt", "/opt/out%d.txt")))
+        .otherwise(pairs(("/w/data/f%d.txt", "c%d.txt"), ("/w/data/c%d.txt", "./f%d.txt")))
+    )
+    folders = [("/w/src/a", "../lib"), ("/w/lib", "/srv/lib")]
+    return own.select(F.inline(made)).unionByName(spark.createDataFrame(folders, "path string, target string"))
+
+
+def python_arguments(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as arguments that are nested, unordered and spaced in several ways."""
+    k = F.col("k").cast("string")
+    forms = [
+        F.concat(F.lit('{"b":'), k, F.lit(',"a":["x",'), k, F.lit('.50,{"z":null,"y":true}]}')),
+        F.concat(F.lit(' { "\u00fc" : "'), k, F.lit('é\\/\\n" ,\n"a" : { } }')),
+        F.concat(F.lit('{"k":1,"k":'), k, F.lit(',"A":[],"e":1e5}')),
+        F.concat(F.lit('{"k":'), k, F.lit(",}")),
+    ]
+    rows = table(spark, sf, "events").select("event_id", _k().alias("k"))
+    return rows.select("event_id", _choose(F.col("k") % 4, forms).alias("arguments"))
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """Events as tool calls, numbered within their session."""
     return running_totals(

@@ -73,6 +73,15 @@ lines AS (
 DOC = "CAST(regexp_extract(path, '([0-9]+)[.][a-z]+$', 1) AS BIGINT)"
 SHOWN = f"left(rtrim(line, {SPACE}), 150)"
 
+# Documents as files of five names, with a line break at their end; every tenth has an empty file and folder.
+NAMED = f"""{LINES},
+named AS (
+  SELECT path, length + 1 AS length, text, 'doc=' || {DOC} || CASE {DOC} % 5 WHEN 0 THEN '/part.txt'
+    WHEN 1 THEN '/__init__.py' WHEN 2 THEN '/.env' WHEN 3 THEN '/_x/y.py' ELSE '/.git/config' END AS name
+  FROM corpus
+  UNION ALL SELECT '', 0, '', 'doc=' || doc_id || '/.keep' FROM documents WHERE doc_id % 10 = 0
+)"""
+
 CALLS = r"""
 keyed AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
@@ -238,6 +247,39 @@ verdicts AS (
   ) v ON v.event_id = c.event_id
 )"""
 
+# The derived links, followed one by one over whole paths.
+FOLLOWED = """
+links AS (
+  SELECT DISTINCT '/w/data/f' || k || '.txt' AS link, CASE WHEN k % 12 = 0 THEN '/w/data/g' || k || '.txt'
+      WHEN k % 24 = 6 THEN '/opt/out' || k || '.txt' ELSE '/w/data/c' || k || '.txt' END AS target
+  FROM keyed WHERE k % 6 = 0
+  UNION ALL SELECT DISTINCT '/w/data/g' || k || '.txt', '/w/store/h' || k || '.txt' FROM keyed WHERE k % 12 = 0
+  UNION ALL SELECT DISTINCT '/w/data/c' || k || '.txt', '/w/data/f' || k || '.txt' FROM keyed WHERE k % 24 = 18
+  UNION ALL SELECT '/w/src/a', '/w/lib' UNION ALL SELECT '/w/lib', '/srv/lib'
+),
+follow AS (
+  SELECT path, full_path AS here, [full_path] AS seen, 0 AS n FROM (SELECT DISTINCT path, full_path FROM path_hits)
+  UNION ALL
+  SELECT path, target || substr(here, length(link) + 1), list_append(seen, target || substr(here, length(link) + 1)), n + 1
+  FROM follow JOIN links ON here = link OR starts_with(here, link || '/')
+  WHERE len(seen) = len(list_distinct(seen))
+),
+followed AS (
+  SELECT path, arg_max(here, n) AS here, arg_max(len(seen) > len(list_distinct(seen)), n) AS looped FROM follow GROUP BY path
+),
+judged AS (
+  SELECT v.event_id, v.path, v.matched, r.here, v.reason AS told,
+    CASE WHEN v.rule IN ('empty', 'fragment') THEN v.rule WHEN looped THEN 'link_loop'
+      WHEN NOT (r.here = '/w' OR r.here LIKE '/w/%') THEN 'outside_roots' END AS rule
+  FROM path_verdicts v JOIN followed r USING (path)
+)
+SELECT event_id, path, rule IS NULL AS allowed, rule,
+  CASE WHEN rule IN ('empty', 'fragment') THEN told
+    WHEN rule = 'link_loop' THEN 'Path validation error: Symlink loop from ' || chr(39) || here || chr(39)
+    WHEN rule = 'outside_roots' THEN 'Path must be within allowed directories: [' || chr(39) || '/w' || chr(39) || ']' END AS reason,
+  matched, CASE WHEN rule IS NULL THEN here END AS resolved
+FROM judged"""
+
 RESPONSES = r"""
 shaped AS (
   SELECT user_id AS conv_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn,
@@ -370,6 +412,29 @@ pieces AS (
 )"""
 
 
+# Best fit, the longest first, one sample at a time.
+WHOLE = """
+sized AS (
+  SELECT doc_id, text, n, n BETWEEN 1 AND 512 AS fits,
+    row_number() OVER (PARTITION BY n BETWEEN 1 AND 512 ORDER BY n DESC, md5('42:' || doc_id), doc_id) AS k
+  FROM (SELECT doc_id, text, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)
+),
+fit AS (
+  SELECT 0::BIGINT AS k, []::BIGINT[] AS room, 0::BIGINT AS block, 0::BIGINT AS block_from
+  UNION ALL
+  SELECT k, CASE WHEN spot > len(room) THEN list_append(room, 512 - n)
+      ELSE list_concat(list_append(room[1:spot - 1], room[spot] - n), room[spot + 1:]) END,
+    spot - 1, CASE WHEN spot > len(room) THEN 0 ELSE 512 - room[spot] END
+  FROM (
+    SELECT k, room, n, CASE WHEN len(enough) = 0 THEN len(room) + 1 ELSE list_position(room, list_min(enough)) END AS spot
+    FROM (SELECT s.k, s.n, room, list_filter(room, lambda r: r >= s.n) AS enough FROM fit f JOIN sized s ON s.fits AND s.k = f.k + 1)
+  )
+),
+whole AS (
+  SELECT doc_id, text, n AS n_tokens, coalesce(block, -1) AS block, coalesce(block_from, -1) AS block_from
+  FROM sized s LEFT JOIN fit ON s.fits AND fit.k = s.k
+)"""
+
 EXACT = """
 ranked AS (
   SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS number, count(*) OVER () AS total FROM documents
@@ -397,6 +462,10 @@ ENTRY = "path || ' (' || format('{:,}', length) || ' bytes)'"
 MATCHES = r"regexp_matches(line, '(?i)\bthe\b')"
 
 
+RANGED = f"""WITH {NAMED} SELECT name AS path, line_num::BIGINT AS line_num, rtrim(line, {SPACE}) AS line
+  FROM lines JOIN named USING (path) WHERE {MATCHES}"""
+
+
 def _present(column: str) -> str:
     return f"CASE WHEN {column} NOT IN {NA} THEN {column} END AS {column}"
 
@@ -445,6 +514,14 @@ ORACLE = {
     "text || chr(10) AS text, false AS truncated FROM corpus",
     "list_corpus_files": f"WITH {CORPUS} SELECT {DOC} AS doc_id, 'file' AS kind, length + 1 AS length FROM corpus",
     "grep_corpus_files": f"WITH {LINES} SELECT {DOC} AS doc_id, line_num, {SHOWN} AS line FROM lines WHERE {MATCHES}",
+    "read_corpus_names": f"WITH {NAMED} SELECT name AS path, length, CAST(CASE WHEN length = 0 THEN 0 "
+    "ELSE len(string_split(text, chr(10))) END AS INTEGER) AS n_lines FROM named",
+    "list_corpus_names": f"WITH {NAMED} SELECT path, length, {ENTRY} AS entry FROM (SELECT name AS path, length FROM named)",
+    "found_corpus_folders": "SELECT path, path || '/' AS entry FROM (SELECT 'doc=' || doc_id || unnest(CASE "
+    "WHEN doc_id % 10 = 0 THEN ['', '/empty'] WHEN doc_id % 5 = 3 THEN ['', '/_x'] WHEN doc_id % 5 = 4 THEN ['', '/.git'] "
+    "ELSE [''] END) AS path FROM documents)",
+    "grep_corpus_ranges": RANGED,
+    "grep_corpus_tiny_ranges": RANGED,
     "list_files": f"WITH {CORPUS} SELECT path, 'file' AS kind, length, {ENTRY} AS entry FROM corpus "
     "WHERE path LIKE '%.py'",
     "list_dirs": f"WITH {CORPUS} SELECT path, 'folder' AS kind, path || '/' AS entry "
@@ -484,6 +561,11 @@ ORACLE = {
     )
     + ", left(text, 200) AS audit, left(text, 150) AS line FROM documents",
     "args_hash": "SELECT event_id, left(sha256(replace(props, ' ', '')), 16) AS args_hash FROM events",
+    "args_hash_compat": r"""SELECT event_id, written, left(sha256(written), 16) AS args_hash FROM (
+      SELECT event_id, CASE k % 4 WHEN 0 THEN '{"a": ["x", ' || k || '.5, {"y": true, "z": null}], "b": ' || k || '}'
+        WHEN 1 THEN '{"a": {}, "\u00fc": "' || k || '\u00e9/\n"}'
+        WHEN 2 THEN '{"A": [], "e": 100000.0, "k": ' || k || '}' END AS written
+      FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))""",
     "tool_messages": f"WITH {CALLS} SELECT event_id, 'Tool ''' || tool || E'\\' output:\\n' || result AS content "
     "FROM calls",
     "grep_docs": f"WITH {LINES} SELECT path, line_num, {SHOWN} AS line FROM lines WHERE {MATCHES}",
@@ -516,6 +598,7 @@ ORACLE = {
     "FROM bounded WHERE argument = 'timeout'",
     "screen_paths": f"WITH {SCREENED} SELECT event_id, path, allowed, rule, reason, matched, resolved "
     "FROM path_verdicts",
+    "screen_paths_links": f"WITH RECURSIVE {SCREENED}, {FOLLOWED}",
     "screen_commands": f"WITH {SCREENED} SELECT event_id, command, allowed, rule, reason, matched FROM command_verdicts",
     "screen_code": f"WITH {SCREENED} SELECT event_id, code, allowed, rule, reason, matched FROM code_verdicts",
     "screen_calls": f"WITH {SCREENED} SELECT event_id, tool, verdict, rule, reason, CASE WHEN rule IS NOT NULL THEN "
@@ -571,6 +654,13 @@ ORACLE = {
     "pack_fill": f"""WITH {pieces(16)}, blocks AS (
       SELECT shard, block, count(*) AS n_samples, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM pieces GROUP BY ALL)
       SELECT *, CAST(n_tokens AS DOUBLE) / 512 AS fill FROM blocks""",
+    "pack_whole": f"WITH RECURSIVE {WHOLE} SELECT doc_id, n_tokens, block, block_from FROM whole",
+    "pack_whole_fill": f"""WITH RECURSIVE {WHOLE}, blocks AS (
+      SELECT block, count(*) AS n_samples, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM whole WHERE block >= 0 GROUP BY block)
+      SELECT *, CAST(n_tokens AS DOUBLE) / 512 AS fill FROM blocks""",
+    "whole_tokens": f"""WITH RECURSIVE {WHOLE} SELECT block,
+      string_agg(array_to_string(regexp_extract_all(text, '\\S+'), ' '), ' ' ORDER BY block_from) AS text,
+      string_agg((block_from + n_tokens)::VARCHAR, ' ' ORDER BY block_from) AS ends FROM whole WHERE block >= 0 GROUP BY block""",
     "fill_blocks": f"""WITH {pieces(16)} SELECT shard, block, string_agg(array_to_string(list_slice(
       regexp_extract_all(text, '\\S+'), sample_from + 1, sample_from + n_tokens), ' '), ' ' ORDER BY block_from) AS text
       FROM pieces JOIN documents USING (doc_id) GROUP BY shard, block""",

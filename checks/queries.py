@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatprep import rules
+from chatprep.functions.python_json import python_args_hash, python_json
 from chatprep.functions.text import clean_text, preview, strip_reasoning, tokens_of
 from chatprep.functions.tool_json import args_hash
 from chatprep.operators import audit, calls, chat, pack, policy, search, split, usage
@@ -148,10 +149,14 @@ def corpus_refused(spark, sf):
 
 
 def _corpus_folder(spark, sf):
-    """All documents as files of their own, below folders that have their number, each with a line break at its end."""
+    """All documents as files of their own, below folders that have their number, each with a line break at its end.
+
+    Every file has one of five names, hidden ones among them; every tenth document has an
+    empty file and an empty folder beside it.
+    """
     path = new_path(spark, "files")
-    rows = derived.corpus(spark, sf).select("text", F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).alias("doc"))
-    rows.repartition("doc").write.partitionBy("doc").text(path)
+    rows = derived.corpus(spark, sf).select(F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).alias("doc"), "text")
+    derived.write_files(rows.withColumn("text", F.concat("text", F.lit("\n"))), path)
     return path
 
 
@@ -161,17 +166,47 @@ def _doc(df):
 
 def read_corpus_files(spark, sf):
     texts, _ = files.read_corpus(spark, _corpus_folder(spark, sf))
-    return _doc(texts.where("path like 'doc=%'")).select("doc_id", "length", "text", "truncated")
+    return _doc(texts.where("length > 0")).select("doc_id", "length", "text", "truncated")
+
+
+def read_corpus_names(spark, sf):
+    """As they are read: paths, sizes and line counts, empty files among them."""
+    texts, _ = files.read_corpus(spark, _corpus_folder(spark, sf))
+    return texts.select("path", "length", "n_lines")
 
 
 def list_corpus_files(spark, sf):
     listed = corpus_search.listing(spark, _corpus_folder(spark, sf), recursive=True)
-    return _doc(listed.where("path like 'doc=%'")).select("doc_id", "kind", "length")
+    return _doc(listed.where("length > 0")).select("doc_id", "kind", "length")
+
+
+def list_corpus_names(spark, sf):
+    listed = corpus_search.listing(spark, _corpus_folder(spark, sf), recursive=True)
+    return listed.select("path", "length", "entry")
+
+
+def found_corpus_folders(spark, sf):
+    """All folders, empty ones among them."""
+    return corpus_search.found(spark, _corpus_folder(spark, sf), "**").where("kind = 'folder'").select("path", "entry")
 
 
 def grep_corpus_files(spark, sf):
-    found = corpus_search.search_folder(spark, _corpus_folder(spark, sf), r"\bthe\b")
-    return _doc(found).select("doc_id", "line_num", "line")
+    found = corpus_search.search_folder(spark, _corpus_folder(spark, sf), r"\bthe\b", line_chars=rules.GREP_LINE_CHARS)
+    return _doc(found).select("doc_id", F.col("line_num").cast("int").alias("line_num"), "line")
+
+
+def _grep_ranges(spark, sf, size):
+    """Whole lines with their numbers, of files that are cut into ranges of ``size`` bytes."""
+    found = corpus_search.search_folder(spark, _corpus_folder(spark, sf), r"\bthe\b", range_bytes=size)
+    return found.select("path", "line_num", "line")
+
+
+def grep_corpus_ranges(spark, sf):
+    return _grep_ranges(spark, sf, 1000)
+
+
+def grep_corpus_tiny_ranges(spark, sf):
+    return _grep_ranges(spark, sf, 7)
 
 
 def list_files(spark, sf):
@@ -288,6 +323,15 @@ def q_args_hash(spark, sf):
     return table(spark, sf, "events").select("event_id", args_hash(F.col("props")).alias("args_hash"))
 
 
+def args_hash_compat(spark, sf):
+    """The bytes that Python writes, and the hash over them."""
+    rows = derived.python_arguments(spark, sf)
+    arguments = F.col("arguments")
+    return rows.select(
+        "event_id", python_json(arguments).alias("written"), python_args_hash(arguments).alias("args_hash")
+    )
+
+
 def tool_messages(spark, sf):
     rows = derived.unnumbered_calls(table(spark, sf, "events"))
     return rows.select("event_id", chat.tool_message(F.col("tool"), F.col("result")).alias("content"))
@@ -374,6 +418,12 @@ def screen_paths(spark, sf):
     return policy.screen_paths(rows, ROOTS).withColumn("matched", _joined("matched"))
 
 
+def screen_paths_links(spark, sf):
+    rows = _calls(spark, sf).select("event_id", _argument("path")).where("path is not null")
+    found = policy.screen_paths(rows, ROOTS, links=derived.links(spark, sf))
+    return found.withColumn("matched", _joined("matched"))
+
+
 def screen_commands(spark, sf):
     rows = _calls(spark, sf).select("event_id", _argument("command")).where("command is not null")
     return policy.screen_commands(rows).withColumn("matched", _joined("matched"))
@@ -519,6 +569,26 @@ def fill_blocks(spark, sf):
     return blocks.select("shard", "block", F.array_join("tokens", " ").alias("text"))
 
 
+def _whole(spark, sf):
+    return pack.pack_whole(token_counts(spark, sf), "doc_id", max_len=512)
+
+
+def pack_whole(spark, sf):
+    """Where each document goes; those without a place have -1."""
+    none = F.lit(-1).cast("long")
+    return _whole(spark, sf).withColumns({name: F.coalesce(name, none) for name in ("block", "block_from")})
+
+
+def pack_whole_fill(spark, sf):
+    return pack.whole_fill(_whole(spark, sf), 512)
+
+
+def whole_tokens(spark, sf):
+    samples = table(spark, sf, "documents").select("doc_id", tokens_of(F.col("text")).alias("tokens"))
+    blocks = pack.whole_tokens(samples, "doc_id", 512)
+    return blocks.select("block", F.array_join("tokens", " ").alias("text"), F.array_join("ends", " ").alias("ends"))
+
+
 def length_report(spark, sf):
     return pack.length_report(token_counts(spark, sf), 512)
 
@@ -577,7 +647,12 @@ QUERIES = {
     "corpus_refused": corpus_refused,
     "read_corpus_files": read_corpus_files,
     "list_corpus_files": list_corpus_files,
+    "read_corpus_names": read_corpus_names,
+    "list_corpus_names": list_corpus_names,
+    "found_corpus_folders": found_corpus_folders,
     "grep_corpus_files": grep_corpus_files,
+    "grep_corpus_ranges": grep_corpus_ranges,
+    "grep_corpus_tiny_ranges": grep_corpus_tiny_ranges,
     "list_files": list_files,
     "list_dirs": list_dirs,
     "search_files": search_files,
@@ -598,6 +673,7 @@ QUERIES = {
     "call_fields": call_fields,
     "preview": q_preview,
     "args_hash": q_args_hash,
+    "args_hash_compat": args_hash_compat,
     "tool_messages": tool_messages,
     "grep_docs": grep_docs,
     "grep_docs_case": grep_docs_case,
@@ -613,6 +689,7 @@ QUERIES = {
     "effective_arguments": effective_arguments,
     "effective_timeout": effective_timeout,
     "screen_paths": screen_paths,
+    "screen_paths_links": screen_paths_links,
     "screen_commands": screen_commands,
     "screen_code": screen_code,
     "screen_calls": screen_calls,
@@ -639,6 +716,9 @@ QUERIES = {
     "pack_one_stream": pack_one_stream,
     "pack_fill": pack_fill,
     "fill_blocks": fill_blocks,
+    "pack_whole": pack_whole,
+    "pack_whole_fill": pack_whole_fill,
+    "whole_tokens": whole_tokens,
     "length_report": length_report,
     "audit_windows": audit_windows,
     "audit_stream": audit_stream,

@@ -1,5 +1,7 @@
 import json
+import os
 import re
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -9,6 +11,8 @@ from chatprep.operators import search
 from chatprep.plans import corpus_search
 from chatprep.session import new_path
 from chatprep.sources import corpus, pairs, tables
+from chatprep.sources.store import Entry, located, open_store
+from chatprep.sources.walk import walk
 from tests.helpers import plan, rows
 
 PAIR = ("instruction", "response", "input")
@@ -142,12 +146,93 @@ def test_all_files_are_listed(spark, tmp_path):
     files = corpus.corpus_files(spark, str(tmp_path))
     assert rows(files, "path") == sorted((name,) for name in names)
     got = {r.path for r in corpus_search.search_folder(spark, str(tmp_path), "the").collect()}
-    unread = {r.path for r in corpus_search.unread_files(spark, str(tmp_path)).collect()}
-    assert unread == {"__init__.py", ".env"} and got == {"a.py", "_priv/x.py", ".git/y", "d/z"}
+    assert got == set(names) - {"empty.py"}
     texts, refused = corpus.read_corpus(spark, str(tmp_path))
-    assert {r.path: r.text for r in texts.collect()}["empty.py"] == ""
-    assert {(r.path, r.reason) for r in refused.collect()} == {(name, "hidden name") for name in unread}
-    assert corpus.corpus_files(spark, str(tmp_path / "_priv")).count() == 1
+    assert {r.path: r.n_lines for r in texts.collect()} == {name: int(name != "empty.py") for name in names}
+    assert refused.isEmpty() and corpus.unread_files(spark, str(tmp_path)).isEmpty()
+    assert rows(corpus.corpus_files(spark, str(tmp_path / ".git")), "path") == [("y",)]
+    assert rows(corpus.corpus_files(spark, str(tmp_path / ".env")), "path", "length") == [(".env", 8)]
+    with pytest.raises(FileNotFoundError):
+        corpus.corpus_files(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 10_000])
+def test_walk_level_by_level(spark, tmp_path, at_once):
+    """Every name once, empty folders too, whatever a task lists at once; a circle of links ends."""
+    for folder in ("a/b/c/d", "a/empty", ".h/i", "wide"):
+        (tmp_path / folder).mkdir(parents=True)
+    for name in ("a/x", "a/b/c/d/y z", ".h/i/.j", *(f"wide/{k}" for k in range(30))):
+        (tmp_path / name).write_text("1")
+    (tmp_path / "a/b/back").symlink_to(tmp_path / "a")
+    (tmp_path / "a/to_file").symlink_to(tmp_path / "a/x")
+    (tmp_path / "a/broken").symlink_to("nowhere")
+    found = rows(walk(spark, str(tmp_path), at_once), "path", "kind", "length")
+    want = {("a/b/back", "folder", None)}
+    for folder, folders, files in os.walk(tmp_path):
+        for names, kind in ((folders, "folder"), (files, "file")):
+            for path in (Path(folder, name) for name in names):
+                if path.exists():
+                    want.add((str(path.relative_to(tmp_path)), kind, path.stat().st_size if kind == "file" else None))
+    assert found == sorted(want, key=repr)
+    folders = corpus_search.found(spark, str(tmp_path), "**").where("kind = 'folder'")
+    assert ("a/empty", "a/empty/") in rows(folders, "path", "entry")
+
+
+def test_unread_files_are_told(spark, tmp_path):
+    """What vanishes between listing and opening, as what may not be opened, has a reason and stops nothing."""
+    (tmp_path / "here").write_text("x")
+    entries = spark.createDataFrame([("here", "file", 1), ("gone", "file", 1)], "path string, kind string, length long")
+    store = located(spark, str(tmp_path))
+    read = corpus._read(corpus._ranges(entries, 5), store, 5).collect()
+    assert {r.path: (r.content, r.reason is None) for r in read} == {"here": (b"x", True), "gone": (None, False)}
+    assert list(store.entries("nowhere")) == [Entry("nowhere", "unread", reason="no such file or directory")]
+
+
+def _python_lines(path, pattern):
+    with open(path, encoding="utf-8", errors="ignore") as file:
+        return [(n, line.rstrip()) for n, line in enumerate(file, 1) if re.search(pattern, line, re.IGNORECASE)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000, 1 << 20])
+def test_ranges_of_bytes(spark, tmp_path, size):
+    """Lines and their numbers don't depend on where a file is cut."""
+    texts = {
+        "lines": "".join(f"line {k} the é\n" for k in range(200)),
+        "crlf": "the\r\nend\rthe\r\n" * 20,
+        "long": "the " * 500 + "\n" + "x" * 3000 + "the\nthe",
+        "open": "a\n\n\nthe",
+        "blank": "\n" * 50 + "the",
+        "empty": "",
+        "one": "the",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "bytes").write_bytes(b"the\xff\xfe\n\xc3the\n" * 9)
+    got = corpus_search.search_folder(spark, str(tmp_path), "the", range_bytes=size)
+    want = [(p.name, n, line) for p in tmp_path.iterdir() for n, line in _python_lines(p, "the")]
+    assert rows(got) == sorted(want, key=repr)
+    first = corpus_search.search_folder(spark, str(tmp_path), "the", range_bytes=size, line_chars=3).collect()
+    assert len(first) == len(want) and {len(r.line) for r in first} == {3}
+
+
+def test_a_range_is_read_by_itself(spark, tmp_path):
+    """No read is longer than its range, but for the end of its last line."""
+    (tmp_path / "f").write_bytes(b"x" * 100 + b"\n" + b"y" * 10 + b"\nz")
+    with open_store(located(spark, str(tmp_path))) as opener:
+        got = [opener.lines("f", k, min(k + 8, 113), 113) for k in range(0, 113, 8)]
+    assert [len(piece) for piece in got] == [101] + [0] * 11 + [11, 0, 1] and b"".join(got) == (tmp_path / "f").read_bytes()
+
+
+def test_files_too_large_for_a_row(spark, tmp_path):
+    (tmp_path / "big").write_text("the\n" * 100)
+    (tmp_path / "small").write_text("the\n")
+    files = corpus.corpus_files(spark, str(tmp_path), max_bytes=10)
+    assert {r.path: (r.content, r.reason) for r in files.collect()} == {
+        "big": (None, "too large for one row"), "small": (b"the\n", None)
+    }
+    _, refused = corpus.limit_texts(files.withColumn("text", F.col("content").cast("string")))
+    assert rows(refused) == [("big", 400, "too large for one row")]
+    assert corpus_search.search_folder(spark, str(tmp_path), "the").count() == 101
 
 
 def test_large_and_long_texts_are_read_whole(spark, tmp_path):
@@ -193,14 +278,14 @@ def test_grep(spark, folder):
         ("b.txt", 3, "the last"),
         ("bad.bin", 1, "ok  the"),
         ("sub/deep/e f.py", 1, "the"),
-        ("sub/deep/e f.py", 3, ("the " * 60)[:150]),
+        ("sub/deep/e f.py", 3, ("the " * 60).rstrip()),
     ]
     exact = corpus_search.search_folder(spark, str(folder), "The", case_sensitive=True)
     assert rows(exact, "path") == [("a.py",)]
     at_end = corpus_search.search_folder(spark, str(folder), r"end\n", include="*.py")
     assert rows(at_end, "path") == [("a.py",)]
     report = corpus_search.search_folder(spark, str(folder), "the", report=True)
-    assert report.count() == 6
+    assert report.count() == 6 and max(len(r.line) for r in report.collect()) == 150
     with pytest.raises(ValueError, match="Invalid regex pattern"):
         corpus_search.search_folder(spark, str(folder), "(open")
 
