@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatprep.rules import CALL_TEXT
+from chatprep.rules import CALL_TEXT, PYTHON_SPACE
 
 TRAILING_COMMA = r"(?U),\s*([}\]])"
 CALL_SCHEMA = "call STRUCT<name: STRING, arguments: STRING>, end STRING"
 END_MARK = "end of call"
+#: What a scan tells apart; all else passes in runs.
+BRACE_ATOM = r'[{}"\\\n]|[^{}"\\\n]+'
+QUOTE_ATOM = r'["\\\n]|[^"\\\n]+'
+_PAIRS = "array<struct<start:int,stop:int>>"
+SCAN = f"at int; mode int; opened array<int>; pairs {_PAIRS}; opened_before array<int>; pairs_before {_PAIRS}"
+#: Python's white space, as members of a class in a pattern.
+_SPACES = "".join(f"\\x{{{ord(c):x}}}" for c in PYTHON_SPACE)
 
 
 def candidates(text: Column) -> Column:
@@ -32,43 +35,101 @@ def candidates(text: Column) -> Column:
 def balanced_candidates(text: Column) -> Column:
     """Texts that may be calls: each outermost pair of braces.
 
-    Quoted strings are skipped inside braces, and trailing commas are removed
-    outside strings only. Braces that do not nest by a regular rule need a scan,
-    so this is Python in Arrow batches.
+    Quoted strings are skipped inside braces, and trailing commas are removed outside
+    strings only. One fold over the text's braces, quotes, backslashes and line ends
+    matches each brace with its partner. A string ends on its line: a quote without a
+    partner there opens none. So, from a quote on, braces count as if it opened none, and
+    at its partner the fold goes back to what was known at the quote.
     """
+    # Texts without a brace hold no call and are not read.
+    body = F.substr(text, F.instr(text, "{"))
+    pairs = F.aggregate(_atoms(body, BRACE_ATOM), _cast(SCAN), _matched, lambda state: state["pairs"])
+    found = F.transform(
+        pairs, lambda p: without_trailing_commas(F.substr(body, p["start"] + 1, p["stop"] - p["start"]))
+    )
+    return F.when(F.contains(text, F.lit("{")), found).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+def _atoms(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    @F.pandas_udf("array<string>")
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = re.compile(r'"(?:[^"\\\n]|\\.)*"|[{}]')
-        comma = re.compile(r'("(?:[^"\\\n]|\\.)*")|,\s*([}\]])')
-
-        def objects(value):
-            if value is None:
-                return None
-            opened, pairs = [], []
-            at = value.find("{")
-            while at >= 0:
-                found = token.search(value, at)
-                if found is None:
-                    break
-                at = found.end()
-                if found[0] == "{":
-                    opened.append(found.start())
-                elif found[0] == "}" and opened:
-                    start = opened.pop()
-                    while pairs and pairs[-1][0] > start:
-                        pairs.pop()
-                    pairs.append((start, at))
-                if not opened:
-                    at = value.find("{", at)
-            return [comma.sub(lambda m: m[1] or m[2], value[a:b]) for a, b in pairs]
-
-        for batch in batches:
-            yield batch.map(objects)
-
-    # Texts without a brace hold no call and stay out of Python.
-    some = F.contains(text, F.lit("{"))
-    return F.when(some, scan(F.when(some, text))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+def _cast(kind: str) -> Column:
+    """The empty state of a fold: zeros, empty texts and empty arrays."""
+    fields = [field.split(" ") for field in kind.split("; ")]
+    empty = {"int": F.lit(0), "string": F.lit("")}
+    return F.struct(*[empty.get(of, F.array()).cast(of).alias(name) for name, of in fields])
+
+
+def _string_mode(mode: Column, atom: Column, may_open: Column) -> Column:
+    """Whether the next character stands outside strings (0), in one (1), or after a backslash in one (2)."""
+    return (
+        F.when(mode == 0, F.when(may_open & (atom == '"'), 1).otherwise(0))
+        .when(atom == "\n", 0)
+        .when(mode == 2, 1)
+        .when(atom == '"', 0)
+        .when(atom == "\\", 2)
+        .otherwise(1)
+    )
+
+
+def _matched(state: Column, atom: Column) -> Column:
+    """One step of the fold: open braces and closed outermost pairs, and both as they were before a string."""
+    opened, pairs, at = state["opened"], state["pairs"], state["at"]
+    inside = F.size(opened) > 0
+    start = F.get(opened, F.size(opened) - 1)
+    end = at + F.length(atom)
+    closes = (atom == "}") & inside
+    pair = F.array(F.struct(start.alias("start"), end.alias("stop")))
+    next_opened = (
+        F.when(atom == "{", F.concat(opened, F.array(at)))
+        .when(closes, F.slice(opened, F.lit(1), F.size(opened) - 1))
+        .otherwise(opened)
+    )
+    next_pairs = F.when(closes, F.concat(F.filter(pairs, lambda p: p["start"] < start), pair)).otherwise(pairs)
+    begins = (state["mode"] == 0) & (atom == '"') & inside
+    ends = (state["mode"] == 1) & (atom == '"')
+    return F.struct(
+        end.alias("at"),
+        _string_mode(state["mode"], atom, inside).alias("mode"),
+        F.when(ends, state["opened_before"]).otherwise(next_opened).alias("opened"),
+        F.when(ends, state["pairs_before"]).otherwise(next_pairs).alias("pairs"),
+        F.when(begins, opened).otherwise(state["opened_before"]).alias("opened_before"),
+        F.when(begins, pairs).otherwise(state["pairs_before"]).alias("pairs_before"),
+    )
+
+
+def without_trailing_commas(value: Column) -> Column:
+    """JSON text without commas before a closing bracket, but for those in strings."""
+    comma = f",[{_SPACES}]*([}}\\]])"
+
+    def clean(plain: Column) -> Column:
+        return F.regexp_replace(plain, comma, "$1")
+
+    def step(state: Column, atom: Column) -> Column:
+        mode, plain, quoted = state["mode"], state["plain"], state["quoted"]
+        outside = (mode == 0) & (atom != '"')
+        failed = (mode > 0) & (atom == "\n")
+        ends = (mode == 1) & (atom == '"')
+        return F.struct(
+            _string_mode(mode, atom, F.lit(True)).alias("mode"),
+            F.when(ends, F.concat(state["done"], clean(plain), quoted, atom)).otherwise(state["done"]).alias("done"),
+            F.when(outside, F.concat(plain, atom))
+            .when(failed, F.concat(plain, quoted, atom))
+            .when(ends, F.lit(""))
+            .otherwise(plain)
+            .alias("plain"),
+            F.when(outside | failed | ends, F.lit("")).otherwise(F.concat(quoted, atom)).alias("quoted"),
+        )
+
+    folded = F.aggregate(
+        _atoms(value, QUOTE_ATOM),
+        _cast("mode int; done string; plain string; quoted string"),
+        step,
+        lambda state: F.concat(state["done"], clean(F.concat(state["plain"], state["quoted"]))),
+    )
+    # Hardly any text has such a comma.
+    return F.when(F.rlike(value, F.lit(comma)), folded).otherwise(value)
 
 
 def parsed(candidate: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatprep.functions.python_json import python_args_hash
 from chatprep.functions.text import preview
 from chatprep.functions.tool_json import canonical_json
 from chatprep.rules import AUDIT_PREVIEW_CHARS, AUDITED, TIMEOUT_BOUNDS, TOOLS
@@ -46,12 +47,15 @@ def audited_arguments(tool: Column, arguments: Column) -> Column:
     return F.coalesce(executed, canonical_json(arguments))
 
 
-def audit_log(calls: DataFrame) -> DataFrame:
+def audit_log(calls: DataFrame, compat: bool = False) -> DataFrame:
     """Call rows to audit rows; each call has one, also those with empty results.
 
-    The hash is over ``audited_arguments``. Session and turn stay, so that the figures
-    below can be read from the log alone.
+    The hash is over ``audited_arguments``; with ``compat`` over their text as Python writes
+    it, so that the rows join with logs that a Python program wrote. Session and turn
+    stay, so that the figures below can be read from the log alone.
     """
+    audited = audited_arguments(F.col("tool"), F.col("arguments"))
+    hashed = python_args_hash(audited) if compat else F.substring(F.sha2(audited, 256), 1, 16)
     result = F.when(F.col("result") != "", F.col("result"))
     return calls.select(
         "session_id",
@@ -59,7 +63,7 @@ def audit_log(calls: DataFrame) -> DataFrame:
         "call_no",
         "ts",
         "tool",
-        F.substring(F.sha2(audited_arguments(F.col("tool"), F.col("arguments")), 256), 1, 16).alias("args_hash"),
+        hashed.alias("args_hash"),
         "success",
         preview(result, AUDIT_PREVIEW_CHARS).alias("result_preview"),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -122,6 +124,130 @@ def fill_blocks(pieces: DataFrame, samples: DataFrame, key: str) -> DataFrame:
     return _joined(joined.select("shard", "block", F.struct("block_from", part.alias("tokens")).alias("piece")))
 
 
+class Room:
+    """Blocks by what is free in them: runs of block numbers, and the least room that is enough."""
+
+    def __init__(self) -> None:
+        self._sizes: list[int] = []
+        self._runs: dict[int, list[tuple[int, int]]] = {}
+
+    def put(self, size: int, first: int, stop: int) -> None:
+        if size > 0 and first < stop:
+            if size not in self._runs:
+                self._runs[size] = []
+                insort(self._sizes, size)
+            heappush(self._runs[size], (first, stop))
+
+    def take(self, least: int) -> tuple[int, int, int] | None:
+        """The lowest run of blocks with the smallest room that is enough, which is then gone."""
+        at = bisect_left(self._sizes, least)
+        if at == len(self._sizes):
+            return None
+        size = self._sizes[at]
+        run = heappop(self._runs[size])
+        if not self._runs[size]:
+            del self._runs[size]
+            self._sizes.pop(at)
+        return size, *run
+
+
+def best_fit(counts: list[tuple[int, int]], max_len: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Places of samples, given how many there are of each length.
+
+    The longest come first, and each goes where it leaves the least room (of equal ones
+    the lowest block), else into a new block. Samples of one length are alike, so whole
+    runs of blocks are filled at once: the work grows with the lengths, not the samples.
+    Rows are (length, first rank, rank behind the last, samples of it in a block, first
+    block, place of the first one in the block).
+    """
+    room, places, blocks = Room(), [], 0
+    for length, count in sorted(counts, reverse=True):
+        rank = 0
+        while rank < count:
+            found = room.take(length)
+            if found is None:
+                needed = -(-(count - rank) // (max_len // length))
+                found, blocks = (max_len, blocks, blocks + needed), blocks + needed
+            size, first, stop = found
+            each = size // length
+            used = min(count - rank, each * (stop - first))
+            places.append((length, rank, rank + used, each, first, max_len - size))
+            full, part = divmod(used, each)
+            room.put(size - each * length, first, first + full)
+            if part:
+                room.put(size - part * length, first + full, first + full + 1)
+            room.put(size, first + full + bool(part), stop)
+            rank += used
+    return places
+
+
+PLACES = "_length long, _from long, _to long, _each long, _first long, _start long"
+
+
+def pack_whole(
+    samples: DataFrame, key: str, max_len: int = MAX_SEQUENCE, seed: int = SPLIT_SEED, carry: str | None = None
+) -> DataFrame:
+    """Samples in blocks of at most ``max_len`` tokens, none cut: key, ``n_tokens``, ``block``, ``block_from``.
+
+    Best fit, the longest first, see ``best_fit``. Only the number of samples of each
+    length, ``max_len`` rows at most, comes to the driver. Samples of one length are
+    ranked in seeded order, by hash ranges, and a rank says the block and the place in
+    it; a length that very many samples have is no bottleneck. Samples that are longer
+    than a block, have no tokens or no length, or no key, have a null block. ``carry``
+    names a column that is kept.
+    """
+    more = [carry] if carry else []
+    rows = samples.select(key, F.col("n_tokens").cast("long").alias("n_tokens"), *more)
+    fits = F.col(key).isNotNull() & F.coalesce(F.col("n_tokens").between(1, max_len), F.lit(False))
+    there = rows.where(fits)
+    counts = there.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()
+    places = samples.sparkSession.createDataFrame(best_fit([tuple(row) for row in counts], max_len), PLACES)
+    hashed = there.withColumn("_hash", shuffle_hash(F.col(key), seed))
+    chunk = F.substring("_hash", 1, CHUNK_DIGITS)
+    ranked = running_totals(hashed, ["n_tokens"], ["_hash", key], chunk, {"_rank": F.lit(1)})
+    rank = F.col("_rank") - 1
+    at = rank - F.col("_from")
+    found = ranked.join(
+        places, (F.col("n_tokens") == F.col("_length")) & (rank >= F.col("_from")) & (rank < F.col("_to"))
+    ).select(
+        key,
+        "n_tokens",
+        (F.col("_first") + F.floor(at / F.col("_each"))).alias("block"),
+        (F.col("_start") + at % F.col("_each") * F.col("n_tokens")).alias("block_from"),
+        *more,
+    )
+    none = F.lit(None).cast("long")
+    return found.unionByName(
+        rows.where(~fits).select(key, "n_tokens", none.alias("block"), none.alias("block_from"), *more)
+    )
+
+
+def whole_fill(placed: DataFrame, max_len: int = MAX_SEQUENCE) -> DataFrame:
+    """Samples and tokens of each block of ``pack_whole``, and the share of it that is filled."""
+    return (
+        placed.where(F.col("block").isNotNull())
+        .groupBy("block")
+        .agg(F.count("*").alias("n_samples"), F.sum("n_tokens").alias("n_tokens"))
+        .withColumn("fill", F.col("n_tokens") / F.lit(max_len))
+    )
+
+
+def whole_tokens(samples: DataFrame, key: str, max_len: int = MAX_SEQUENCE, seed: int = SPLIT_SEED) -> DataFrame:
+    """The tokens of each block, samples whole, and where its samples end: block, tokens, ends.
+
+    ``samples`` holds the key and an array ``tokens``, which travels with the row that is
+    given a place. A block collects at most ``max_len`` tokens.
+    """
+    sized = samples.select(key, "tokens", F.size("tokens").cast("long").alias("n_tokens"))
+    placed = pack_whole(sized, key, max_len, seed, carry="tokens").where(F.col("block").isNotNull())
+    ordered = F.array_sort(F.collect_list(F.struct("block_from", "n_tokens", "tokens")))
+    return placed.groupBy("block").agg(ordered.alias("_s")).select(
+        "block",
+        F.flatten(F.transform("_s", lambda s: s["tokens"])).alias("tokens"),
+        F.transform("_s", lambda s: s["block_from"] + s["n_tokens"]).alias("ends"),
+    )
+
+
 def length_report(samples: DataFrame, max_len: int = MAX_SEQUENCE) -> DataFrame:
     """Lengths of samples, how many pass the limit, and what packing saves.
 

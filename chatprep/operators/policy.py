@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatprep import rules as fixed
 from chatprep.functions.frames import with_once
+from chatprep.operators.links import resolve_links, with_resolved
 from chatprep.rules import (
     DANGEROUS_COMMANDS,
     FORBIDDEN_CODE,
@@ -68,8 +69,13 @@ def resolve_path(path: Column, cwd: str) -> Column:
     return F.when(path == ".", F.lit(cwd)).when(F.rlike(path, F.lit(REMOVABLE)), walked).otherwise(full)
 
 
-def _path_rules(path: Column, hits: Column, resolved: Column, allowed_roots: list[str]) -> Rules:
-    """Empty, a forbidden fragment, outside the allowed roots."""
+def _path_rules(
+    path: Column, hits: Column, resolved: Column, allowed_roots: list[str], loop: Column | None = None
+) -> Rules:
+    """Empty, a forbidden fragment, a circle of links, outside the allowed roots."""
+    circle = []
+    if loop is not None:
+        circle = [(loop.isNotNull(), "link_loop", F.concat(F.lit(fixed.PATH_LOOP), loop, F.lit("'")))]
     inside = F.lit(False)
     for root in map(posixpath.normpath, allowed_roots):
         inside |= (resolved == root) | resolved.startswith(root.rstrip("/") + "/")
@@ -78,6 +84,7 @@ def _path_rules(path: Column, hits: Column, resolved: Column, allowed_roots: lis
         (path == "", "empty", F.lit(fixed.EMPTY_PATH)),
         (path.isNotNull() & (F.size(hits) > 0), "fragment", fragment),
         (F.contains(path, F.lit("\0")), "invalid", F.lit(fixed.PATH_NULL_BYTE)),
+        *circle,
         (~inside, "outside_roots", F.lit(f"{fixed.PATH_OUTSIDE}{allowed_roots}")),
     ]
 
@@ -120,14 +127,38 @@ def _judged(
     )
 
 
+def _real_roots(links: DataFrame, roots: list[str], cwd: str) -> list[str]:
+    """The allowed roots, resolved through links as paths are; one that is in a circle allows nothing."""
+    spark = links.sparkSession
+    found = resolve_links(spark.createDataFrame([(root,) for root in roots], "path string"), links, cwd)
+    # As many rows as there are roots.
+    return sorted(row.resolved for row in found.collect() if row.resolved is not None)
+
+
 def screen_paths(
-    df: DataFrame, allowed_roots: list[str], cwd: str | None = None, path_col: str = "path"
+    df: DataFrame,
+    allowed_roots: list[str],
+    cwd: str | None = None,
+    path_col: str = "path",
+    links: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the verdict on a path column and the resolved path of allowed ones."""
+    """Add the verdict on a path column and the resolved path of allowed ones.
+
+    ``links`` (``path``, ``target``) is a listing of the links on disk: paths and roots
+    are then followed through them, see ``resolve_links``, and a link that leads out of
+    the roots is refused. Without it paths are resolved by name.
+    """
     cwd = posixpath.normpath(cwd or allowed_roots[0])
     path = F.col(path_col)
-    facts = with_once(df, _hits=_hits(path, FORBIDDEN_FRAGMENTS), _resolved=resolve_path(path, cwd))
-    rules = _path_rules(path, F.col("_hits"), F.col("_resolved"), allowed_roots)
+    roots, loop = allowed_roots, None
+    if links is None:
+        facts = with_once(df, _hits=_hits(path, FORBIDDEN_FRAGMENTS), _resolved=resolve_path(path, cwd))
+    else:
+        roots, loop = _real_roots(links, allowed_roots, cwd), F.col("_resolved_loop")
+        followed = with_resolved(df, {"_resolved": path_col}, links, cwd)
+        facts = with_once(followed, _hits=_hits(path, FORBIDDEN_FRAGMENTS))
+    rules = _path_rules(path, F.col("_hits"), F.col("_resolved"), roots, loop)
+    rules[-1] = (*rules[-1][:2], F.lit(f"{fixed.PATH_OUTSIDE}{allowed_roots}"))
     judged = _judged(facts, df.columns, path, rules, F.col("_hits"))
     return judged.withColumn("resolved", F.when(F.col("allowed"), F.col("_resolved"))).drop("_resolved")
 

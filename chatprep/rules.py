@@ -63,6 +63,7 @@ FORBIDDEN_CODE = [
 EMPTY_PATH = "Empty path provided"
 PATH_FRAGMENT = "Path contains forbidden pattern: "
 PATH_NULL_BYTE = "Path validation error: embedded null byte"
+PATH_LOOP = "Path validation error: Symlink loop from '"
 PATH_OUTSIDE = "Path must be within allowed directories: "
 EMPTY_COMMAND = "Empty command"
 COMMAND_DANGEROUS = "Dangerous command pattern detected: "
