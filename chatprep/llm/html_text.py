@@ -1,9 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
-The first pass cuts a page into blocks and decides each by itself: by where it stands,
-by the density of stop words, by its length and by the density of links. What it can't
-decide, short blocks and ones with few stop words, takes in the second pass the label
-of the nearest decided neighbours.
+The first pass cuts a page into blocks and decides each by itself: by the density of stop
+words, by its length and by the density of links. What it can't decide, short blocks and
+ones with few stop words, takes in the second pass the label of the nearest decided
+neighbours.
+
+Elements and names that stand for menus, notices, comments and so on speak against the
+blocks in them, but only beside other text: where no block outside of them is text, the
+outermost of them is passed over, then the next one, until the densities find text. A page
+that has prose always gives some, whatever its containers are called.
 """
 
 from __future__ import annotations
@@ -41,14 +46,16 @@ STOP_WORDS = frozenset(
 )
 
 #: Elements by what they mean for text.
-RAW = frozenset({"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math"})
+RAW = frozenset({"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "annotation", "annotation-xml"})
 APART = frozenset(
     {"nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "canvas", "object", "audio", "video", "map"}
 )
 MAIN = frozenset({"article", "main"})
 INLINE = frozenset(
     """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small
-    span strike strong sub sup time tt u var wbr""".split()
+    span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle
+    semantics""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_SAME = frozenset({"p", "li", "dt", "dd", "tr", "td", "th", "option"})
@@ -78,22 +85,23 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 
 
-#: How a block stands: set apart by a name, or by its element for good; in an article that
-#: lies in something set apart by name; in the article by a name, or by its element.
+#: What speaks against a block: a name, an element, or that it is hidden, which stays.
+NAMED, ELEMENT, HIDDEN = "name", "element", "hidden"
+#: A block stands in the article by a name, or by its element.
 BY_NAME = 1
 BY_ELEMENT = 2
-LIFTED = -1
 
 
 @dataclass
 class Block:
-    """A run of text between block elements."""
+    """A run of text between block elements; ``against`` is what speaks against it, the outermost first."""
 
     text: str
     links: int
-    apart: int
+    against: tuple[str, ...]
     main: int
     heading: bool
+    apart: bool = False
     label: str = ""
 
 
@@ -104,49 +112,46 @@ class _Page:
     links: int = 0
 
 
-def _place(name: str, attributes: str, apart: int, main: int) -> tuple[int, int]:
-    """Whether an element stands apart from the text, and whether in the article."""
+def _place(name: str, attributes: str, against: tuple[str, ...], main: int) -> tuple[tuple[str, ...], int]:
+    """What speaks against the text of an element, and whether it stands in the article."""
     if name in ("html", "body"):
-        return apart, main
-    names = _names(attributes) if attributes and apart != BY_ELEMENT else frozenset()
+        return against, main
+    if attributes and _HIDDEN.search(attributes):
+        return (*against, HIDDEN), main
+    words, tokens = _names(attributes) if attributes else (frozenset(), frozenset())
+    near_text = bool(words & MAIN_NAMES)
+    # A name that stands for the article by itself outweighs others beside it.
+    apart = bool(words & APART_NAMES) and not tokens & MAIN_NAMES
     if name in MAIN:
-        if apart == BY_NAME and not main and not names & APART_NAMES and not _HIDDEN.search(attributes):
-            apart = LIFTED
-        return apart, BY_ELEMENT
+        return ((*against, NAMED) if apart else against), BY_ELEMENT
     if name in APART or (name == "header" and not main):
-        apart = BY_ELEMENT
-    if attributes and apart != BY_ELEMENT:
-        if _HIDDEN.search(attributes):
-            return BY_ELEMENT, main
-        if apart == BY_NAME:
-            return apart, main
-        near_text = bool(names & MAIN_NAMES)
-        if names & APART_NAMES or (names & APART_OUTSIDE and not main and not near_text):
-            return BY_NAME, main
-        # Names that stand for notices do so inside an article as well.
-        if main and names & {"notice", "notices", "alert", "banner", "widget"} and not near_text:
-            return BY_NAME, main
-        main = main or (BY_NAME if near_text else 0)
-    return apart, main
-
-
-def _names(attributes: str) -> set[str]:
-    """The words of an element's class, id and role."""
-    values = (value[0] or value[1] or value[2] for value in _NAMES.findall(attributes))
-    return {word.lower() for value in values for word in _WORD.findall(value)}
+        return (*against, ELEMENT), main
+    if apart or (words & APART_OUTSIDE and not main and not near_text):
+        return (*against, NAMED), main
+    # Names that stand for notices do so inside an article as well.
+    if main and words & {"notice", "notices", "alert", "banner", "widget"} and not near_text:
+        return (*against, NAMED), main
+    return against, main or (BY_NAME if near_text else 0)
+
+
+def _names(attributes: str) -> tuple[set[str], set[str]]:
+    """The words of an element's class, id and role, and the whole names in them."""
+    values = [value[0] or value[1] or value[2] for value in _NAMES.findall(attributes)]
+    whole = {name.lower() for value in values for name in value.split()}
+    return {word.lower() for value in values for word in _WORD.findall(value)}, whole
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order, without markup, white space made one blank."""
     page = _Page()
-    # Open elements: name, apart, main, inside a link, heading.
-    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    # Open elements: name, what speaks against, main, inside a link, heading.
+    stack: list[tuple[str, tuple[str, ...], int, bool, bool]] = [("", (), 0, False, False)]
 
     def flush() -> None:
         text = " ".join("".join(page.pieces).split())
         if text:
-            _, apart, main, _, heading = stack[-1]
-            page.blocks.append(Block(text, min(page.links, len(text)), apart, main, heading))
+            _, against, main, _, heading = stack[-1]
+            page.blocks.append(Block(text, min(page.links, len(text)), against, main, heading))
         page.pieces.clear()
         page.links = 0
 
@@ -199,13 +204,13 @@ def blocks_of(html: str) -> list[Block]:
                 stack.pop()
         if name in VOID or (attributes or "").endswith("/"):
             continue
-        _, apart, main, link, heading = stack[-1]
-        now_apart, now_main = _place(name, attributes, apart, main)
-        if now_apart != apart:
+        _, against, main, link, heading = stack[-1]
+        now_against, now_main = _place(name, attributes, against, main)
+        if now_against != against:
             flush()
-        if name in INLINE and name != "a" and now_apart == apart:
+        if name in INLINE and name != "a" and now_against == against:
             continue
-        stack.append((name, now_apart, now_main, link or name == "a", heading or name in HEADINGS))
+        stack.append((name, now_against, now_main, link or name == "a", heading or name in HEADINGS))
     flush()
     return page.blocks
 
@@ -225,7 +230,7 @@ def _first_label(block: Block, by_length: bool) -> str:
     if by_length:
         size += 2 * len(_DENSE.findall(block.text))
     if links > MAX_LINKS:
-        return "bad" if block.main != BY_ELEMENT or size < SHORT_CHARS else "near"
+        return "bad"
     if size < SHORT_CHARS or block.heading:
         return "short"
     if by_length:
@@ -255,13 +260,29 @@ def _first_labels(blocks: list[Block]) -> bool:
     return any(block.label == "good" for block in blocks)
 
 
+def _stands(blocks: list[Block]) -> bool:
+    """Whether what nothing speaks against looks like text, though no block of it is good by itself."""
+    return any(
+        block.label == "near" or (block.label == "short" and block.main == BY_ELEMENT) for block in blocks
+    )
+
+
+def _first_pass(blocks: list[Block]) -> None:
+    """Label blocks with as little passed over of what speaks against them as leaves some text."""
+    for passed in range(max((len(block.against) for block in blocks), default=0) + 1):
+        for block in blocks:
+            block.apart = HIDDEN in block.against or len(block.against) > passed
+        if _first_labels(blocks) or (not passed and _stands(blocks)):
+            return
+    # No block is good wherever it stands.
+    for block in blocks:
+        block.apart = bool(block.against)
+    _first_labels(blocks)
+
+
 def label(blocks: list[Block]) -> None:
     """Set each block's label to good or bad."""
-    if not _first_labels(blocks) and any(block.apart == LIFTED for block in blocks):
-        # No text elsewhere: an article counts, whatever the name of what it lies in.
-        for block in blocks:
-            block.apart = 0 if block.apart == LIFTED else block.apart
-        _first_labels(blocks)
+    _first_pass(blocks)
     good = [bool(block.main) for block in blocks if block.label == "good"]
     in_main = any(good) or (not good and any(block.main == BY_ELEMENT and not block.apart for block in blocks))
     if in_main:

@@ -306,6 +306,74 @@ def test_html_names_only_weigh(html, text):
     assert html_text.main_text(html) == text
 
 
+PROSE = f"{ARTICLE} {ARTICLE} {ARTICLE}"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='page sidebar-right'><div class='body'><p>{PROSE}</p></div></div>", PROSE),
+        (f"<div class='content related-topics'><p>{PROSE}</p></div>", PROSE),
+        (f"<div class='page sidebar-right'><div class='wrap no-sidebar'><p>{PROSE}</p><div class=comments><p>{PROSE}</p></div></div></div>", PROSE),
+        (f"<form id=aspnet><div class=menu><a href=x>Home</a></div><p>{PROSE}</p><footer>{PROSE}</footer></form>", PROSE),
+        (f"<h1>A heading of the page</h1><div class=sidebar><p>{PROSE}</p></div>", f"A heading of the page {PROSE}"),
+        (f"<div class=main-nav><p>{PROSE}</p></div><div><p>{PROSE} {ARTICLE}</p></div>", f"{PROSE} {ARTICLE}"),
+        (f"<article><p>{PROSE}</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p><p>{PROSE}</p></article>", f"{PROSE} so x=1 holds {PROSE}"),
+        (f"<article><p>{PROSE}</p><ul><li><a href=a>{ARTICLE}</a></li><li><a href=b>More of this kind</a></li></ul></article>", PROSE),
+        (f"<div hidden><p>{PROSE}</p></div><div class=footer><p>Imprint</p></div>", ""),
+        (f"<p>{ARTICLE}</p><footer><p>{PROSE}</p></footer>", ARTICLE),
+    ],
+)
+def test_html_prose_is_never_lost(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_html_densities_decide(monkeypatch):
+    """Without stop words, length and links other texts come out of the same pages."""
+    menu = "".join(f"<li><a href=/{k}>Topic number {k} of the list</a></li>" for k in range(9))
+    scraps = "<p>Buy Cheap Watches Online Today Discount Brands Shipping Worldwide Secure Checkout Order Now</p>"
+    pages = [
+        f"<div><ul>{menu}</ul></div><div><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div><div>{scraps}</div>",
+        f"<div>{scraps}{scraps}</div><div><p>{PROSE}</p></div>",
+        f"<div><p>Home</p><p>Contact</p></div><div><p>{PROSE} {PROSE}</p></div>",
+    ]
+    found = [html_text.main_text(page) for page in pages]
+    assert found == [f"{PROSE} Short one. {PROSE}", PROSE, f"{PROSE} {PROSE}"] or found[2].endswith(f"{PROSE} {PROSE}")
+    monkeypatch.setattr(html_text, "_first_label", lambda block, by_length: "apart" if block.apart else "good")
+    assert all(html_text.main_text(page) != text for page, text in zip(pages[:2], found))
+
+
+def second_pass(labels, favoured):
+    """The labels of undecided blocks by a plain search for the nearest decided one on each side."""
+    out = list(labels)
+    for k, own in enumerate(labels):
+        if own not in ("near", "short"):
+            continue
+        sides = [[j for j in range(k - 1, -1, -1) if labels[j] in ("good", "bad")][:1], [j for j in range(k + 1, len(labels)) if labels[j] in ("good", "bad")][:1]]
+        near = sorted((abs(j - k), labels[j]) for side in sides for j in side)
+        nearest = {label for distance, label in near if distance == near[0][0]}
+        out[k] = "good" if nearest == {"good"} or ("good" in nearest and (own == "near" or favoured[k])) else "bad"
+    return out
+
+
+def test_html_second_pass_takes_the_nearest_label(monkeypatch):
+    pick = random.Random(2)
+    for _ in range(300):
+        labels = [pick.choice(["good", "bad", "near", "short"]) for _ in range(pick.randint(1, 15))]
+        labels[pick.randrange(len(labels))] = "good"
+        headings = [pick.random() < 0.3 for _ in labels]
+        blocks = [html_text.Block("x", 0, (), 0, heading) for heading in headings]
+
+        def first(known, labels=labels):
+            for block, label in zip(known, labels):
+                block.label = label
+            return True
+
+        monkeypatch.setattr(html_text, "_first_labels", first)
+        html_text.label(blocks)
+        assert [block.label for block in blocks] == second_pass(labels, headings)
+
+
 @pytest.mark.parametrize(
     "text",
     [
