@@ -500,6 +500,23 @@ ORACLE = {
     "render_chat_parts": f"SELECT conv_id, turn // 3 AS part, string_agg({CHATML.replace('content', 'text')}, '' ORDER BY turn) "
     "|| CASE WHEN turn // 3 = max(max(turn // 3)) OVER (PARTITION BY conv_id) THEN E'<|im_start|>assistant\\n' "
     "ELSE '' END AS text FROM conversations GROUP BY conv_id, turn // 3",
+    "render_template_tagged": """SELECT conv_id, 0::BIGINT AS part,
+      string_agg('<|' || role || '|>' || chr(10) || text || '</s>' || chr(10), '' ORDER BY turn)
+      || CASE WHEN conv_id % 2 = 0 THEN '<|assistant|>' || chr(10) ELSE '' END AS text
+      FROM conversations GROUP BY conv_id""",
+    "render_template_brackets": f"""WITH rows AS (
+        SELECT conv_id, turn, role, text, first_value(role) OVER w = 'system' AS led, first_value(text) OVER w AS start,
+          row_number() OVER w AS n
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+      ), told AS (
+        SELECT *, CASE WHEN led AND n = 2 AND start <> '' THEN '<<SYS>>' || chr(10) || start || chr(10) || '<</SYS>>' || chr(10) || chr(10)
+          ELSE '' END || text AS content
+        FROM rows
+      )
+      SELECT conv_id, 0::BIGINT AS part, string_agg(CASE WHEN led AND n = 1 THEN ''
+        WHEN role = 'user' THEN '<s>[INST] ' || trim(content, {SPACE}) || ' [/INST]'
+        WHEN role = 'assistant' THEN ' ' || trim(content, {SPACE}) || ' </s>' ELSE '' END, '' ORDER BY turn) AS text
+      FROM told GROUP BY conv_id""",
     "set_size": f"""WITH parts AS (
       SELECT conv_id, turn // 3 AS part, string_agg({CHATML.replace('content', 'text')}, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL)
       SELECT {held_out('conv_id', TWENTIETH)} AS split, count(DISTINCT conv_id) AS n_samples,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatprep import rules
+from chatprep.functions.chat_template import render_template
 from chatprep.functions.python_json import python_args_hash, python_json
 from chatprep.functions.text import clean_text, preview, strip_reasoning, tokens_of
 from chatprep.functions.tool_json import args_hash
@@ -265,6 +266,44 @@ def render_chat_parts(spark, sf):
     return parts.select("conv_id", "part", chat.render_chat(F.col("messages"), F.col("is_last")).alias("text"))
 
 
+#: Public layouts, as tokenizer files hold them.
+TAGGED_TEMPLATE = """{% for message in messages %}
+{% if message['role'] == 'user' %}
+{{ '<|user|>\\n' + message['content'] + eos_token }}
+{% elif message['role'] == 'system' %}
+{{ '<|system|>\\n' + message['content'] + eos_token }}
+{% elif message['role'] == 'assistant' %}
+{{ '<|assistant|>\\n'  + message['content'] + eos_token }}
+{% endif %}
+{% if loop.last and add_generation_prompt %}
+{{ '<|assistant|>' }}
+{% endif %}
+{% endfor %}"""
+BRACKET_TEMPLATE = (
+    "{% if messages[0]['role'] == 'system' %}{% set rest = messages[1:] %}{% set start = messages[0]['content'] %}"
+    "{% else %}{% set rest = messages %}{% set start = false %}{% endif %}"
+    "{% for message in rest %}{% if loop.index0 == 0 and start %}{% set content = '<<SYS>>\\n' + start + '\\n<</SYS>>\\n\\n' "
+    "+ message['content'] %}{% else %}{% set content = message['content'] %}{% endif %}"
+    "{% if message['role'] == 'user' %}{{ bos_token + '[INST] ' + content | trim + ' [/INST]' }}"
+    "{% elif message['role'] == 'assistant' %}{{ ' ' + content | trim + ' ' + eos_token }}{% endif %}{% endfor %}"
+)
+
+
+def _templated(spark, sf, template, **how):
+    whole = chat.collect_messages(table(spark, sf, "conversations"))
+    prompt = F.col("is_last") & (F.col("conv_id") % 2 == 0)
+    text = render_template(F.col("messages"), template, prompt, **how)
+    return whole.select("conv_id", "part", text.alias("text"))
+
+
+def render_template_tagged(spark, sf):
+    return _templated(spark, sf, TAGGED_TEMPLATE, eos_token="</s>")
+
+
+def render_template_brackets(spark, sf):
+    return _templated(spark, sf, BRACKET_TEMPLATE, bos_token="<s>", eos_token="</s>")
+
+
 def set_size(spark, sf):
     turns = table(spark, sf, "conversations")
     parts = chat.to_training_text(chat.collect_messages(turns, part_turns=3))
@@ -665,6 +704,8 @@ QUERIES = {
     "collect_messages": collect_messages,
     "render_chat": render_chat,
     "render_chat_prompt": render_chat_prompt,
+    "render_template_tagged": render_template_tagged,
+    "render_template_brackets": render_template_brackets,
     "training_text": training_text,
     "strip_reasoning": q_strip_reasoning,
     "tool_calls": tool_calls,

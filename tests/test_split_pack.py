@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chatprep.functions.text import tokens_of
 from chatprep.operators import pack, split
 from tests.helpers import plan, rows
+from tests.plain import best_fit_blocks
 
 
 @pytest.mark.parametrize(
@@ -112,3 +113,54 @@ def test_null_keys_belong_to_no_part(spark):
     assert {r.split: r.n for r in found.groupBy("split").agg(F.count("*").alias("n")).collect()} == {
         None: 10, "train": 81, "validation": 9
     }
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_over_lengths_is_best_fit_over_samples(seed):
+    """Runs of blocks that are filled at once hold what one sample after the other would fill."""
+    pick = random.Random(seed)
+    max_len = pick.choice([7, 20, 64])
+    lengths = sorted((pick.randint(1, max_len) for _ in range(pick.randint(0, 400))), reverse=True)
+    counts = [(n, lengths.count(n)) for n in set(lengths)]
+    got = []
+    for length, start, stop, each, first, place in pack.best_fit(counts, max_len):
+        got += [(first + k // each, place + k % each * length) for k in range(stop - start)]
+    assert got == best_fit_blocks(lengths, max_len)
+
+
+def test_best_fit_does_not_grow_with_the_samples():
+    places = pack.best_fit([(n, 10**9) for n in range(1, 513)], 512)
+    assert len(places) < 20_000 and sum(stop - start for _, start, stop, *_ in places) == 512 * 10**9
+
+
+def test_pack_whole(spark):
+    """No sample is cut or lost; those that have no place say so."""
+    sizes = [(k, [64, 63, 40, 24, 12, 7, 7, 7, 3, 1][k * k % 10]) for k in range(500)]
+    odd = [(600, 65), (601, 0), (602, None), (None, 5), (603, -1)]
+    table = spark.createDataFrame([*sizes, *odd], "key long, n_tokens long").repartition(7)
+    placed = pack.pack_whole(table, "key", max_len=64).cache()
+    assert placed.count() == 505
+    assert {r.key for r in placed.where("block IS NULL").collect()} == {600, 601, 602, 603, None}
+    order = sorted(sizes, key=lambda r: (-r[1], hashlib.md5(f"42:{r[0]}".encode()).hexdigest()))
+    want = {k: place for (k, _), place in zip(order, best_fit_blocks([n for _, n in order], 64))}
+    got = {r.key: (r.block, r.block_from) for r in placed.where("block IS NOT NULL").collect()}
+    assert got == want
+    fill = pack.whole_fill(placed, 64).agg(F.max("n_tokens").alias("most"), F.avg("fill").alias("fill")).first()
+    assert fill.most <= 64 and fill.fill > 0.99
+    # The same in any layout, and none at all for an empty table.
+    assert rows(pack.pack_whole(table.coalesce(1), "key", max_len=64)) == rows(placed)
+    assert pack.pack_whole(table.limit(0), "key").count() == 0
+
+
+def test_whole_tokens(spark):
+    texts = [(k, " ".join(f"{k}.{n}" for n in range(k % 17))) for k in range(120)]
+    samples = spark.createDataFrame(texts, "key long, text string").select("key", tokens_of(F.col("text")).alias("tokens"))
+    blocks = pack.whole_tokens(samples, "key", max_len=16).collect()
+    seen = []
+    for row in blocks:
+        assert len(row.tokens) == row.ends[-1] <= 16
+        for start, stop in zip([0, *row.ends[:-1]], row.ends):
+            sample = row.tokens[start:stop]
+            assert {t.split(".")[0] for t in sample} == {sample[0].split(".")[0]}
+            seen.append(" ".join(sample))
+    assert sorted(seen) == sorted(text for _, text in texts if text)
