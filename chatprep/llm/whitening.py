@@ -103,7 +103,7 @@ def _centre(points: DataFrame) -> Centre | None:
     parts = points.select("x").mapInArrow(run, "at int, part long, n long")
     exact = F.sum(F.col("part").cast("decimal(38,0)")).alias("total")
     # One row for each dimension.
-    found = parts.groupBy("at").agg(exact, F.sum("n").alias("n")).orderBy("at").collect()
+    found = sorted(parts.groupBy("at").agg(exact, F.sum("n").alias("n")).collect())
     if not found:
         return None
     n = found[0]["n"]
@@ -132,7 +132,7 @@ def _pass(points: DataFrame, centre: Centre, block: np.ndarray) -> np.ndarray:
     names = [f"c{k}" for k in range(width)]
     parts = points.select("x").mapInArrow(run, "at int, " + ", ".join(f"{name} double" for name in names))
     # One row for each dimension comes to the driver.
-    rows = parts.groupBy("at").agg(*[F.sum(name).alias(name) for name in names]).orderBy("at").collect()
+    rows = sorted(parts.groupBy("at").agg(*[F.sum(name).alias(name) for name in names]).collect())
     return np.array([row[1:] for row in rows]) / centre.n
 
 
