@@ -10,8 +10,8 @@ from chatprep.rules import CALL_TEXT, PYTHON_SPACE
 TRAILING_COMMA = r"(?U),\s*([}\]])"
 CALL_SCHEMA = "call STRUCT<name: STRING, arguments: STRING>, end STRING"
 END_MARK = "end of call"
-#: What a scan tells apart; all else passes in runs.
-BRACE_ATOM = r'[{}"\\\n]|[^{}"\\\n]+'
+#: What a scan tells apart: signs, each with the plain text before it, and strings without signs.
+BRACE_ATOM = r'[^{}"\\\n]*+(?:"[^{}"\\\n]*+"|[{}"\\\n]|\z)'
 QUOTE_ATOM = r'["\\\n]|[^"\\\n]+'
 _PAIRS = "array<struct<start:int,stop:int>>"
 SCAN = f"at int; mode int; opened array<int>; pairs {_PAIRS}; opened_before array<int>; pairs_before {_PAIRS}"
@@ -61,37 +61,43 @@ def _cast(kind: str) -> Column:
     return F.struct(*[empty.get(of, F.array()).cast(of).alias(name) for name, of in fields])
 
 
-def _string_mode(mode: Column, atom: Column, may_open: Column) -> Column:
-    """Whether the next character stands outside strings (0), in one (1), or after a backslash in one (2)."""
-    return (
-        F.when(mode == 0, F.when(may_open & (atom == '"'), 1).otherwise(0))
-        .when(atom == "\n", 0)
-        .when(mode == 2, 1)
-        .when(atom == '"', 0)
-        .when(atom == "\\", 2)
-        .otherwise(1)
-    )
-
-
 def _matched(state: Column, atom: Column) -> Column:
-    """One step of the fold: open braces and closed outermost pairs, and both as they were before a string."""
-    opened, pairs, at = state["opened"], state["pairs"], state["at"]
+    """One step of the fold: open braces and closed outermost pairs, and both as they were before a string.
+
+    ``mode`` says whether the next character stands outside strings (0), in one (1), or
+    after a backslash in one (2). An atom is a run of plain text and the sign that ends
+    it, or a whole string without signs, which counts by its two quotes.
+    """
+    opened, pairs = state["opened"], state["pairs"]
+    sign = F.right(atom, F.lit(1))
+    quote = sign == '"'
+    string = quote & F.rlike(atom, F.lit('"[^"]*"\\z'))
+    # What follows a backslash is the run, if there is one.
+    mode = F.when((state["mode"] == 2) & ~F.rlike(atom, F.lit(r'\A[{}"\\\n]')), 1).otherwise(state["mode"])
     inside = F.size(opened) > 0
     start = F.get(opened, F.size(opened) - 1)
-    end = at + F.length(atom)
-    closes = (atom == "}") & inside
+    end = state["at"] + F.length(atom)
+    closes = (sign == "}") & inside
     pair = F.array(F.struct(start.alias("start"), end.alias("stop")))
     next_opened = (
-        F.when(atom == "{", F.concat(opened, F.array(at)))
+        F.when(sign == "{", F.concat(opened, F.array(end - 1)))
         .when(closes, F.slice(opened, F.lit(1), F.size(opened) - 1))
         .otherwise(opened)
     )
     next_pairs = F.when(closes, F.concat(F.filter(pairs, lambda p: p["start"] < start), pair)).otherwise(pairs)
-    begins = (state["mode"] == 0) & (atom == '"') & inside
-    ends = (state["mode"] == 1) & (atom == '"')
+    begins = (mode == 0) & quote & ~string & inside
+    ends = ((mode == 1) & quote) | ((mode == 2) & string)
+    next_mode = (
+        F.when(mode == 0, F.when(begins, 1).otherwise(0))
+        .when(sign == "\n", 0)
+        .when(mode == 2, F.when(string, 0).otherwise(1))
+        .when(quote, F.when(string, 1).otherwise(0))
+        .when(sign == "\\", 2)
+        .otherwise(1)
+    )
     return F.struct(
         end.alias("at"),
-        _string_mode(state["mode"], atom, inside).alias("mode"),
+        next_mode.alias("mode"),
         F.when(ends, state["opened_before"]).otherwise(next_opened).alias("opened"),
         F.when(ends, state["pairs_before"]).otherwise(next_pairs).alias("pairs"),
         F.when(begins, opened).otherwise(state["opened_before"]).alias("opened_before"),
@@ -99,6 +105,18 @@ def _matched(state: Column, atom: Column) -> Column:
     )
 
 
+def _string_mode(mode: Column, atom: Column) -> Column:
+    """Whether the next character stands outside strings (0), in one (1), or after a backslash in one (2)."""
+    return (
+        F.when(mode == 0, F.when(atom == '"', 1).otherwise(0))
+        .when(atom == "\n", 0)
+        .when(mode == 2, 1)
+        .when(atom == '"', 0)
+        .when(atom == "\\", 2)
+        .otherwise(1)
+    )
+
+
 def without_trailing_commas(value: Column) -> Column:
     """JSON text without commas before a closing bracket, but for those in strings."""
     comma = f",[{_SPACES}]*([}}\\]])"
@@ -112,7 +130,7 @@ def without_trailing_commas(value: Column) -> Column:
         failed = (mode > 0) & (atom == "\n")
         ends = (mode == 1) & (atom == '"')
         return F.struct(
-            _string_mode(mode, atom, F.lit(True)).alias("mode"),
+            _string_mode(mode, atom).alias("mode"),
             F.when(ends, F.concat(state["done"], clean(plain), quoted, atom)).otherwise(state["done"]).alias("done"),
             F.when(outside, F.concat(plain, atom))
             .when(failed, F.concat(plain, quoted, atom))

@@ -14,6 +14,7 @@ from chatprep.functions.text import token_count
 from chatprep.operators.running import running_totals
 from chatprep.operators.split import shuffle_hash
 from chatprep.rules import MAX_SEQUENCE, SPLIT_SEED
+from chatprep.session import written
 
 CHUNK_DIGITS = 4
 
@@ -198,6 +199,9 @@ def pack_whole(
     """
     more = [carry] if carry else []
     rows = samples.select(key, F.col("n_tokens").cast("long").alias("n_tokens"), *more)
+    if not more:
+        # Two numbers a row, read several times.
+        rows = written(rows, "lengths")
     fits = F.col(key).isNotNull() & F.coalesce(F.col("n_tokens").between(1, max_len), F.lit(False))
     there = rows.where(fits)
     counts = there.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()

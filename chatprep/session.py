@@ -20,12 +20,24 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``, else one in the warehouse.
+    """The folder for intermediate tables that driver and executors see alike: ``spark.checkpoint.dir``.
 
-    Both are settings of the cluster that driver and executors see alike.
+    Where it is not set, one in the warehouse, if the cluster has set that or if all runs
+    in one process. The warehouse's own default is a folder of the driver's machine: on a
+    cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or spark.conf.get("spark.sql.warehouse.dir") + "/work").rstrip("/")
+    if base:
+        return base.rstrip("/")
+    settings = spark.sparkContext.getConf()
+    if not settings.contains("spark.sql.warehouse.dir") and not one_process(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work"
+
+
+def one_process(master: str) -> bool:
+    """Whether a master runs driver and executors in one process."""
+    return master == "local" or master.startswith("local[")
 
 
 _made: list[str] = []

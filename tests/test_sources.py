@@ -316,6 +316,25 @@ def test_grep_caps(spark):
     assert tuple(none) == (0, 0, 1200)
 
 
+def test_a_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from chatprep.session import shared_dir
+
+    def session(master, given, warehouse=False):
+        settings = SimpleNamespace(contains=lambda name: warehouse)
+        values = {"spark.sql.warehouse.dir": "file:/w/"} | given
+        context = SimpleNamespace(master=master, getConf=lambda: settings)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, other="": values.get(name, other)), sparkContext=context)
+
+    assert shared_dir(session("yarn", {"spark.checkpoint.dir": "hdfs://x/c/"})) == "hdfs://x/c"
+    assert shared_dir(session("yarn", {}, warehouse=True)) == "file:/w/work"
+    assert shared_dir(session("local[8]", {})) == "file:/w/work"
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(session(master, {}))
+
+
 def test_work_is_dropped(spark, tmp_path):
     from chatprep import session
 
