@@ -27,62 +27,66 @@ EVENT = (
 _NAMES = [field.split(" ")[0] for field in EVENT.split(", ")]
 
 
-class Sessions(StatefulProcessor):
-    """Reads each session's calls in order of time and number."""
-
-    def __init__(self, max_total: int) -> None:
-        self.max_total = max_total
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us long, call_no long", "success boolean, tokens long")
-        self.known = handle.getValueState(
-            "known",
-            "n_calls long, n_errors long, total_tokens long, first_us long, last_us long, run_first long, run_last long, "
-            "run_length long, breached boolean",
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = set()
-        for batch in rows:
-            for ts, call_no, success, tokens in zip(batch["ts"], batch["call_no"], batch["success"], batch["tokens"], strict=True):
-                us = pd.Timestamp(ts).value // 1000
-                self.waiting.updateValue((us, int(call_no)), (bool(success), int(tokens)))
-                times.add(us // 1000)
-        for ms in sorted(times):
-            self.handle.registerTimer(ms + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        ready = sorted(
-            (tuple(place), tuple(call)) for place, call in self.waiting.iterator() if place[0] < upto
-        )
-        if not ready:
+def _sessions(max_total: int) -> StatefulProcessor:
+    """The processor. Its class is made here so that it travels with its code: Spark sets state up in a
+    Python process of its own, which may not find this package.
+    """
+
+    class Sessions(StatefulProcessor):
+        """Reads each session's calls in order of time and number."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "us long, call_no long", "success boolean, tokens long")
+            self.known = handle.getValueState(
+                "known",
+                "n_calls long, n_errors long, total_tokens long, first_us long, last_us long, run_first long, run_last long, "
+                "run_length long, breached boolean",
+            )
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            times = set()
+            for batch in rows:
+                for ts, call_no, success, tokens in zip(batch["ts"], batch["call_no"], batch["success"], batch["tokens"], strict=True):
+                    us = pd.Timestamp(ts).value // 1000
+                    self.waiting.updateValue((us, int(call_no)), (bool(success), int(tokens)))
+                    times.add(us // 1000)
+            for ms in sorted(times):
+                self.handle.registerTimer(ms + 1)
             return iter(())
-        n, errors, total, first_us, last_us, run_first, run_last, run, breached = (
-            self.known.get() if self.known.exists() else (0, 0, 0, ready[0][0][0], 0, 0, 0, 0, False)
-        )
-        out = []
-        for (us, call_no), (success, tokens) in ready:
-            self.waiting.removeKey((us, call_no))
-            n, errors, total, last_us = n + 1, errors + (not success), total + tokens, us
-            if not success:
-                run_first = run_first if run else call_no
-                run_last, run = call_no, run + 1
-            elif run:
-                out.append((key[0], "streak", run_first, run_last, run, None, None, None, None))
-                run = 0
-            if total > self.max_total and not breached:
-                out.append((key[0], "breach", call_no, call_no, 1, n, errors, total, last_us - first_us))
-                breached = True
-        out.append((key[0], "metrics", None, None, run, n, errors, total, last_us - first_us))
-        self.known.update((n, errors, total, first_us, last_us, run_first, run_last, run, breached))
-        # As objects, so that whole numbers with nulls among them stay whole.
-        return iter([pd.DataFrame(out, columns=_NAMES, dtype=object)])
-
-    def close(self) -> None:
-        pass
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            ready = sorted(
+                (tuple(place), tuple(call)) for place, call in self.waiting.iterator() if place[0] < upto
+            )
+            if not ready:
+                return iter(())
+            n, errors, total, first_us, last_us, run_first, run_last, run, breached = (
+                self.known.get() if self.known.exists() else (0, 0, 0, ready[0][0][0], 0, 0, 0, 0, False)
+            )
+            out = []
+            for (us, call_no), (success, tokens) in ready:
+                self.waiting.removeKey((us, call_no))
+                n, errors, total, last_us = n + 1, errors + (not success), total + tokens, us
+                if not success:
+                    run_first = run_first if run else call_no
+                    run_last, run = call_no, run + 1
+                elif run:
+                    out.append((key[0], "streak", run_first, run_last, run, None, None, None, None))
+                    run = 0
+                if total > max_total and not breached:
+                    out.append((key[0], "breach", call_no, call_no, 1, n, errors, total, last_us - first_us))
+                    breached = True
+            out.append((key[0], "metrics", None, None, run, n, errors, total, last_us - first_us))
+            self.known.update((n, errors, total, first_us, last_us, run_first, run_last, run, breached))
+            # As objects, so that whole numbers with nulls among them stay whole.
+            return iter([pd.DataFrame(out, columns=_NAMES, dtype=object)])
+
+        def close(self) -> None:
+            pass
+
+    return Sessions()
 
 
 def live_sessions(calls: DataFrame, watermark: str = "10 minutes", max_total: int = MAX_TOTAL_TOKENS) -> DataFrame:
@@ -104,5 +108,5 @@ def live_sessions(calls: DataFrame, watermark: str = "10 minutes", max_total: in
     )
     placed = rows.where("session_id IS NOT NULL AND call_no IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", watermark)
     return placed.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=Sessions(max_total), outputStructType=EVENT, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=_sessions(max_total), outputStructType=EVENT, outputMode="Append", timeMode="EventTime"
     )

@@ -280,6 +280,13 @@ SELECT event_id, path, rule IS NULL AS allowed, rule,
   matched, CASE WHEN rule IS NULL THEN here END AS resolved
 FROM judged"""
 
+# Calls that the watermark has passed at the end of the events.
+PASSED = f"""{CALLS},
+passed AS (
+  SELECT session_id, call_no, ts, success, length(result) AS tokens FROM calls
+  WHERE epoch_ms(ts) + 1 <= (SELECT max(epoch_ms(ts)) FROM calls) - 600000
+)"""
+
 RESPONSES = r"""
 shaped AS (
   SELECT user_id AS conv_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn,
@@ -662,6 +669,16 @@ ORACLE = {
       FROM audit GROUP BY tool""",
     "error_history": f"WITH {CALLS} SELECT session_id, {ISO} AS ts, call_no, tool, result_preview FROM audit "
     "WHERE NOT success",
+    "policy_sinks": f"""WITH {SCREENED} SELECT 'every' AS sink, event_id, verdict FROM verdicts
+      UNION ALL SELECT 'refused', event_id, verdict FROM verdicts WHERE verdict = 'refused'""",
+    "live_streaks": f"""WITH {PASSED}, runs AS (
+        SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, call_no) AS run,
+          max(CASE WHEN success THEN call_no END) OVER (PARTITION BY session_id) AS last_ok FROM passed
+      )
+      SELECT session_id, min(call_no) AS first_call, max(call_no) AS last_call, count(*) AS length FROM runs
+      WHERE NOT success GROUP BY session_id, run HAVING max(call_no) < any_value(last_ok)""",
+    "live_metrics": f"""WITH {PASSED} SELECT session_id, count(*) AS n_calls, count(*) FILTER (NOT success) AS n_errors,
+      sum(tokens)::BIGINT AS total_tokens, epoch_us(max(ts)) - epoch_us(min(ts)) AS elapsed_us FROM passed GROUP BY session_id""",
     "split_exact": f"WITH {EXACT} SELECT * FROM parts",
     "split_counts": f"WITH {EXACT} SELECT split, count(*) AS n_rows FROM parts GROUP BY split",
     "split_hash": f"SELECT conv_id, turn, {held_out('conv_id', TWENTIETH)} AS split FROM conversations",

@@ -15,6 +15,7 @@ from chatprep.session import new_path
 from chatprep.sources import corpus as files
 from chatprep.sources import pairs, tables
 from chatprep.streaming import audit as streams
+from chatprep.streaming import sessions, sinks
 from checks import derived
 from checks.derived import table
 
@@ -667,6 +668,47 @@ def policy_stream(spark, sf):
     return spark.read.parquet(out).select("event_id", "tool", "rule", "verdict")
 
 
+def policy_sinks(spark, sf):
+    """Every screened call, and the refused ones again in a sink of their own, each once."""
+    out = new_path(spark, "sinks")
+    screened = streams.policy_stream(_arriving_calls(spark, sf), ROOTS).select("event_id", "verdict")
+    chosen = {"every": F.lit(True), "refused": F.col("verdict") == "refused"}
+    # The second start finds nothing new and writes nothing.
+    progress = new_path(spark, "progress")
+    for _ in range(2):
+        sinks.write_sinks(screened, chosen, out, progress).awaitTermination()
+    both = [sinks.read_sink(spark, f"{out}/{name}", "event_id BIGINT, verdict STRING").withColumn("sink", F.lit(name)) for name in chosen]
+    return both[0].unionByName(both[1]).select("sink", "event_id", "verdict")
+
+
+def _live(spark, sf):
+    source, out = new_path(spark, "calls"), new_path(spark, "live")
+    tokens = F.length("result").cast("long").alias("tokens")
+    rows = derived.calls(spark, sf).select("session_id", "call_no", F.col("ts").cast("timestamp").alias("ts"), "success", tokens)
+    rows.write.parquet(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, sessions.STATE_STORE)
+    try:
+        live = sessions.live_sessions(spark.readStream.schema(rows.schema).parquet(source))
+        streams.write_stream(live, out, new_path(spark, "progress")).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(sessions.EVENT).parquet(out)
+
+
+def live_streaks(spark, sf):
+    """Streaks that a success has ended, as calls arrive."""
+    return _live(spark, sf).where("kind = 'streak'").select("session_id", "first_call", "last_call", "length")
+
+
+def live_metrics(spark, sf):
+    """The last figures of each session as its calls arrive."""
+    found = _live(spark, sf).where("kind = 'metrics'")
+    last = F.max_by(F.struct("n_calls", "n_errors", "total_tokens", "elapsed_us"), "n_calls").alias("last")
+    return found.groupBy("session_id").agg(last).select("session_id", "last.*")
+
+
 QUERIES = {
     "src_csv": src_csv,
     "src_json": src_json,
@@ -764,4 +806,7 @@ QUERIES = {
     "audit_windows": audit_windows,
     "audit_stream": audit_stream,
     "policy_stream": policy_stream,
+    "policy_sinks": policy_sinks,
+    "live_streaks": live_streaks,
+    "live_metrics": live_metrics,
 }
