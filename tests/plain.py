@@ -74,4 +74,4 @@ def random_tree(seed, names="abc", depth=3):
         # A link stands in a folder, not below another link.
         if not any(place.startswith(f"{p}/") or p.startswith(f"{place}/") for p in links):
             links[place] = pick.choice(["", "/"]) + path(depth)
-    return links, sorted({pick.choice(["", "/"]) + path(5) for _ in range(25)})
+    return links, sorted({pick.choice(["", "/"]) + path(5) for _ in range(60)})

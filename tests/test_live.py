@@ -16,11 +16,14 @@ START = dt.datetime(2024, 1, 1)
 
 @pytest.fixture
 def state_store(spark):
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, STATE_STORE)
+    # Few partitions: each has a store of its own.
+    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.shuffle.partitions": "2"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     yield
-    spark.conf.set(name, before)
+    for name, value in before.items():
+        spark.conf.set(name, value)
 
 
 def _arrive(spark, rows, source):
