@@ -16,6 +16,11 @@ occur twice has to be compared:
    common prefixes of neighbours are carried along. Neighbours that have ``SPAN``
    symbols in common are equal strings, and all but the earliest of them are covered.
 
+A class with many contexts is cut first: a string reaches so far to the left of its
+anchor or so far to the right, so contexts that share it also share what lies between
+the nearest such bounds, and meet in a smaller class. Anchors that very many texts have
+are counted in a first pass; their occurrences are dealt by context and text.
+
 Inserting whole documents that way would take as many rounds over the corpus as the
 longest one has bytes; contexts take a fixed number of rounds. What the external files
 of a round are elsewhere, sorted runs of the shuffle are here, read once, in order.
@@ -33,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatprep.llm.arrow import bytes_of, slices
+from chatprep.llm.common import written
 from chatprep.llm.rolling import Ranges
 
 SPAN = 100
@@ -40,9 +46,17 @@ ANCHOR = 32
 #: Bytes that are worked on at once, and contexts that are sorted at once.
 PIECE = 1 << 18
 CONTEXTS = 1 << 16
-#: Occurrences of an anchor from which on its strings are compared by their hashes in
-#: a join instead of in one task.
-CLASS = 1 << 20
+#: Contexts of an anchor from which on its class is cut, and ways in which it is; a part
+#: that is still as large has its strings compared by their hashes in a join.
+CLASS = 1 << 12
+CUTS = 8
+#: An anchor is frequent that has more occurrences than so many full classes and than
+#: one part in ``FREQUENT`` of all. A class of such an anchor is dealt in ``DEALS`` ways.
+CLASSES = 16
+FREQUENT = 1 << 16
+DEALS = 16
+#: Contexts whose bytes are put into columns at once.
+ROWS = 1 << 12
 #: Not a byte of any UTF-8 text.
 _PAD = 255
 
@@ -107,6 +121,70 @@ def _pieces(ends: np.ndarray, sizes: Sizes) -> Iterator[list[tuple[int, int, int
         yield group
 
 
+class Frequent:
+    """The most frequent of many values, in bounded memory.
+
+    A value that is one part in ``size`` of all is among ``counts``; a count is short by
+    at most that part.
+    """
+
+    def __init__(self, size: int) -> None:
+        self._size = size
+        self._values, self._times = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self._waiting: list[np.ndarray] = []
+        self._held, self.total = 0, 0
+
+    def add(self, values: np.ndarray) -> None:
+        self._waiting.append(values)
+        self._held += len(values)
+        self.total += len(values)
+        if self._held >= 8 * self._size:
+            self._merge()
+
+    def _merge(self) -> None:
+        values, times = np.unique(np.concatenate([*self._waiting, np.empty(0, np.uint64)]), return_counts=True)
+        self._waiting, self._held = [], 0
+        every, at = np.unique(np.concatenate([self._values, values]), return_inverse=True)
+        sums = np.zeros(len(every), np.int64)
+        np.add.at(sums, at, np.concatenate([self._times, times]))
+        if len(every) > self._size:
+            # What is taken from one is taken from each of the more frequent ones.
+            sums -= np.partition(sums, len(sums) - self._size - 1)[len(sums) - self._size - 1]
+        self._values, self._times = every[sums > 0], sums[sums > 0]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Values and counts, without those that are too rare to matter."""
+        self._merge()
+        some = self._times > self.total // self._size
+        return self._values[some], self._times[some]
+
+
+def _frequent(texts: DataFrame, sizes: Sizes, largest: int, part: int) -> DataFrame:
+    """``anchor`` and ``_hot``, true: at most ``part`` anchors that occur very often in the texts (key, id, text).
+
+    What is found only decides how the occurrences are dealt, never what is covered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = Frequent(part)
+        for batch in slices(batches, 0, 8 * PIECE):
+            data, ends = bytes_of(batch.column(0))
+            begins = np.concatenate([[0], ends[:-1]])
+            for group in _pieces(ends, sizes):
+                parts = [data[begins[row] + low : begins[row] + high] for row, low, _, _, high in group]
+                counted.add(anchors(np.concatenate(parts), sizes)[1])
+        values, times = counted.counts()
+        names = pa.array([*values.view(np.int64).tolist(), None], pa.int64())
+        yield pa.RecordBatch.from_arrays([names, pa.array([*times.tolist(), counted.total], pa.int64())], ["anchor", "times"])
+
+    counts = texts.select("text").mapInArrow(run, "anchor long, times long")
+    # A row for each task and frequent anchor, then one for each anchor; the one without is all.
+    counts = written(counts.groupBy("anchor").agg(F.sum("times").alias("times")), "anchors")
+    total = counts.where("anchor is null").agg(F.max("times")).first()[0] or 0
+    least = max(CLASSES * largest, total // part)
+    return counts.where(F.col("anchor").isNotNull() & (F.col("times") > least)).select("anchor", F.lit(True).alias("_hot"))
+
+
 def _seen_before(row: np.ndarray, hashes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Whether an anchor with the same context stands further left in the same part of a text."""
     order = np.lexsort((contexts, hashes, row))
@@ -168,7 +246,7 @@ def _occurrences(texts: DataFrame, sizes: Sizes) -> DataFrame:
 
 
 def _contexts(wanted: DataFrame, sizes: Sizes) -> DataFrame:
-    """The bytes around each wanted anchor (key, id, text, places: array of (anchor, at, large))."""
+    """The bytes around each wanted anchor (key, id, text, places: array of (anchor, at))."""
     id_type = wanted.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +267,16 @@ def _contexts(wanted: DataFrame, sizes: Sizes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     flat.field("anchor"),
-                    flat.field("large"),
                     batch.column(1).take(taken),
                     batch.column(0).take(taken),
                     pa.array(at.astype(np.int32)),
                     pa.array(left.astype(np.int32)),
                     pa.array(found, pa.binary()),
                 ],
-                ["anchor", "large", "id", "key", "at", "left", "bytes"],
+                ["anchor", "id", "key", "at", "left", "bytes"],
             )
 
-    return wanted.mapInArrow(
-        run, f"anchor long, large boolean, id {id_type}, key binary, at int, left int, bytes binary"
-    )
+    return wanted.mapInArrow(run, f"anchor long, id {id_type}, key binary, at int, left int, bytes binary")
 
 
 class Collection:
@@ -266,16 +341,24 @@ def _compare(batch: pa.Table, sizes: Sizes) -> pa.RecordBatch:
         batch, [("id", "ascending"), ("key", "ascending"), ("at", "ascending")], null_placement="at_end"
     )
     batch = batch.take(order).combine_chunks()
+    # An occurrence that is in several classes is compared once, or it would meet itself.
+    again = pc.and_(
+        pc.equal(batch.column("key").slice(1), batch.column("key").slice(0, max(len(batch) - 1, 0))),
+        pc.equal(batch.column("at").slice(1), batch.column("at").slice(0, max(len(batch) - 1, 0))),
+    )
+    batch = batch.filter(np.append(True, ~again.to_numpy().astype(bool))[: len(batch)]).combine_chunks()
     at = batch.column("at").to_numpy().astype(np.int64)
     left = batch.column("left").to_numpy().astype(np.int64)
     found = batch.column("bytes").to_pylist()
     lengths = np.array([len(each) for each in found])
     # Contexts stand with their anchors below each other.
     matrix = np.full((len(found), sizes.context), _PAD, np.uint8)
-    flat = np.frombuffer(b"".join(found), np.uint8)
-    row = np.repeat(np.arange(len(found)), lengths)
-    column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + (sizes.reach - left)[row]
-    matrix[row, column] = flat
+    for begin in range(0, len(found), ROWS):
+        size = lengths[begin : begin + ROWS]
+        flat = np.frombuffer(b"".join(found[begin : begin + ROWS]), np.uint8)
+        row = np.repeat(np.arange(begin, begin + len(size)), size)
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + (sizes.reach - left)[row]
+        matrix[row, column] = flat
     valid = np.column_stack([sizes.reach - left, sizes.reach - left + lengths - sizes.span])
     first, last = covered_spans(matrix, valid, sizes)
     some = np.flatnonzero(last >= first)
@@ -316,14 +399,49 @@ def _sorted_classes(contexts: DataFrame, sizes: Sizes) -> DataFrame:
     return rows.select("anchor", "id", "key", "at", "left", "bytes").mapInArrow(run, "key binary, start int, stop int")
 
 
+def _cut_classes(contexts: DataFrame, sizes: Sizes, ways: int) -> DataFrame:
+    """Each context once for each way in which a string can lie around its anchor.
+
+    A string begins ``low`` to ``high`` bytes before the anchor, so it holds the ``low``
+    bytes before it and those after it that even the furthest start leaves. The hash of
+    these is the class, still named ``anchor``; two that meet by chance do no harm, since
+    bytes are compared, and an occurrence only once.
+    """
+    ways = min(ways, sizes.reach + 1)
+    edges = [k * (sizes.reach + 1) // ways for k in range(ways + 1)]
+    way = F.explode(
+        F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b - 1).alias("high")) for a, b in zip(edges, edges[1:], strict=False)])
+    )
+    rows = contexts.select("id", "key", "at", "left", "bytes", way.alias("_way"))
+    after = sizes.reach - F.col("_way.high")
+    right = F.length("bytes") - F.col("left") - sizes.anchor
+    rows = rows.where((F.col("left") >= F.col("_way.low")) & (right >= after))
+    shared = F.substring("bytes", F.col("left") - F.col("_way.low") + 1, F.col("_way.low") + sizes.anchor + after)
+    return rows.select(F.xxhash64("_way.low", shared).alias("anchor"), *rows.columns)
+
+
+def _large_classes(contexts: DataFrame, sizes: Sizes, largest: int) -> DataFrame:
+    """Covered parts of classes with many contexts, cut to smaller ones."""
+    rows = _cut_classes(contexts, sizes, CUTS)
+    # Sums before the shuffle; a class of its own compares with nothing.
+    company = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    rows = rows.join(company, "anchor")
+    return _sorted_classes(rows.where(F.col("_size") <= largest), sizes).unionByName(
+        _joined_classes(rows.where(F.col("_size") > largest), sizes)
+    )
+
+
 def _joined_classes(contexts: DataFrame, sizes: Sizes) -> DataFrame:
-    """Covered parts of very large classes: strings by their hash, the earliest found by aggregation."""
-    starts = F.sequence(F.lit(1), F.length("bytes") - sizes.span + 1)
-    rows = contexts.where(F.length("bytes") >= sizes.span).select("*", F.explode(starts).alias("_n"))
-    string = F.sha2(F.substring("bytes", F.col("_n"), sizes.span), 256)
-    begin = F.col("at") - F.col("left") + F.col("_n") - 1
-    place = F.struct(F.col("id").isNull(), "id", "key", begin.alias("start"))
-    rows = rows.select(string.alias("_string"), "key", begin.alias("start"), place.alias("_place"))
+    """Covered parts of classes that are large when cut: strings by their hash, the earliest found by aggregation."""
+    # From the furthest start of the class's way to the nearest, as far as the context has them.
+    begin = F.greatest(F.col("left") - F.col("_way.high"), F.lit(0))
+    end = F.least(F.col("left") - F.col("_way.low"), F.length("bytes") - sizes.span)
+    starts = F.when(begin <= end, F.sequence(begin, end))
+    rows = contexts.select("*", F.explode(starts).alias("_n"))
+    string = F.sha2(F.substring("bytes", F.col("_n") + 1, sizes.span), 256)
+    start = F.col("at") - F.col("left") + F.col("_n")
+    place = F.struct(F.col("id").isNull(), "id", "key", start.alias("start"))
+    rows = rows.select(string.alias("_string"), "key", start.alias("start"), place.alias("_place"))
     first = rows.groupBy("_string").agg(F.min("_place").alias("_first"))
     late = rows.join(first, "_string").where(F.col("_place") > F.col("_first"))
     return late.select("key", "start", (F.col("start") + sizes.span).cast("int").alias("stop"))
@@ -385,7 +503,13 @@ def merged(starts: list[int] | None, stops: list[int] | None) -> list[tuple[int,
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str, text_col: str, span: int = SPAN, anchor: int = ANCHOR, largest: int = CLASS
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    span: int = SPAN,
+    anchor: int = ANCHOR,
+    largest: int = CLASS,
+    frequent: int = FREQUENT,
 ) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``spans``.
 
@@ -408,42 +532,52 @@ def remove_repeats(
     texts = rows.groupBy("key").agg(F.first("text").alias("text"), place)
     texts = texts.select("key", F.col("place.id").alias("id"), "text")
 
-    found = _occurrences(texts, sizes)
-    in_class = Window.partitionBy("anchor")
+    # At most ``frequent`` rows. Their classes are dealt by context, and a context by text:
+    # the first of each part goes on, and of these again the earliest covers the rest.
+    hot = _frequent(rows, sizes, largest, frequent)
+    found = _occurrences(texts, sizes).join(F.broadcast(hot), "anchor", "left")
+    deal = F.xxhash64("context", F.pmod(F.xxhash64("key"), F.lit(DEALS)))
+    found = found.withColumn("_deal", F.when(F.col("_hot"), deal))
+    in_class = Window.partitionBy("anchor", "_deal")
     in_order = in_class.orderBy("context", F.asc_nulls_last("id"), "key", "at")
     found = found.select(
-        "*",
-        F.lag("context").over(in_order).alias("_before"),
-        F.max("context").over(in_class).alias("_last"),
-        F.count(F.lit(1)).over(in_class).alias("_size"),
+        "*", F.lag("context").over(in_order).alias("_before"), F.max("context").over(in_class).alias("_last")
     )
     # Another occurrence of the same context is covered by the first as far as a string reaches.
     again = (F.col("at") < 0) | F.coalesce(F.col("_before") == F.col("context"), F.lit(False))
-    alone = F.col("_before").isNull() & (F.col("_last") == F.col("context"))
-    found = found.withColumn("_again", again).where(again | ~alone)
-    found = found.withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")))
-    places = found.groupBy("key").agg(
-        F.collect_list(F.when(F.col("_again"), F.col("at"))).alias("covered"),
-        F.collect_list(
-            F.when(~F.col("_again"), F.struct("anchor", "at", (F.col("_size") > largest).alias("large")))
-        ).alias("compared"),
-    )
-    # Both uses of the places read one table; it is small beside the texts.
-    wanted = texts.join(places.where(F.size("compared") > 0), "key").select("key", "id", "text", "compared")
-    contexts = _contexts(wanted, sizes)
-    spans = _sorted_classes(contexts.where("not large"), sizes).unionByName(
-        _joined_classes(contexts.where("large"), sizes)
+    alone = F.col("_hot").isNull() & F.col("_before").isNull() & (F.col("_last") == F.col("context"))
+    found = found.withColumn("_again", again).withColumn("_alone", alone)
+    size = F.count(F.when(~F.col("_again"), True)).over(in_class)
+    found = found.withColumn("_large", F.col("_hot").isNotNull() | (size > largest)).where("_again or not _alone")
+    place = F.struct(
+        F.when(~F.col("_again"), F.col("anchor")).alias("anchor"),
+        F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"),
+        F.when(~F.col("_again"), F.col("_large")).alias("large"),
     )
+    # All uses of the places are of this one table, so that classes are sorted once.
+    places = found.groupBy("key").agg(F.collect_list(place).alias("places"))
+    placed = texts.join(places, "key", "left").select("key", "id", "text", "places")
+
+    def wanted(large: bool) -> DataFrame:
+        """Contexts of the classes that are large, or of all others; a covered place is in no class."""
+        chosen = F.filter("places", lambda p: p["large"] == F.lit(large))
+        chosen = F.transform(chosen, lambda p: F.struct(p["anchor"].alias("anchor"), p["at"].alias("at")))
+        some = placed.select("key", "id", "text", chosen.alias("chosen")).where(F.size("chosen") > 0)
+        return _contexts(some, sizes)
+
+    spans = _sorted_classes(wanted(False), sizes).unionByName(_large_classes(wanted(True), sizes, largest))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    covered = F.filter("places", lambda p: p["large"].isNull())
     whole = F.transform(
-        F.coalesce("covered", F.array().cast("array<int>")),
-        lambda at: F.struct(
-            F.greatest(at - sizes.reach, F.lit(0)).alias("start"),
-            F.least(at + sizes.anchor + sizes.reach, F.octet_length("text")).alias("stop"),
+        covered,
+        lambda p: F.struct(
+            F.greatest(p["at"] - sizes.reach, F.lit(0)).alias("start"),
+            F.least(p["at"] + sizes.anchor + sizes.reach, F.octet_length("text")).alias("stop"),
         ),
     )
-    every = F.concat(whole, F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")))
-    ends = texts.join(places.select("key", "covered"), "key", "left").join(spans, "key", "left")
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    every = F.concat(F.coalesce(whole, none), F.coalesce("spans", none))
+    ends = placed.join(spans, "key", "left")
     ends = ends.select("key", "id", "text", every.alias("spans"))
     kept = _kept(
         ends.select("key", "id", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))

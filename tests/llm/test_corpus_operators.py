@@ -1,7 +1,10 @@
 """Operators that compare rows with each other, against plain loops."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from loops import SCHEMA, contained, fingerprint, linked, mixed, odd_documents, without_repeats
 from pyspark.sql import functions as F
@@ -93,13 +96,13 @@ def test_mix_taken_keeps_columns(docs):
     assert 0 < found.count() <= len(odd_documents())
 
 
-@pytest.mark.parametrize("largest", [1 << 20, 2])
+@pytest.mark.parametrize(("largest", "frequent"), [(1 << 20, 64), (20, 64), (2, 64), (2, 1)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_in_small_alphabets(spark, largest, seed):
+def test_repeats_in_small_alphabets(spark, largest, frequent, seed):
     pick = random.Random(seed)
     rows = [(k, "".join(pick.choices("ab", k=pick.randint(0, 50)))) for k in range(150)]
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    found = suffix_dedup.remove_repeats(table, "doc_id", "text", span=8, anchor=3, largest=largest)
+    found = suffix_dedup.remove_repeats(table, "doc_id", "text", span=8, anchor=3, largest=largest, frequent=frequent)
     wanted = without_repeats(rows, 8)
     for r in found.collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == wanted[r.doc_id]
@@ -119,6 +122,71 @@ def test_repeats_of_passages(spark, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == wanted[k]
 
 
+@pytest.mark.parametrize("frequent", [1 << 16, 1])
+def test_repeats_of_one_line(spark, monkeypatch, frequent):
+    pick = random.Random(9)
+    line = "".join(pick.choices("abcdefgh ", k=140))
+    rows = [(k, "".join(pick.choices("abcdefgh ", k=30)) + line + "".join(pick.choices("xyz", k=30))) for k in range(120)]
+    monkeypatch.setattr(suffix_dedup, "CLASSES", 2)
+    sizes = suffix_dedup.Sizes(suffix_dedup.SPAN, suffix_dedup.ANCHOR)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hot = suffix_dedup._frequent(table, sizes, 8, frequent)
+    # A line in all texts is found; with one anchor at most, none has more than all occurrences.
+    assert (hot.count() > 0) == (frequent > 1)
+    found = suffix_dedup.remove_repeats(table, "doc_id", "text", largest=8, frequent=frequent)
+    wanted = without_repeats(rows)
+    for r in found.collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == wanted[r.doc_id]
+
+
+def test_cut_classes_meet(spark):
+    """Contexts that share a string of the span around their anchor are in one part of the class at least."""
+    pick = random.Random(3)
+    sizes = suffix_dedup.Sizes(20, 4)
+    rows, shared = [], "".join(pick.choices("abc", k=16))
+    for k in range(17):
+        # One string of 20 bytes, its anchor k bytes from its start, with other bytes around it.
+        string = shared[:k] + "ANCH" + shared[k:]
+        for n in range(2):
+            before, after = "".join(pick.choices("xyz", k=16 - k)), "".join(pick.choices("xyz", k=k))
+            rows.append((k, f"{k}-{n}".encode(), 100, 16, (before + string + after).encode()))
+    table = spark.createDataFrame(rows, "id long, key binary, at int, left int, bytes binary")
+    cut = suffix_dedup._cut_classes(table, sizes, 5)
+    pairs = cut.alias("a").join(cut.alias("b"), "anchor").where("a.id = b.id and a.key < b.key")
+    assert {r[0] for r in pairs.select("a.id").collect()} == set(range(17))
+    assert cut.count() <= 5 * len(rows)
+
+
+def test_frequent_values_in_bounded_memory():
+    pick = random.Random(4)
+    values = [7] * 3000 + [11] * 1500 + [pick.getrandbits(60) for _ in range(20_000)]
+    pick.shuffle(values)
+    counted = suffix_dedup.Frequent(32)
+    for at in range(0, len(values), 100):
+        counted.add(np.array(values[at : at + 100], np.uint64))
+    found = dict(zip(*(part.tolist() for part in counted.counts()), strict=True))
+    assert set(found) >= {7, 11} and len(found) <= 32
+    assert all(values.count(v) - len(values) / 32 <= n <= values.count(v) for v, n in found.items())
+    empty = suffix_dedup.Frequent(4)
+    assert [len(part) for part in empty.counts()] == [0, 0]
+
+
+def test_large_class_in_bounded_memory():
+    sizes = suffix_dedup.Sizes(suffix_dedup.SPAN, suffix_dedup.ANCHOR)
+    n = 1 << 16
+    pick = np.random.default_rng(1)
+    found = [pick.integers(97, 122, sizes.context, np.uint8).tobytes() for _ in range(n)]
+    batch = pa.table({
+        "id": pa.array(range(n), pa.int64()), "key": pa.array([b"k"] * n), "at": pa.array([sizes.reach] * n, pa.int32()),
+        "left": pa.array([sizes.reach] * n, pa.int32()), "bytes": pa.array(found, pa.binary()),
+    })
+    tracemalloc.start()
+    assert suffix_dedup._compare(batch, sizes).num_rows == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
 def test_repeats_of_odd_rows(docs):
     found = suffix_dedup.remove_repeats(docs, "doc_id", "text")
     rows = sorted(((r[0], r[1]) for r in odd_documents()), key=lambda r: r[0])
