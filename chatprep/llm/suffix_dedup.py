@@ -47,12 +47,13 @@ ANCHOR = 32
 PIECE = 1 << 18
 CONTEXTS = 1 << 16
 #: Contexts of an anchor from which on its class is cut, and ways in which it is; a part
-#: that is still as large has its strings compared by their hashes in a join.
-CLASS = 1 << 12
+#: that is still as large has its strings compared by their hashes in a join. A task
+#: sorts ``CONTEXTS`` at once in any case, so smaller classes gain nothing by a cut.
+CLASS = 1 << 15
 CUTS = 8
 #: An anchor is frequent that has more occurrences than so many full classes and than
 #: one part in ``FREQUENT`` of all. A class of such an anchor is dealt in ``DEALS`` ways.
-CLASSES = 16
+CLASSES = 2
 FREQUENT = 1 << 16
 DEALS = 16
 #: Contexts whose bytes are put into columns at once.
@@ -341,12 +342,6 @@ def _compare(batch: pa.Table, sizes: Sizes) -> pa.RecordBatch:
         batch, [("id", "ascending"), ("key", "ascending"), ("at", "ascending")], null_placement="at_end"
     )
     batch = batch.take(order).combine_chunks()
-    # An occurrence that is in several classes is compared once, or it would meet itself.
-    again = pc.and_(
-        pc.equal(batch.column("key").slice(1), batch.column("key").slice(0, max(len(batch) - 1, 0))),
-        pc.equal(batch.column("at").slice(1), batch.column("at").slice(0, max(len(batch) - 1, 0))),
-    )
-    batch = batch.filter(np.append(True, ~again.to_numpy().astype(bool))[: len(batch)]).combine_chunks()
     at = batch.column("at").to_numpy().astype(np.int64)
     left = batch.column("left").to_numpy().astype(np.int64)
     found = batch.column("bytes").to_pylist()
@@ -405,7 +400,8 @@ def _cut_classes(contexts: DataFrame, sizes: Sizes, ways: int) -> DataFrame:
     A string begins ``low`` to ``high`` bytes before the anchor, so it holds the ``low``
     bytes before it and those after it that even the furthest start leaves. The hash of
     these is the class, still named ``anchor``; two that meet by chance do no harm, since
-    bytes are compared, and an occurrence only once.
+    bytes are compared. Of the bytes those go on that such a string can reach: no string
+    is in two ways, and an occurrence never meets itself.
     """
     ways = min(ways, sizes.reach + 1)
     edges = [k * (sizes.reach + 1) // ways for k in range(ways + 1)]
@@ -417,7 +413,16 @@ def _cut_classes(contexts: DataFrame, sizes: Sizes, ways: int) -> DataFrame:
     right = F.length("bytes") - F.col("left") - sizes.anchor
     rows = rows.where((F.col("left") >= F.col("_way.low")) & (right >= after))
     shared = F.substring("bytes", F.col("left") - F.col("_way.low") + 1, F.col("_way.low") + sizes.anchor + after)
-    return rows.select(F.xxhash64("_way.low", shared).alias("anchor"), *rows.columns)
+    left = F.least("left", "_way.high")
+    reached = left + sizes.anchor + F.least(right, sizes.reach - F.col("_way.low"))
+    return rows.select(
+        F.xxhash64("_way.low", shared).alias("anchor"),
+        "id",
+        "key",
+        "at",
+        left.alias("left"),
+        F.substring("bytes", F.col("left") - left + 1, reached).alias("bytes"),
+    )
 
 
 def _large_classes(contexts: DataFrame, sizes: Sizes, largest: int) -> DataFrame:
@@ -433,11 +438,8 @@ def _large_classes(contexts: DataFrame, sizes: Sizes, largest: int) -> DataFrame
 
 def _joined_classes(contexts: DataFrame, sizes: Sizes) -> DataFrame:
     """Covered parts of classes that are large when cut: strings by their hash, the earliest found by aggregation."""
-    # From the furthest start of the class's way to the nearest, as far as the context has them.
-    begin = F.greatest(F.col("left") - F.col("_way.high"), F.lit(0))
-    end = F.least(F.col("left") - F.col("_way.low"), F.length("bytes") - sizes.span)
-    starts = F.when(begin <= end, F.sequence(begin, end))
-    rows = contexts.select("*", F.explode(starts).alias("_n"))
+    starts = F.sequence(F.lit(0), F.length("bytes") - sizes.span)
+    rows = contexts.where(F.length("bytes") >= sizes.span).select("*", F.explode(starts).alias("_n"))
     string = F.sha2(F.substring("bytes", F.col("_n") + 1, sizes.span), 256)
     start = F.col("at") - F.col("left") + F.col("_n")
     place = F.struct(F.col("id").isNull(), "id", "key", start.alias("start"))
@@ -535,9 +537,10 @@ def remove_repeats(
     # At most ``frequent`` rows. Their classes are dealt by context, and a context by text:
     # the first of each part goes on, and of these again the earliest covers the rest.
     hot = _frequent(rows, sizes, largest, frequent)
-    found = _occurrences(texts, sizes).join(F.broadcast(hot), "anchor", "left")
-    deal = F.xxhash64("context", F.pmod(F.xxhash64("key"), F.lit(DEALS)))
-    found = found.withColumn("_deal", F.when(F.col("_hot"), deal))
+    found = _occurrences(texts, sizes)
+    deal = F.when(F.col("_hot"), F.xxhash64("context", F.pmod(F.xxhash64("key"), F.lit(DEALS))))
+    found = found.join(F.broadcast(hot), "anchor", "left").select(*found.columns, deal.alias("_deal"))
+    is_hot = F.col("_deal").isNotNull()
     in_class = Window.partitionBy("anchor", "_deal")
     in_order = in_class.orderBy("context", F.asc_nulls_last("id"), "key", "at")
     found = found.select(
@@ -545,10 +548,10 @@ def remove_repeats(
     )
     # Another occurrence of the same context is covered by the first as far as a string reaches.
     again = (F.col("at") < 0) | F.coalesce(F.col("_before") == F.col("context"), F.lit(False))
-    alone = F.col("_hot").isNull() & F.col("_before").isNull() & (F.col("_last") == F.col("context"))
+    alone = ~is_hot & F.col("_before").isNull() & (F.col("_last") == F.col("context"))
     found = found.withColumn("_again", again).withColumn("_alone", alone)
     size = F.count(F.when(~F.col("_again"), True)).over(in_class)
-    found = found.withColumn("_large", F.col("_hot").isNotNull() | (size > largest)).where("_again or not _alone")
+    found = found.withColumn("_large", is_hot | (size > largest)).where("_again or not _alone")
     place = F.struct(
         F.when(~F.col("_again"), F.col("anchor")).alias("anchor"),
         F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("at"),
