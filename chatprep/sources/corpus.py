@@ -16,7 +16,7 @@ from chatprep.sources.walk import spark_files, walk
 
 #: Largest file that is one row: its text may be three times as long where its bytes are no UTF-8.
 ROW_BYTES = 1 << 29
-#: Bytes of a file that are one task's piece of it, and bytes that a task is dealt in all.
+#: Bytes of a file that are one task's run of it, and bytes that a task is dealt in all.
 RANGE_BYTES = 1 << 26
 TASK_BYTES = 1 << 27
 #: Bytes that leave a reader at once.
@@ -24,58 +24,91 @@ FLUSH_BYTES = 1 << 22
 TOO_LARGE_FOR_A_ROW = "too large for one row"
 
 
+def _run_bytes(size: int) -> int:
+    """Bytes of a run: as many ranges of ``size`` bytes as fit ``RANGE_BYTES``, one at least."""
+    return size * max(1, RANGE_BYTES // size)
+
+
 def _ranges(entries: DataFrame, size: int | None) -> DataFrame:
-    """One row for each range of ``size`` bytes of each file, or for each whole file, dealt out evenly."""
+    """One row for each run of ranges of ``size`` bytes of each file, or for each whole file, dealt out evenly."""
     files = entries.where("kind = 'file'").select("path", "length")
-    if size is None:
-        rows = files.select("*", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("n_parts"))
-    else:
-        n = F.greatest(F.ceil(F.col("length") / size).cast("long"), F.lit(1).cast("long"))
-        rows = files.withColumn("n_parts", n)
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"))
     held = files.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
     tasks = max(entries.sparkSession.sparkContext.defaultParallelism, -(-held // TASK_BYTES))
-    # A file's ranges are spread, and those of one task are read file by file.
-    run = F.floor(F.col("part") * (size or 1) / TASK_BYTES)
-    return rows.repartition(tasks, "path", run).sortWithinPartitions("path", "part")
+    if size is None:
+        rows = files.select("*", F.lit(0).cast("long").alias("run"), F.lit(1).cast("long").alias("n_runs"))
+        return rows.repartition(tasks, "path").sortWithinPartitions("path")
+    n = F.greatest(F.ceil(F.col("length") / _run_bytes(size)).cast("long"), F.lit(1).cast("long"))
+    rows = files.withColumn("n_runs", n)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_runs") - 1)).alias("run"))
+    # A file's runs are spread, and those of one task are read file by file.
+    spread = F.floor(F.col("run") * _run_bytes(size) / TASK_BYTES)
+    return rows.repartition(tasks, "path", spread).sortWithinPartitions("path", "run")
 
 
 def _read(ranges: DataFrame, store: Store, size: int | None) -> DataFrame:
-    """``path, length, part, n_parts, content, reason``: whole lines of each range, or whole files."""
-    columns = ["path", "length", "part", "n_parts"]
+    """``path, length, run, part, content, reason, lines``: whole lines of each range, or whole files.
+
+    A task cuts a run into its ranges and counts the lines of the run before each range.
+    """
+    columns = ["path", "length", "run"]
+    run_bytes = size and _run_bytes(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
 
         def out() -> pa.RecordBatch:
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            types = [pa.string(), *[pa.int64()] * 3, pa.binary(), pa.string(), pa.int64()]
             cells = zip(*rows, strict=True) if rows else [[]] * len(types)
             arrays = [pa.array(cell, kind) for cell, kind in zip(cells, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, [*columns, "content", "reason"])
+            return pa.RecordBatch.from_arrays(arrays, [*columns, "part", "content", "reason", "lines"])
 
         with open_store(store) as opener:
             for batch in batches:
-                for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    path, length, part, _ = row
-                    content, reason = None, None
-                    try:
-                        if size is None:
-                            content = opener.whole(path, length)
-                        else:
-                            content = opener.lines(path, part * size, min((part + 1) * size, length), length)
-                    except OSError as error:
-                        reason = str(error)[:200]
-                    rows.append((*row, content, reason))
-                    held += 100 + len(content or b"")
-                    if held >= FLUSH_BYTES:
-                        yield out()
-                        rows, held = [], 0
+                for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    path, length, number = row
+                    if size is None:
+                        part, end, pieces = 0, 1, opener.wholes(path, length)
+                    else:
+                        start = number * run_bytes
+                        stop = min(start + run_bytes, length)
+                        part, end = start // size, max(-(-stop // size), start // size + 1)
+                        pieces = opener.pieces(path, start, stop, size, length)
+                    lines, reason = 0, None
+                    while part < end:
+                        content = None
+                        if reason is None:
+                            try:
+                                content = next(pieces)
+                            except OSError as error:
+                                reason = str(error)[:200]
+                        rows.append((*row, part, content, reason, lines))
+                        part += 1
+                        if content:
+                            held += len(content)
+                            # Nobody asks for the lines before the next whole file.
+                            lines += 0 if size is None or part == end else _lines(content)
+                        held += 100
+                        if held >= FLUSH_BYTES:
+                            yield out()
+                            rows, held = [], 0
         yield out()
 
-    schema = "path string, length long, part long, n_parts long, content binary, reason string"
+    schema = "path string, length long, run long, part long, content binary, reason string, lines long"
     return ranges.select(*columns).mapInArrow(run, schema)
 
 
+def _lines(content: bytes) -> int:
+    """What ``line_count`` counts in the text of a piece, bytes that are not UTF-8 left out."""
+    if content.endswith(b"\n") and b"\r" not in content:
+        return content.count(b"\n")
+    try:
+        text = content.decode()
+    except UnicodeDecodeError:
+        text = content.decode(errors="replace").replace("\ufffd", "")
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    return text.count("\n") + (text != "" and not text.endswith("\n"))
+
+
 def corpus_files(spark: SparkSession, path: str, max_bytes: int = ROW_BYTES) -> DataFrame:
     """All files below a folder, or one file: ``path`` relative to it, ``length``, ``content``, ``reason``.
 
@@ -113,10 +146,11 @@ def text_parts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
     """Files of any size as pieces of whole lines: ``path, length, part, text, lines_before``.
 
     A file is cut into ranges of bytes, and a range has the lines that begin in it, so a
-    piece may be empty, and is as long as its longest line asks for. ``lines_before``
-    counts the file's lines before the piece, by a running sum of the ranges' line counts;
-    only files of more than one range are read a second time for it. Bytes that are not
-    UTF-8 are left out. Files that can't be opened have a null text.
+    piece may be empty, and is as long as its longest line asks for. A task reads a run of
+    ranges at once, 64 MB or one range, and counts lines inside it. ``lines_before`` counts
+    the file's lines before the piece, by a running sum of the runs' line counts; only files
+    of more than one run are read a second time for it. Bytes that are not UTF-8 are left
+    out. Files that can't be opened have a null text.
     """
     store = located(spark, path)
     if store is None:
@@ -126,14 +160,20 @@ def text_parts(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
         return whole.select("path", "length", zero.alias("part"), text, zero.alias("lines_before"))
     ranges = _ranges(walk(spark, path), range_bytes)
     text = valid_text(F.col("content"), ignore=True).alias("text")
-    pieces = _read(ranges, store, range_bytes).select("path", "length", "part", text)
-    counted = _read(ranges.where("n_parts > 1"), store, range_bytes).select("path", "part", text)
-    counted = counted.select("path", "part", F.coalesce(line_count(F.col("text")), F.lit(0)).alias("_lines"))
+    short, long = (
+        _read(ranges.where(which), store, range_bytes).select("path", "length", "run", "part", text, "lines")
+        for which in ("n_runs = 1", "n_runs > 1")
+    )
+    counted = _read(ranges.where("n_runs > 1"), store, _run_bytes(range_bytes)).select("path", "run", text)
+    counted = counted.select("path", "run", F.coalesce(line_count(F.col("text")), F.lit(0)).alias("_lines"))
     before = running_totals(
-        counted, ["path"], ["part"], F.floor(F.col("part") / 1000), {"_upto": F.col("_lines")}
-    ).select("path", "part", (F.col("_upto") - F.col("_lines")).alias("_before"))
-    pieces = pieces.join(before, ["path", "part"], "left")
-    return pieces.select("path", "length", "part", "text", F.coalesce("_before", F.lit(0)).cast("long").alias("lines_before"))
+        counted, ["path"], ["run"], F.floor(F.col("run") / 1000), {"_upto": F.col("_lines")}
+    ).select("path", "run", (F.col("_upto") - F.col("_lines")).alias("_before"))
+    long = long.join(before, ["path", "run"], "left")
+    columns = ["path", "length", "part", "text"]
+    return short.select(*columns, F.col("lines").alias("lines_before")).unionByName(
+        long.select(*columns, (F.col("lines") + F.coalesce("_before", F.lit(0))).cast("long").alias("lines_before"))
+    )
 
 
 def line_count(text: Column) -> Column:

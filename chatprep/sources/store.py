@@ -112,26 +112,53 @@ class Opener:
     def whole(self, path: str, length: int) -> bytes:
         return self._open(path).read_at(length, 0)
 
+    def wholes(self, path: str, length: int) -> Iterator[bytes]:
+        """The whole file as its only piece."""
+        yield self.whole(path, length)
+
     def lines(self, path: str, start: int, end: int, length: int) -> bytes:
         """The whole lines that begin in a range of bytes; a line ends with a line feed or the file."""
+        return next(self.pieces(path, start, end, max(end - start, 1), length))
+
+    def pieces(self, path: str, start: int, end: int, size: int, length: int) -> Iterator[bytes]:
+        """The whole lines that begin in each range of ``size`` bytes from ``start`` to ``end``, range by range.
+
+        The file is read on in steps, each byte once; what is held is a step and the lines of one range.
+        """
         file = self._open(path)
-        # The byte before tells whether the range begins with a line.
-        before = 1 if start else 0
-        data = file.read_at(end - start + before, start - before)
-        if before:
-            first = data.find(b"\n")
-            data = data[first + 1 :] if first >= 0 else b""
-        if not data:
-            return b""
-        pieces, at = [data], end
-        while at < length and not pieces[-1].endswith(b"\n"):
-            more = file.read_at(min(STEP_BYTES, length - at), at)
-            if not more:
-                break
-            ends = more.find(b"\n")
-            pieces.append(more if ends < 0 else more[: ends + 1])
-            at += len(more)
-        return b"".join(pieces)
+        # What is held of the file begins at ``at``.
+        at, held = max(start - 1, 0), b""
+
+        def line_start(x: int, keep: int | None, until: int) -> int:
+            """The first line that begins at ``x`` or later, or ``until`` if there is none before it."""
+            nonlocal at, held, length
+            if x <= 0:
+                return 0
+            seen = x - 1
+            while True:
+                found = held.find(b"\n", max(seen, x - 1) - at)
+                if found >= 0:
+                    return at + found + 1
+                seen = at + len(held)
+                if seen >= until:
+                    return until
+                # Beyond the range, steps double: a long line is not copied for each step.
+                more = file.read_at(min(max(STEP_BYTES, x - seen, seen - x), length - seen), seen)
+                if not more:
+                    length = seen
+                    return seen
+                if keep is None:
+                    at, held = seen, more
+                else:
+                    at, held = keep, held[keep - at :] + more
+
+        # A line that began before the range is no more than passed over.
+        begin = line_start(start, None, end)
+        for stop in range(start + size, max(end, start + 1) + size, size):
+            stop = min(stop, end)
+            then = begin if begin >= stop else line_start(stop, begin, length)
+            yield held[begin - at : then - at]
+            begin = then
 
 
 def _reason(error: OSError) -> str:

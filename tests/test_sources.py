@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import re
 from pathlib import Path
 
@@ -8,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatprep.operators import search
+from chatprep.operators.running import running_totals
 from chatprep.plans import corpus_search
 from chatprep.session import new_path
-from chatprep.sources import corpus, pairs, tables
+from chatprep.sources import corpus, pairs, store, tables
 from chatprep.sources.store import Entry, located, open_store
 from chatprep.sources.walk import walk
 from tests.helpers import plan, rows
@@ -215,6 +217,55 @@ def test_ranges_of_bytes(spark, tmp_path, size):
     assert len(first) == len(want) and {len(r.line) for r in first} == {3}
 
 
+def test_runs_of_ranges(spark, tmp_path, monkeypatch):
+    """Runs are cut in their tasks: what is joined has a row for each run of a long file, not for each range."""
+    joined = []
+
+    def seen(df, *how):
+        joined.append(df)
+        return running_totals(df, *how)
+
+    monkeypatch.setattr(corpus, "running_totals", seen)
+    texts = ["line the é\n" * 400, "the\r\nend\rthe\r\n" * 40, "a\n\n" + "the " * 90 + "\nthe", "x" * 300 + "the\nthe", "", "the\n" * 20]
+    for k, text in enumerate(texts):
+        (tmp_path / f"f{k}").write_bytes(text.encode())
+    (tmp_path / "bytes").write_bytes(b"the\xff\xfe\n\xc3the\r\xff\n\xff" * 30)
+    want = sorted(((p.name, n, line) for p in tmp_path.iterdir() for n, line in _python_lines(p, "the")), key=repr)
+    sizes = [p.stat().st_size for p in tmp_path.iterdir()]
+    # Runs of the whole file, of 64 bytes, and of ranges that don't fit them.
+    for limit in (corpus.RANGE_BYTES, 64, 2):
+        monkeypatch.setattr(corpus, "RANGE_BYTES", limit)
+        assert rows(corpus_search.search_folder(spark, str(tmp_path), "the", range_bytes=3)) == want
+        runs = [-(-size // (3 * max(1, limit // 3))) for size in sizes]
+        assert joined.pop().count() == sum(n for n in runs if n > 1)
+        parts = corpus.text_parts(spark, str(tmp_path), range_bytes=3)
+        assert parts.count() == parts.select("path", "part").distinct().count() == sum(max(1, -(-size // 3)) for size in sizes)
+
+
+@pytest.mark.parametrize("step", [1, 5, 1 << 20])
+def test_pieces_however_a_file_is_read(spark, tmp_path, monkeypatch, step):
+    """Ranges in a row, from any start, have the lines that begin in them."""
+    monkeypatch.setattr(store, "STEP_BYTES", step)
+    pick = random.Random(step)
+    for k in range(40):
+        data = bytes(pick.choices(b"ab\n", weights=[5, 5, pick.choice([0, 1, 9])], k=pick.randint(0, 60)))
+        (tmp_path / f"f{k}").write_bytes(data)
+        starts = [0, *(n + 1 for n, char in enumerate(data) if char == 10)]
+        size = pick.randint(1, 9)
+        first = size * pick.randint(0, 3)
+        end = min(first + size * pick.randint(1, 5), len(data))
+        if first >= len(data) > 0:
+            continue
+        with open_store(located(spark, str(tmp_path))) as opener:
+            got = list(opener.pieces(f"f{k}", first, end, size, len(data)))
+        want = []
+        for at in range(first, max(end, first + 1), size):
+            begun = [s for s in starts if at <= s < min(at + size, end)]
+            after = [s for s in starts if s > begun[-1]] if begun else []
+            want.append(data[begun[0] : after[0] if after else len(data)] if begun else b"")
+        assert got == want
+
+
 def test_a_range_is_read_by_itself(spark, tmp_path):
     """No read is longer than its range, but for the end of its last line."""
     (tmp_path / "f").write_bytes(b"x" * 100 + b"\n" + b"y" * 10 + b"\nz")
