@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from tests.helpers import plan, rows
@@ -100,6 +101,19 @@ def test_json_as_python_writes_it(spark):
     assert {k: python(t) for k, t in enumerate(texts)} == found
 
 
+def test_text_and_hash_are_made_at_once(spark):
+    """Bytes that are no UTF-8, deep texts, halves of pairs; one pass in Python for both columns."""
+    texts = ['{"a": "\\ud800"}', '{"a": "\\uD83D\\uDE00"}', '{"a": "\\\\ud800"}', "[" * 3000 + "]" * 3000, "[" * 10**5]
+    table = _table(spark, texts).unionByName(_table(spark, ["x"]).select((F.col("k") + 9).alias("k"), F.expr("cast(X'22FF22' as string)").alias("text")))
+    both = table.select("k", python_json(F.col("text")).alias("j"), python_args_hash(F.col("text")).alias("h"))
+    got = {r.k: (r.j, r.h is None) for r in both.collect()}
+    assert got == {
+        0: (None, True), 1: ('{"a": "\\ud83d\\ude00"}', False), 2: ('{"a": "\\\\ud800"}', False),
+        3: (texts[3], False), 4: (None, True), 9: ('"\\ufffd"', False),
+    }
+    assert re.findall(r"ArrowEvalPython \[([^\]]*)\]", plan(both))[0].count("_python_json") == 1
+
+
 def test_hashes_are_pythons(spark):
     """Digests of texts that Python wrote."""
     table = _table(spark, ['{"path": "a.txt", "max_lines": 1000}', '{"path":"é"}', "{}", None, "{no}", '"\\ud800"'])
