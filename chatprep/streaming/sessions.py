@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +25,9 @@ EVENT = (
     "total_tokens long, elapsed_us long"
 )
 _NAMES = [field.split(" ")[0] for field in EVENT.split(", ")]
+#: Calls that wait in one value of the state.
+PACKED_CALLS = 4096
+_CALL = [("us", "<i8"), ("call_no", "<i8"), ("success", "?"), ("tokens", "<i8")]
 
 
 def _sessions(max_total: int) -> StatefulProcessor:
@@ -37,51 +40,74 @@ def _sessions(max_total: int) -> StatefulProcessor:
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.waiting = handle.getMapState("waiting", "us long, call_no long", "success boolean, tokens long")
+            self.event = Row(*_NAMES)
+            # Many calls in one value: a value is read and written by a message of its own.
+            self.waiting = handle.getListState("waiting", "calls binary")
             self.known = handle.getValueState(
                 "known",
                 "n_calls long, n_errors long, total_tokens long, first_us long, last_us long, run_first long, run_last long, "
-                "run_length long, breached boolean",
+                "run_length long, breached boolean, upto long",
             )
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            times = set()
-            for batch in rows:
-                for ts, call_no, success, tokens in zip(batch["ts"], batch["call_no"], batch["success"], batch["tokens"], strict=True):
-                    us = pd.Timestamp(ts).value // 1000
-                    self.waiting.updateValue((us, int(call_no)), (bool(success), int(tokens)))
-                    times.add(us // 1000)
-            for ms in sorted(times):
-                self.handle.registerTimer(ms + 1)
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            calls, first = [], None
+            for row in rows:
+                calls.append((row.us, row.call_no, row.success, row.tokens))
+                if len(calls) == PACKED_CALLS:
+                    first = self._keep(calls, first)
+                    calls = []
+            if calls:
+                first = self._keep(calls, first)
+            # One timer is enough: when it goes off, all calls come out that the watermark has passed.
+            self.handle.registerTimer(first // 1000 + 1)
             return iter(())
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
-            ready = sorted(
-                (tuple(place), tuple(call)) for place, call in self.waiting.iterator() if place[0] < upto
-            )
-            if not ready:
-                return iter(())
-            n, errors, total, first_us, last_us, run_first, run_last, run, breached = (
-                self.known.get() if self.known.exists() else (0, 0, 0, ready[0][0][0], 0, 0, 0, 0, False)
-            )
-            out = []
-            for (us, call_no), (success, tokens) in ready:
-                self.waiting.removeKey((us, call_no))
-                n, errors, total, last_us = n + 1, errors + (not success), total + tokens, us
-                if not success:
-                    run_first = run_first if run else call_no
-                    run_last, run = call_no, run + 1
-                elif run:
-                    out.append((key[0], "streak", run_first, run_last, run, None, None, None, None))
-                    run = 0
-                if total > max_total and not breached:
-                    out.append((key[0], "breach", call_no, call_no, 1, n, errors, total, last_us - first_us))
-                    breached = True
-            out.append((key[0], "metrics", None, None, run, n, errors, total, last_us - first_us))
-            self.known.update((n, errors, total, first_us, last_us, run_first, run_last, run, breached))
-            # As objects, so that whole numbers with nulls among them stay whole.
-            return iter([pd.DataFrame(out, columns=_NAMES, dtype=object)])
+        def _keep(self, calls, first):
+            packed = np.array(calls, _CALL)
+            self.waiting.appendValue((packed.tobytes(),))
+            least = int(packed["us"].min())
+            return least if first is None else min(first, least)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            expired = expiredTimerInfo.getExpiryTimeInMs()
+            known = self.known.get() or (0, 0, 0, None, 0, 0, 0, 0, False, -(1 << 63))
+            if expired * 1000 <= known[-1]:
+                return
+            upto = max(expired, timerValues.getCurrentWatermarkInMs()) * 1000
+            calls = np.concatenate([np.frombuffer(packed, _CALL) for (packed,) in self.waiting.get()] or [np.empty(0, _CALL)])
+            later, calls = calls[calls["us"] >= upto], calls[calls["us"] < upto]
+            if not len(calls):
+                return
+            # Of calls with one time and number the last to arrive counts; the order is stable.
+            calls = calls[np.lexsort((calls["call_no"], calls["us"]))]
+            same = (calls["us"][1:] == calls["us"][:-1]) & (calls["call_no"][1:] == calls["call_no"][:-1])
+            calls = calls[np.append(~same, True)]
+            n, errors, total, first_us, last_us, run_first, run_last, run, breached, _ = known
+            if first_us is None:
+                first_us = int(calls["us"][0])
+            # Metrics come after the last call of each millisecond.
+            ends = np.append(calls["us"][1:] // 1000 != calls["us"][:-1] // 1000, True)
+            for start in range(0, len(calls), PACKED_CALLS):
+                stop = start + PACKED_CALLS
+                for (us, call_no, success, tokens), end in zip(calls[start:stop].tolist(), ends[start:stop].tolist(), strict=True):
+                    n, errors, total, last_us = n + 1, errors + (not success), total + tokens, us
+                    if not success:
+                        run_first = run_first if run else call_no
+                        run_last, run = call_no, run + 1
+                    elif run:
+                        yield self.event(key[0], "streak", run_first, run_last, run, None, None, None, None)
+                        run = 0
+                    if total > max_total and not breached:
+                        yield self.event(key[0], "breach", call_no, call_no, 1, n, errors, total, last_us - first_us)
+                        breached = True
+                    if end:
+                        yield self.event(key[0], "metrics", None, None, run, n, errors, total, last_us - first_us)
+            self.known.update((n, errors, total, first_us, last_us, run_first, run_last, run, breached, upto))
+            if len(later):
+                self.waiting.put([(later[k : k + PACKED_CALLS].tobytes(),) for k in range(0, len(later), PACKED_CALLS)])
+                self.handle.registerTimer(int(later["us"].min()) // 1000 + 1)
+            else:
+                self.waiting.clear()
 
         def close(self) -> None:
             pass
@@ -96,17 +122,19 @@ def live_sessions(calls: DataFrame, watermark: str = "10 minutes", max_total: in
     later than the watermark are dropped, others count in order of time and number,
     whatever order they arrive in. ``metrics`` are running figures, the last row of a
     session has the whole; ``length`` is that of the streak that is still open. The
-    state of a session is a few numbers and the calls that wait. Needs ``STATE_STORE`` as
+    state of a session is a few numbers and the calls that wait, packed; those of one session
+    pass a task together, as 25 bytes each. Needs ``STATE_STORE`` as
     ``spark.sql.streaming.stateStore.providerClass``.
     """
     rows = calls.select(
         F.col("session_id").cast("long").alias("session_id"),
         F.col("call_no").cast("long").alias("call_no"),
         F.col("ts").cast("timestamp").alias("ts"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.coalesce(F.col("success").cast("boolean"), F.lit(False)).alias("success"),
         F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"),
     )
     placed = rows.where("session_id IS NOT NULL AND call_no IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", watermark)
-    return placed.groupBy("session_id").transformWithStateInPandas(
+    return placed.groupBy("session_id").transformWithState(
         statefulProcessor=_sessions(max_total), outputStructType=EVENT, outputMode="Append", timeMode="EventTime"
     )

@@ -4,9 +4,11 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from chatprep.operators import usage
+from chatprep.streaming import sessions
 from chatprep.streaming.sessions import STATE_STORE, live_sessions
 from chatprep.streaming.sinks import read_sink, write_sinks
 
@@ -88,6 +90,83 @@ def test_live_sessions_equal_the_batch_form(spark, tmp_path, state_store):
     assert len(breaches) > 1
 
 
+class _State:
+    """Stands for a session's state and counts the messages to it."""
+
+    def __init__(self):
+        self.items, self.one, self.timers, self.n, self.ms = [], None, set(), 0, 0
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        state = self
+
+        class Value:
+            def get(self):
+                return state.one
+
+            def update(self, value):
+                state.one, state.n = value, state.n + 1
+
+        return Value()
+
+    def get(self):
+        self.n += 1
+        return iter(self.items)
+
+    def appendValue(self, value):
+        self.items, self.n = [*self.items, value], self.n + 1
+
+    def put(self, values):
+        self.items, self.n = values, self.n + 1
+
+    def clear(self):
+        self.items, self.n = [], self.n + 1
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+        self.n += 1
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_messages_to_the_state_do_not_grow_with_calls():
+    """Calls are kept many in a value and come out at one timer, in order, the last of a place, up to the watermark."""
+    pick, state = random.Random(3), _State()
+    calls = [Row(us=us, call_no=k % 7, success=pick.random() < 0.5, tokens=k % 9) for k, us in enumerate(pick.choices(range(40_000_000), k=10_000))]
+    calls += [Row(us=c.us, call_no=c.call_no, success=not c.success, tokens=20) for c in calls[:50]]
+    session = sessions._sessions(500)
+    session.init(state)
+    list(session.handleInputRows((1,), iter(calls[:6000]), state))
+    list(session.handleInputRows((1,), iter(calls[6000:]), state))
+    got = []
+    for state.ms in (10_000, 30_000, 50_000):
+        # The timers of both arrivals go off at one watermark.
+        for _ in range(2):
+            got += [tuple(row) for row in session.handleExpiredTimer((1,), state, state)]
+    assert state.n < 30 and not state.items
+    last = {(c.us, c.call_no): c for c in calls}
+    want, n, errors, total, first, run, breached = [], 0, 0, 0, min(last)[0], [], False
+    order = [last[place] for place in sorted(last)]
+    for k, c in enumerate(order):
+        n, errors, total, elapsed = n + 1, errors + (not c.success), total + c.tokens, c.us - first
+        if not c.success:
+            run.append(c.call_no)
+        elif run:
+            want.append((1, "streak", run[0], run[-1], len(run), None, None, None, None))
+            run = []
+        if total > 500 and not breached:
+            breached = True
+            want.append((1, "breach", c.call_no, c.call_no, 1, n, errors, total, elapsed))
+        if k + 1 == len(order) or order[k + 1].us // 1000 != c.us // 1000:
+            want.append((1, "metrics", None, None, len(run), n, errors, total, elapsed))
+    assert got == want and len(want) > 9000
+
+
 ROWS = "id long, ok boolean"
 
 
