@@ -11,7 +11,7 @@ from chatprep.functions.text import clean_text, preview, strip_reasoning, tokens
 from chatprep.functions.tool_json import args_hash
 from chatprep.operators import audit, calls, chat, pack, policy, search, split, usage
 from chatprep.plans import corpus_search, training_set
-from chatprep.session import new_path
+from chatprep.session import new_path, written
 from chatprep.sources import corpus as files
 from chatprep.sources import pairs, tables
 from chatprep.streaming import audit as streams
@@ -21,6 +21,8 @@ from checks.derived import table
 
 WRITE_TEXT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 ROOTS = ["/w"]
+#: Text of one JSON list, which one task reads.
+LIST_BYTES = 1 << 22
 
 
 def _joined(name):
@@ -42,14 +44,14 @@ def src_csv(spark, sf):
 
 def src_json(spark, sf):
     path = new_path(spark, "pairs.json")
-    rows = derived.raw_pairs(spark, sf)
-    # One list per file: at most 1,000 turns of each of 10 conversations.
-    turn = F.col("pair_id") - F.col("conv_id") * 100
-    part = F.concat_ws("_", F.floor(F.col("conv_id") / 10), F.floor(turn / 1000))
-    lists = rows.groupBy(part.alias("part")).agg(
-        F.to_json(F.collect_list(F.struct("pair_id", "instruction", "response", "input"))).alias("value")
-    )
-    lists.write.partitionBy("part").text(path)
+    rows = written(derived.raw_pairs(spark, sf), "pairs").select("pair_id", "instruction", "response", "input")
+    # One list per file, as long as all others: rows are dealt by their place, whatever their keys.
+    size = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in ("instruction", "response", "input")), F.lit(100))
+    held = rows.agg(F.coalesce(F.sum(size), F.lit(0))).head()[0]
+    n = max(1, -(-held // LIST_BYTES))
+    dealt = rows.withColumn("part", F.monotonically_increasing_id() % n).repartition(n, "part")
+    lists = dealt.groupBy("part").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return _pair_columns(pairs.read_pairs(spark, path))
 
 

@@ -15,11 +15,26 @@ from chatprep.session import new_path
 from chatprep.sources import corpus, pairs, store, tables
 from chatprep.sources.store import Entry, located, open_store
 from chatprep.sources.walk import walk
+from checks import queries
 from tests.helpers import plan, rows
 
 PAIR = ("instruction", "response", "input")
 
 
+def test_json_lists_follow_the_text_not_the_keys(spark, tmp_path, monkeypatch):
+    """Conversations far apart and rows that come twice: files by their bytes, all rows in them."""
+    turns = [(k * 10_001, t, ("user", "assistant")[t % 2], f"{k} {t} é") for k in range(60) for t in range(4)]
+    turns += [(70, t % 2, ("user", "assistant")[t % 2], "again") for t in range(8)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    want = rows(queries.src_jsonl(spark, str(tmp_path)))
+    for limit, files in ((queries.LIST_BYTES, (1, 1)), (2000, (5, 20))):
+        monkeypatch.setattr(queries, "LIST_BYTES", limit)
+        got = queries.src_json(spark, str(tmp_path))
+        assert rows(got) == want and len(want) == 136
+        assert files[0] <= len(got.inputFiles()) <= files[1]
+
+
 def test_csv_reads_as_pandas_does(spark, tmp_path):
     path = tmp_path / "pairs.CSV"
     path.write_text(
